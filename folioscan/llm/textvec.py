@@ -79,13 +79,13 @@ def word_hashes(texts: list[str | None], segment: int = 1 << 20) -> tuple[np.nda
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` words; element i begins at word i. Runs over text boundaries are for the caller to leave out."""
+    """Hash of each run of ``width`` words, 8 at most; element i begins at word i. Runs over text boundaries are for the caller to leave out."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, dtype=_U)
     out = np.full(n, _U(width), dtype=_U)
     for k in range(width):
-        out = mix(out + words[k : k + n] * _COEF[k % len(_COEF)] + _U(k)) if k and k % len(_COEF) == 0 else out + words[k : k + n] * _COEF[k % len(_COEF)]
+        out += words[k : k + n] * _COEF[k]
     return mix(out)
 
 
