@@ -11,8 +11,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscan.llm import exact, neardup, quality
+from folioscan.llm import bpe, decontam, exact, neardup, quality
 from folioscan.llm.common import shared_dir
 
 
@@ -35,10 +36,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return neardup.near_dedup(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, tokens) of what is left."""
+    rows = docs.select("doc_id", "lang", "source", bpe.encoded("text").alias("tokens"))
+    return rows.select("doc_id", "lang", "source", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"), "tokens")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", keep_good),
     ("exact dedup", drop_copies),
     ("near dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("tokens", to_tokens),
 ]
 
 #: Classifier, sketches and tokenizer can't be expressed in SQL; tests/llm holds run() against a brute-force version.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import exact, neardup
+from folioscan.llm import bpe, decontam, exact, neardup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,9 +19,39 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_near_dedup": op4_near_dedup, "op8_exact_dedup": op8_exact_dedup}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).filter("accepted").select("doc_id", "probability")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding gives its text again."""
+    docs = _read(spark, sf_dir, "documents")
+    return bpe.round_trip(docs)
+
+
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op3_quality": op3_quality,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_decontam": op6_decontam,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 
 ORACLE_SQL = {
+    "op6_decontam": r"""
+        WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL),
+        itoks AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+        iruns AS (SELECT item_id, greatest(1, len(w) - 2) AS span, i, array_to_string(w[i:i + 2], ' ') AS s FROM itoks, unnest(range(1, 1 + greatest(1, len(w) - 2))) AS u(i) WHERE len(w) > 0),
+        iset AS (SELECT DISTINCT item_id, span, s, count(DISTINCT s) OVER (PARTITION BY item_id) AS size FROM iruns),
+        druns AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 2], ' ') AS s FROM toks, unnest(range(1, len(w) - 1)) AS u(i)),
+        hits AS (SELECT doc_id, item_id, span, size, p, druns.s FROM druns JOIN iset USING (s)),
+        wins AS (SELECT a.doc_id, a.item_id, a.size, a.p, count(DISTINCT b.s) AS n FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p >= a.p AND b.p < a.p + a.span GROUP BY a.doc_id, a.item_id, a.size, a.p),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, p) AS k FROM wins WHERE n >= ceil(size * 0.6 - 1e-9))
+        SELECT doc_id, item_id, round(n / size, 6) AS containment, p AS start_word FROM best WHERE k = 1""",
     "op8_exact_dedup": """
         SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)
         UNION ALL SELECT doc_id, NULL AS digest FROM documents WHERE text IS NULL""",
