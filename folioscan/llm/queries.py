@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import bpe, decontam, exact, neardup, quality
+from folioscan.llm import bpe, ctw, decontam, exact, langid, neardup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,12 +33,22 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.ctw_scores(_read(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_decontam": op6_decontam,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_lm_score": op9_lm_score,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL = {
@@ -55,4 +65,17 @@ ORACLE_SQL = {
     "op8_exact_dedup": """
         SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)
         UNION ALL SELECT doc_id, NULL AS digest FROM documents WHERE text IS NULL""",
+    "op10_language": r"""
+        WITH padded AS (SELECT doc_id, lang, ' ' || unnest(regexp_extract_all(lower(text), '\p{L}+')) || ' ' AS s FROM documents WHERE text IS NOT NULL),
+        words AS (SELECT doc_id, lang, s, count(*) AS times FROM padded GROUP BY ALL),
+        raw AS (SELECT doc_id, lang, substr(s, i, n) AS g, n, times FROM words, unnest([1, 2, 3]) AS a(n), unnest(range(1, length(s) + 1)) AS b(i) WHERE i + n - 1 <= length(s)),
+        grams AS (SELECT doc_id, lang, g, sum(times) AS c FROM raw WHERE g <> ' ' GROUP BY ALL),
+        chosen AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL) WHERE k <= 900),
+        totals AS (SELECT lang, g, sum(c) AS c FROM grams SEMI JOIN chosen USING (doc_id) GROUP BY ALL),
+        ranked AS (SELECT lang AS language, g, k FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY c DESC, g) AS k FROM totals) WHERE k <= 300),
+        own AS (SELECT doc_id, g, k FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, g) AS k FROM grams) WHERE k <= 300),
+        langs AS (SELECT DISTINCT language FROM ranked),
+        far AS (SELECT o.doc_id, l.language, sum(CASE WHEN r.k IS NULL THEN 300 ELSE abs(o.k - r.k) END) AS distance FROM own o CROSS JOIN langs l LEFT JOIN ranked r ON r.language = l.language AND r.g = o.g GROUP BY ALL),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, language) AS k FROM far)
+        SELECT d.doc_id, b.language, b.distance::BIGINT AS distance FROM documents d LEFT JOIN (SELECT * FROM best WHERE k = 1) b ON b.doc_id = d.doc_id""",
 }
