@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import bpe, ctw, decontam, exact, langid, neardup, quality
+from folioscan.llm import bpe, ctw, decontam, exact, langid, licenses, neardup, pii, quality, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redactions(_read(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_scores(_read(spark, sf_dir, "pages"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).filter("accepted").select("doc_id", "probability")
 
@@ -42,10 +54,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_decontam": op6_decontam,
+    "op7_licenses": op7_licenses,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lm_score": op9_lm_score,
     "op10_language": op10_language,
