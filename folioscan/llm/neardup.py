@@ -16,6 +16,9 @@ them. Equal texts count as one node. The plan:
    pair; a task beyond ``block`` nodes is split by node hash into pairs of blocks, and small
    tasks share a bin.
 4. Groups: connected components of the verified pairs, by alternating large and small stars.
+   A group of m texts has m(m-1)/2 pairs, so for groups steps 2 and 3 run twice: first each
+   text is held against the two ends of its lists, then every pair of a list whose texts are
+   not in one group by then. Both together give the components that all pairs would give.
 
 Recall: with k = 32 and slack = 0.28 a pair at the threshold 0.5 passes steps 2 and 3 with a
 probability over 0.99 each; pairs above it with more.
@@ -76,25 +79,49 @@ def _need(size, slack: float):
     return F.greatest(F.lit(1), F.floor(size * F.lit(slack))).cast("int")
 
 
-def candidates(nodes: DataFrame, k: int = K, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
-    """(a, b): pairs of nodes that share enough of their sketches, by estimate on the union's sketch."""
+def inverted_lists(nodes: DataFrame, slack: float = SLACK) -> DataFrame:
+    """(v, node, n): the values by which each node can be found, those of step 2."""
     sized = nodes.filter(F.size("sk") > 0).select("node", "n", F.size("sk").alias("size"), F.explode("sk").alias("v"))
     freq = sized.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     shared = sized.join(freq, "v")
     ordered = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"))
     # values that no other sketch has are the rarest and fill the first places
     room = F.col("size") - _need(F.col("size"), slack) + 1 - (F.col("size") - F.size("vs"))
-    prefix = ordered.filter(room > 0).select("node", "n", F.explode(F.slice("vs", F.lit(1), room)).alias("x")).select("node", "n", F.col("x.v").alias("v"))
-    prefix = materialise(prefix, "near-lists")
-    a = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "v")
-    b = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "v")
-    met = a.join(b, "v").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)))
-    pairs = met.select("a", "b").distinct()
+    prefix = ordered.filter(room > 0).select("node", "n", F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
+    return materialise(prefix.select(F.col("x.v").alias("v"), "node", "n"), "near-lists")
+
+
+def _alike(threshold: float):
+    return F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)
+
+
+def all_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): every two nodes on a common list whose set sizes allow the threshold; with a column ``label``, only those of different labels."""
+    extra = ["label"] if "label" in lists.columns else []
+    if extra:
+        mixed = lists.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("v")
+        lists = materialise(lists.join(mixed, "v", "left_semi"), "near-mixed")
+    a = lists.select("v", F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(c).alias("la") for c in extra])
+    b = lists.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias("lb") for c in extra])
+    met = a.join(b, "v").filter((F.col("a") < F.col("b")) & _alike(threshold))
+    return (met.filter("la <> lb") if extra else met).select("a", "b").distinct()
+
+
+def star_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): each node with the least and the greatest node of its lists; no more pairs than list entries, twice."""
+    ends = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y"))
+    heads = ends.filter("x.node <> y.node").select("v", F.explode(F.array("x", "y")).alias("h"))
+    met = lists.join(heads, "v").select("node", F.col("n").alias("na"), F.col("h.node").alias("head"), F.col("h.n").alias("nb"))
+    return met.filter((F.col("node") != F.col("head")) & _alike(threshold)).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def estimated(pairs: DataFrame, nodes: DataFrame, k: int = K, slack: float = SLACK) -> DataFrame:
+    """The pairs (a, b) that share enough of the sketch of their union."""
     sk = nodes.select("node", "sk")
     both = pairs.join(sk.select(F.col("node").alias("a"), F.col("sk").alias("ska")), "a").join(sk.select(F.col("node").alias("b"), F.col("sk").alias("skb")), "b")
     union = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k)
     hit = F.size(F.array_intersect(F.array_intersect("ska", "skb"), union))
-    return both.filter(hit >= _need(F.size(union), slack)).select("a", "b")
+    return materialise(both.filter(hit >= _need(F.size(union), slack)).select("a", "b"), "near-pairs")
 
 
 def _set_maker(width: int):
@@ -185,15 +212,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: float = THRESHOLD, slack: float = SLACK, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(nodes, pairs): the distinct texts, and those of their pairs (a, b, jaccard) that are near duplicates; equal texts share a node."""
+    """(nodes, pairs): the distinct texts, and all of their pairs (a, b, jaccard) that are near duplicates; equal texts share a node."""
     nodes = nodes_of(docs, width, k)
-    pairs = materialise(candidates(nodes, k, threshold, slack), "near-pairs")
+    pairs = estimated(all_pairs(inverted_lists(nodes, slack), threshold), nodes, k, slack)
     return nodes, materialise(verified(docs, nodes, pairs, width, threshold, block), "near-verified")
 
 
-def _grouped(docs: DataFrame, **how) -> DataFrame:
-    nodes, pairs = near_pairs(docs, **how)
-    labels = components(pairs)
+def _grouped(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: float = THRESHOLD, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
+    """Groups without all of their pairs, which are as many as a group's square: first stars, then every pair that stars left apart."""
+    nodes = nodes_of(docs, width, k)
+    lists = inverted_lists(nodes, slack)
+    stars = estimated(star_pairs(lists, threshold), nodes, k, slack)
+    edges = materialise(verified(docs, nodes, stars, width, threshold, block), "near-stars")
+    first = components(edges)
+    apart = lists.join(first, "node", "left").select("v", "node", "n", F.coalesce("label", "node").alias("label"))
+    rest = estimated(all_pairs(apart, threshold).join(stars, ["a", "b"], "left_anti"), nodes, k, slack)
+    more = materialise(verified(docs, nodes, rest, width, threshold, block), "near-rest")
+    labels = components(edges.select("a", "b").union(more.select("a", "b")))
     return nodes.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), "digest", "doc_ids", "nameless")
 
 

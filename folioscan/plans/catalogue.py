@@ -1,6 +1,598 @@
-"""The query catalogue: one entry per operator, with the SQL that gives the same rows."""
+"""The query catalogue: one entry per operator, with the SQL that gives the same rows.
+
+Every query reads its whole tables. Where an operator needs two versions of a corpus, or
+reports with citations, they are derived from the tables by expressions over all rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from folioscan.functions import text as X
+from folioscan.operators import chunking, diff, evidence, fusion, lexical, maintenance, pages, tables, vectors
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+_SP = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_FOLDED = f"translate(lower(text), '{lexical._ACCENTED}', '{lexical._PLAIN}')"
+_TOKENS = rf"regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{N}}\p{{Co}}]+')"
+
+
+def _collapse(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{_SP}+', ' ', 'g'))"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(*tables_: str, sql: str | None = None):
+    """Registers a function of DataFrames under its own name."""
+
+    def wrap(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[_t(spark, sf_dir, n) for n in tables_])
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+# --- scalar functions ---------------------------------------------------------------------------
+
+
+@query("documents", sql=f"SELECT doc_id, {_collapse('text')} AS body, length({_collapse('text')}) AS n FROM documents")
+def normalise_text(docs):
+    body = X.normalise_text(F.col("text"))
+    return docs.select("doc_id", body.alias("body"), F.length(body).alias("n"))
+
+
+@query("part", sql="""
+    SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'table') AS slug,
+           trim(replace(p_brand || '_' || p_type || '_', '_', ' ')) AS human, trim(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS label FROM part""")
+def slug_labels(part):
+    return part.select(
+        "p_partkey", X.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"), X.humanise(F.concat("p_brand", F.lit("_"), "p_type", F.lit("_"))).alias("human"),
+        X.normalise_label(F.concat_ws(" & ", "p_name", "p_brand")).alias("label"),
+    )
+
+
+_HEADS = ["°C", "note", "MW", "kg", "estimated value", "$/MWh", "Km", "p.u.", "%", "two words"]
+_HEAD_SQL = "p_name || ' (' || (['" + "', '".join(_HEADS) + "'])[1 + p_partkey % 10] || ')'"
+
+
+@query("part", sql=rf"""
+    WITH h AS (SELECT p_partkey, {_HEAD_SQL} AS header FROM part), u AS (SELECT *, regexp_extract(header, '\(([^()]*)\)\s*$', 1) AS u FROM h),
+    k AS (SELECT *, u <> '' AND length(u) <= 32 AND (regexp_matches(u, '[°%/$€£¥·^]') OR (NOT contains(u, ' ') AND (lower(u) IN ('bar','degc','degf','g','h','hz','kg','km','m','min','mm','ms','p.u.','pa','pu','s') OR regexp_matches(u, '[\p{{Lu}}\p{{Nd}}]')))) AS ok FROM u)
+    SELECT p_partkey, header, CASE WHEN ok THEN u END AS unit, trim(regexp_replace(lower(CASE WHEN ok THEN regexp_replace(header, '\([^()]*\)\s*$', '') ELSE header END), '[^a-z0-9]+', ' ', 'g')) AS label FROM k""")
+def header_unit(part):
+    header = F.concat("p_name", F.lit(" ("), F.get(F.array(*map(F.lit, _HEADS)), (F.col("p_partkey") % 10).cast("int")), F.lit(")"))
+    return part.select("p_partkey", header.alias("header")).select("p_partkey", "header", X.header_unit(F.col("header")).alias("unit"), X.normalise_label(F.col("header")).alias("label"))
+
+
+_CELLS = ["", " kg", " °C", " x y", "%", " N/A", "MWh/y"]
+_CELL_SQL = "CASE WHEN l_linenumber = 7 THEN 'N/A' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) || (['" + "', '".join(_CELLS) + "'])[1 + (l_partkey + l_linenumber) % 7] END"
+
+
+@query("lineitem", sql=rf"""
+    WITH c AS (SELECT l_orderkey, l_linenumber, {_CELL_SQL} AS cell FROM lineitem)
+    SELECT l_orderkey, l_linenumber, cell, nullif(regexp_extract(cell, '^\s*[-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\s*([A-Za-zµμΩ°%$€£¥][A-Za-z0-9µμΩ°/%$€£¥·^*._-]*)\s*$', 1), '') AS unit,
+           CAST(nullif(replace(regexp_extract(cell, '^\s*([-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS number,
+           lower(trim(cell)) IN ('', 'na', 'n/a', 'nan', 'null', 'not available') AS missing FROM c""")
+def cell_values(lineitem):
+    cell = F.when(F.col("l_linenumber") == 7, "N/A").otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.get(F.array(*map(F.lit, _CELLS)), ((F.col("l_partkey") + F.col("l_linenumber")) % 7).cast("int"))))
+    c = lineitem.select("l_orderkey", "l_linenumber", cell.alias("cell"))
+    return c.select("*", X.cell_unit(F.col("cell")).alias("unit"), X.numeric_prefix(F.col("cell")).alias("number"), X.is_missing(F.col("cell")).alias("missing"))
+
+
+@query("documents", sql=f"SELECT doc_id, sha256(text) AS lexical, sha256(concat_ws(chr(31), 'v1', lang, '[[\"' || source || '\"], null]', {_collapse('text')})) AS semantic FROM documents")
+def chunk_hashes(docs):
+    context = F.concat(F.lit("[["), X.json_string(F.col("source")), F.lit("], null]"))
+    return docs.select("doc_id", X.lexical_hash(F.col("text")).alias("lexical"), X.semantic_hash("v1", F.col("lang"), context, F.col("text")).alias("semantic"))
+
+
+@query("pages", sql=r"""
+    WITH d AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') || '#page=' || (page_id + 1)::VARCHAR AS dest FROM pages)
+    SELECT page_id, dest, regexp_extract(dest, '^([^#]+)#page=[1-9][0-9]*$', 1) AS path, CAST(regexp_extract(dest, '#page=([1-9][0-9]*)$', 1) AS INT) AS page, regexp_replace(regexp_replace(url, '\.html', '.qmd'), '\.(py|jl|qmd)($|[?#])', '.md\2') AS link FROM d""")
+def destinations(pages_):
+    dest = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("#page="), (F.col("page_id") + 1).cast("string"))
+    d = pages_.select("page_id", "url", dest.alias("dest"))
+    path, page = X.page_destination(F.col("dest"))
+    return d.select("page_id", "dest", path.alias("path"), page.alias("page"), X.markdown_link(F.regexp_replace("url", "\\.html", ".qmd")).alias("link"))
+
+
+@query("pages", sql=r"""
+    SELECT page_id, url FROM pages WHERE (url LIKE 'https://%' OR regexp_matches(url, '^http://m\..*\.example\.org/.*$')) AND NOT regexp_matches(url, '^.*\?utm_source=.*$')""")
+def glob_select(pages_):
+    from folioscan.sources.manifest import glob_column
+
+    chosen = (glob_column(F.col("url"), "https://*") | glob_column(F.col("url"), "http://m.*.example.org/*")) & ~glob_column(F.col("url"), "*[?]utm_source=*")
+    return pages_.filter(chosen).select("page_id", "url")
+
+
+@query("supplier", sql="""
+    WITH n AS (SELECT s_suppkey, CAST(1 + (s_suppkey * 97) % 16384 AS INT) AS c, CAST(s_suppkey + 1 AS INT) AS r FROM supplier)
+    SELECT s_suppkey, c, (CASE WHEN c > 702 THEN chr(65 + CAST(floor((c - 703) / 676) AS INT) % 26) ELSE '' END) || (CASE WHEN c > 26 THEN chr(65 + CAST(floor((c - 27) / 26) AS INT) % 26) ELSE '' END) || chr(65 + (c - 1) % 26) || r::VARCHAR AS ref, c AS back, r FROM n""")
+def a1_references(supplier):
+    c = (1 + (F.col("s_suppkey") * 97) % 16384).cast("int")
+    n = supplier.select("s_suppkey", c.alias("c"), F.concat(X.a1_label(c), (F.col("s_suppkey") + 1).cast("string")).alias("ref"))
+    return n.select("s_suppkey", "c", "ref", X.a1_column(F.col("ref")).alias("back"), X.a1_row(F.col("ref")).alias("r"))
+
+
+@query("documents", sql=r"""
+    SELECT doc_id, repeat('`', greatest(3, 1 + coalesce(list_max([length(x) FOR x IN regexp_extract_all(replace(text, '|', '`'), '`+')]), 0))) AS fence,
+           regexp_replace(substr(text, 1, 400), '([\\|$*_~`\[\]<>])', '\\\1', 'g') AS escaped FROM documents""".replace("substr(text, 1, 400)", "text"))
+def fences_and_escapes(docs):
+    return docs.select("doc_id", X.fence_for(F.replace("text", F.lit("|"), F.lit("`"))).alias("fence"), X.escape_inline(F.col("text")).alias("escaped"))
+
+
+# --- tables as DataFrames -----------------------------------------------------------------------
+
+_ROW = "'| ' || replace(replace(s_name, '\\', '\\\\'), '|', '\\|') || ' | ' || CAST(s_nationkey AS VARCHAR) || ' | ' || CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) || ' |'"
+
+
+@query("supplier", sql=f"SELECT s_suppkey, {_ROW} AS line FROM supplier")
+def pipe_rows(supplier):
+    return supplier.select("s_suppkey", tables.pipe_row([F.col("s_name"), F.col("s_nationkey").cast("string"), F.floor("s_acctbal").cast("string")]).alias("line"))
+
+
+@query("nation", sql="""
+    SELECT n_nationkey, 'nations:row-' || substr(sha256('{"row": [["Nation", "' || n_name || '"], ["Region", "' || n_regionkey || '"]]}'), 1, 16) AS row_id,
+           'nations:row-' || substr(sha256('{"identity": [["Nation", "' || n_name || '"]]}'), 1, 16) AS identity_id,
+           'Row ' || (n_nationkey + 1) || '. Nation: ' || n_name || '; Region: ' || n_regionkey || ' key.' AS sentence FROM nation""")
+def row_ids(nation):
+    cells = [F.col("n_name"), F.col("n_regionkey").cast("string")]
+    heads = ["Nation", "Region"]
+    return nation.select(
+        "n_nationkey", tables.row_id("nations", tables.row_payload(heads, cells)).alias("row_id"), tables.row_id("nations", tables.row_payload(heads[:1], cells[:1], True)).alias("identity_id"),
+        tables.row_text(F.concat(F.lit("Row "), (F.col("n_nationkey") + 1).cast("string")), heads, cells, {"Region": "key"}).alias("sentence"),
+    )
+
+
+@query("part", sql="""
+    SELECT '**First-row finding.** For **' || p_name || '**, brand is **' || p_brand || '** and size is **' || p_size || ' cm**.' AS summary FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 1)""")
+def first_row_summary(part):
+    s = part.select("p_partkey", "p_retailprice", "p_name", "p_brand", F.col("p_size").cast("string").alias("p_size"))
+    return tables.first_row_summary(s, [F.desc("p_retailprice"), "p_partkey"], {"p_name": "Name", "p_brand": "Brand", "p_size": "Size"}, {"p_size": "cm"})
+
+
+@query("lineitem", sql="SELECT l_shipmode_key AS l_returnflag, sum(n - 1)::BIGINT AS duplicates FROM (SELECT l_returnflag AS l_shipmode_key, l_linestatus, l_quantity, l_discount, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
+def dup_rows(lineitem):
+    return tables.duplicate_rows(lineitem, ["l_linestatus", "l_quantity", "l_discount"], ["l_returnflag"])
+
+
+@query("lineitem", sql="SELECT l_orderkey, max(n) > 1 AS duplicate_rank FROM (SELECT l_orderkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY ALL")
+def dup_ordinal(lineitem):
+    return tables.duplicate_ordinals(lineitem, ["l_orderkey"], "l_quantity")
+
+
+@query("lineitem", sql="SELECT l_orderkey, coalesce(bool_or(p > l_quantity), false) AS nonmonotonic FROM (SELECT *, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p FROM lineitem) GROUP BY ALL")
+def nonmonotonic_rank(lineitem):
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return tables.nonmonotonic(lineitem.select("l_orderkey", "l_quantity", n.alias("n")), ["l_orderkey"], "n", "l_quantity")
+
+
+@query("lineitem", sql="""
+    WITH a AS (SELECT l_orderkey, l_shipdate, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+    b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC NULLS LAST, l_quantity ASC NULLS LAST, n) AS w FROM a) SELECT l_orderkey, bool_or(n <> w) AS mismatch FROM b GROUP BY ALL""")
+def ordering_mismatch(lineitem):
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return tables.ordering_mismatch(lineitem.select("l_orderkey", "l_shipdate", "l_quantity", n.alias("n")), ["l_orderkey"], "n", [("l_shipdate", "descending"), ("l_quantity", "ascending")])
+
+
+@query("orders", sql="SELECT o_custkey, o_orderkey AS row, f AS first_row FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority) AS f FROM orders) WHERE f < o_orderkey")
+def dup_identity(orders):
+    return tables.duplicate_identity(orders, ["o_custkey"], ["o_orderstatus", "o_orderpriority"], "o_orderkey")
+
+
+@query("lineitem", sql=rf"""
+    WITH c AS (SELECT l_orderkey, nullif(regexp_extract({_CELL_SQL}, '^\s*[-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\s*([A-Za-zµμΩ°%$€£¥][A-Za-z0-9µμΩ°/%$€£¥·^*._-]*)\s*$', 1), '') AS u FROM lineitem)
+    SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(lower(u)))), ', ') AS units, len(list_distinct(list(lower(u)))) > 1 AS mixed FROM c WHERE u IS NOT NULL GROUP BY ALL""")
+def mixed_units(lineitem):
+    return tables.mixed_units(cell_values(lineitem), ["l_orderkey"], "cell")
+
+
+@query("documents", sql="SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents) WHERE k > 1")
+def dup_table_id(docs):
+    return tables.second_ids(docs.select("doc_id", "source", "lang"), "source", "lang", "doc_id")
+
+
+# --- units and chunks ---------------------------------------------------------------------------
+
+_UNITS = f"""units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS ordinal, line, text FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE {_collapse('text')} <> '')"""
+
+
+@query("documents", sql=f"WITH {_UNITS} SELECT doc_id, ordinal, line, text FROM units")
+def line_units(docs):
+    return chunking.line_units(docs)
+
+
+_OFFSETS = "offs AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM units)"
+
+
+@query("documents", sql=f"WITH {_UNITS}, {_OFFSETS} SELECT doc_id, ordinal, s AS start, s + length(text) AS \"end\" FROM offs")
+def unit_offsets(docs):
+    return chunking.unit_offsets(chunking.line_units(docs)).select("doc_id", "ordinal", "start", "end")
+
+
+_CHUNKS = f"""WITH RECURSIVE {_UNITS}, {_OFFSETS},
+    walk AS (SELECT doc_id, ordinal, 0 AS g, length(text) + 2 AS used FROM units WHERE ordinal = 1
+      UNION ALL SELECT u.doc_id, u.ordinal, CASE WHEN w.used + length(u.text) > 1200 THEN w.g + 1 ELSE w.g END, CASE WHEN w.used + length(u.text) > 1200 THEN 0 ELSE w.used END + length(u.text) + 2
+      FROM walk w JOIN units u ON u.doc_id = w.doc_id AND u.ordinal = w.ordinal + 1)
+    SELECT doc_id, g AS chunk, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS body, count(*) AS n_units, min(line) AS line_start, max(line) AS line_end, min(s) AS start, max(s + length(text)) AS "end",
+      sum(length(text) + 2)::BIGINT - 2 AS n_chars, sha256(string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS lexical_hash FROM walk JOIN offs USING (doc_id, ordinal) GROUP BY ALL"""
+
+
+@query("documents", sql=_CHUNKS)
+def greedy_chunks(docs):
+    return chunking.chunks(chunking.line_units(docs))
+
+
+@query("supplier", sql="""
+    WITH n AS (SELECT s_nationkey, CAST(1 + (s_suppkey * 97) % 700 AS INT) AS c, CAST(s_suppkey + 1 AS INT) AS r FROM supplier), b AS (SELECT s_nationkey, min(c) AS c0, max(c) AS c1, min(r) AS r0, max(r) AS r1 FROM n GROUP BY ALL),
+    l AS (SELECT s_nationkey, (CASE WHEN c0 > 26 THEN chr(65 + CAST(floor((c0 - 27) / 26) AS INT) % 26) ELSE '' END) || chr(65 + (c0 - 1) % 26) || r0 AS a, (CASE WHEN c1 > 26 THEN chr(65 + CAST(floor((c1 - 27) / 26) AS INT) % 26) ELSE '' END) || chr(65 + (c1 - 1) % 26) || r1 AS z FROM b)
+    SELECT s_nationkey, CASE WHEN a = z THEN a ELSE a || ':' || z END AS range FROM l""")
+def excel_bounds(supplier):
+    ref = F.concat(X.a1_label((1 + (F.col("s_suppkey") * 97) % 700).cast("int")), (F.col("s_suppkey") + 1).cast("string"))
+    return chunking.excel_bounds(supplier.select("s_nationkey", ref.alias("ref")), ["s_nationkey"])
+
+
+@query("documents", sql=f"""
+    WITH {_UNITS}, h AS (SELECT *, CASE WHEN length(text) <= 70 AND NOT regexp_matches(text, '[.,;]$') THEN text END AS heading FROM units)
+    SELECT doc_id, ordinal, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section,
+      CASE WHEN heading IS NOT NULL THEN row_number() OVER (PARTITION BY doc_id, heading ORDER BY ordinal) - 1 END AS occurrence FROM h""")
+def section_asof(docs):
+    u = chunking.line_units(docs)
+    heading = F.when((F.length("text") <= 70) & ~F.col("text").rlike("[.,;]$"), F.col("text"))
+    h = u.withColumn("heading", heading)
+    so_far = W.partitionBy("doc_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
+    times = F.row_number().over(W.partitionBy("doc_id", "heading").orderBy("ordinal")) - 1
+    return h.select("doc_id", "ordinal", F.last("heading", True).over(so_far).alias("section"), F.when(F.col("heading").isNotNull(), times).alias("occurrence"))
+
+
+# --- lexical search -----------------------------------------------------------------------------
+
+_BM25 = """WITH t AS (SELECT doc_id, lang, {tokens} AS t FROM documents), b AS (SELECT doc_id, lang, len(t) AS dl, {tfs} FROM t),
+    s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM b) SELECT doc_id, -({score}) AS score FROM b, s WHERE {holds}"""
+
+
+def _bm25_sql(leaves: list[str], holds: str) -> str:
+    tf = ", ".join(f"({x}) AS tf{i}" for i, x in enumerate(leaves))
+    df = ", ".join(f"sum(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END) AS df{i}" for i in range(len(leaves)))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(leaves)))
+    return _BM25.format(tokens=_TOKENS, tfs=tf, dfs=df, score=score, holds=holds)
+
+
+def _term(w: str) -> str:
+    return f"len(list_filter(t, lambda x: x = '{w}'))"
+
+
+def _phrase(*words: str) -> str:
+    return "len(list_filter(range(1, len(t) + 1), lambda i: " + " AND ".join(f"t[i + {k}] = '{w}'" for k, w in enumerate(words)) + "))"
+
+
+@query("documents", sql=f"SELECT doc_id, len({_TOKENS}) AS n_tokens, len(list_distinct({_TOKENS})) AS n_terms FROM documents")
+def tokenise_counts(docs):
+    t = docs.select("doc_id", lexical.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
+
+
+@query("documents", sql=f"SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS times FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL")
+def term_frequencies(docs):
+    return lexical.postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("times"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+def _r(sql: str) -> str:
+    return f"SELECT * REPLACE (round(score, 6) AS score) FROM ({sql})"
+
+
+@query("documents", sql=_r(_bm25_sql([_term("the"), _term("and")], "tf0 > 0 AND tf1 > 0")))
+def bm25_and(docs):
+    return _rounded(lexical.bm25(docs, "the and"))
+
+
+@query("documents", sql=_r(_bm25_sql([_term("de"), _term("of"), _term("et")], "(tf0 > 0 OR tf1 > 0) AND NOT tf2 > 0").replace(" + greatest(ln((n - df2 + 0.5) / (df2 + 0.5)), 1e-6) * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * dl / avgdl))", "")))
+def bm25_boolean(docs):
+    return _rounded(lexical.bm25(docs, "(de OR of) NOT et"))
+
+
+@query("documents", sql="SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM (" + _bm25_sql([_term("that"), _term("from")], "tf0 > 0 AND tf1 > 0") + ") ORDER BY rank LIMIT 50")
+def bm25_topk(docs):
+    return _rounded(lexical.top(lexical.bm25(docs, "that from"), 50))
+
+
+@query("documents", sql=_r(_bm25_sql([_phrase("of", "the")], "tf0 > 0")))
+def phrase_match(docs):
+    return _rounded(lexical.bm25(docs, '"of the"'))
+
+
+@query("documents", sql=_r(_bm25_sql(["len(list_filter(t, lambda x: starts_with(x, 'keit')))"], "tf0 > 0")))
+def prefix_match(docs):
+    return _rounded(lexical.bm25(docs, "keit*"))
+
+
+@query("documents", sql=_r(_bm25_sql(["CASE WHEN t[1] = 'the' THEN 1 ELSE 0 END"], "tf0 > 0")))
+def first_match(docs):
+    return _rounded(lexical.bm25(docs, "^the"))
+
+
+@query("documents", sql=_r(_bm25_sql([_term("la"), _term("de")], "tf0 > 0 AND tf1 > 0 AND lang IN ('es', 'fr')")))
+def bm25_source_filter(docs):
+    return _rounded(lexical.bm25(docs, "la de", where=F.col("lang").isin("es", "fr")))
+
+
+@query("documents", sql=_r(_bm25_sql([_phrase("on", "the")], "tf0 > 0")))
+def syntax_fallback(docs):
+    return _rounded(lexical.bm25(docs, "on-the?"))
+
+
+# --- vectors and fusion -------------------------------------------------------------------------
+
+_QUERY = [((i * 37) % 19 - 9) / 60.0 for i in range(64)]
+_DIST = f"list_distance(embedding::DOUBLE[], {_QUERY}::DOUBLE[])"
+
+
+@query("embeddings", sql=f"SELECT vec_id, round(d, 6) AS distance, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, {_DIST} AS d FROM embeddings) ORDER BY rank LIMIT 50")
+def knn_l2_topk(embeddings):
+    return vectors.knn(embeddings, _QUERY, 50).withColumn("distance", F.round("distance", 6))
+
+
+@query("embeddings", "labels", sql=f"SELECT vec_id, round(d, 6) AS distance, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, {_DIST} AS d FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)) ORDER BY rank LIMIT 50")
+def knn_filtered(embeddings, labels):
+    allowed = labels.filter("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return vectors.knn(embeddings, _QUERY, 50, allowed=allowed).withColumn("distance", F.round("distance", 6))
+
+
+@query("embeddings", sql=f"SELECT label, vec_id, round(d, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS rank FROM (SELECT label, vec_id, {_DIST} AS d FROM embeddings)) WHERE rank <= 5")
+def knn_per_label(embeddings):
+    return vectors.knn_by(embeddings, _QUERY, 5, "label").withColumn("distance", F.round("distance", 6))
+
+
+@query("embeddings", sql="""
+    WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum([x * x FOR x IN embedding::DOUBLE[]])) AS s FROM embeddings)
+    SELECT vec_id, round(list_sum([x / s FOR x IN e]), 6) AS total, round(list_sum([(x / s) * (x / s) FOR x IN e]), 6) AS squared FROM n""")
+def l2_normalise(embeddings):
+    v = embeddings.select("vec_id", vectors.l2_normalised(F.col("embedding")).alias("e"))
+    add = lambda f: F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + f(x)), 6)
+    return v.select("vec_id", add(lambda x: x).alias("total"), add(lambda x: x * x).alias("squared"))
+
+
+@query("documents", sql="""
+    WITH s AS (SELECT doc_id, list_sum([i::BIGINT * unicode(c) FOR c, i IN string_split(text, '')])::BIGINT AS seed FROM documents)
+    SELECT doc_id, seed, seed % 384 AS one, (seed // 7) % 384 AS half FROM s""")
+def stub_embeddings(docs):
+    v = docs.select("doc_id", vectors.stub_seed("text").alias("seed"))
+    e = v.select("doc_id", "seed", vectors.stub_embedding(F.col("seed")).alias("e"))
+    half = F.array_position("e", F.lit(0.5).cast("float")) - 1
+    return e.select("doc_id", "seed", F.when(F.array_position("e", F.lit(1.0).cast("float")) > 0, F.array_position("e", F.lit(1.0).cast("float")) - 1).otherwise(half).alias("one"), half.alias("half"))
+
+
+@query("documents", sql="SELECT sha256(text) AS hash, min(doc_id) AS first_doc, count(*) AS shared FROM documents GROUP BY ALL")
+def embedding_dedupe(docs):
+    return docs.groupBy(X.lexical_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("shared"))
+
+
+_LEX = "SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS rank FROM (" + _bm25_sql([_term("the"), _term("of")], "tf0 > 0 AND tf1 > 0") + ") ORDER BY rank LIMIT 50"
+_VEC = f"SELECT vec_id AS doc_id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, {_DIST} AS d FROM embeddings) ORDER BY rank LIMIT 50"
+_RRF = f"""WITH l AS ({_LEX}), v AS ({_VEC}), j AS (SELECT coalesce(l.doc_id, v.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0) AS score, l.rank AS lexical_rank, v.rank AS vector_rank FROM l FULL JOIN v USING (doc_id))
+    SELECT doc_id, round(score, 9) AS score, concat_ws('+', CASE WHEN lexical_rank IS NOT NULL THEN 'lexical' END, CASE WHEN vector_rank IS NOT NULL THEN 'vector' END) AS provenance, lexical_rank, vector_rank,
+      row_number() OVER (ORDER BY score DESC, lexical_rank NULLS LAST, vector_rank NULLS LAST, doc_id) AS rank FROM j ORDER BY rank LIMIT """
+
+
+def _hybrid(docs, embeddings, limit):
+    lex = lexical.top(lexical.bm25(docs, "the of"), 50)
+    vec = vectors.knn(embeddings, _QUERY, 50).withColumnRenamed("vec_id", "doc_id")
+    return fusion.fuse(lex, vec, limit).withColumn("score", F.round("score", 9))
+
+
+@query("documents", "embeddings", sql=_RRF + "10")
+def rrf_hybrid(docs, embeddings):
+    return _hybrid(docs, embeddings, 10)
+
+
+@query("documents", "embeddings", sql=f"SELECT provenance, count(*) AS n FROM ({_RRF}100) GROUP BY ALL")
+def rrf_provenance(docs, embeddings):
+    return _hybrid(docs, embeddings, 100).groupBy("provenance").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- versions, sets and integrity ---------------------------------------------------------------
+
+_OLD = "old AS (SELECT source || '/' || doc_id || '.md' AS path, sha256(text) AS sha256, lang FROM documents)"
+_NEW = """new AS (SELECT CASE lang WHEN 'de' THEN 'moved/' ELSE '' END || source || '/' || doc_id || '.md' AS path, sha256(CASE lang WHEN 'fr' THEN text || ' ' ELSE text END) AS sha256, lang FROM documents WHERE lang <> 'es')"""
+
+
+def _old(docs):
+    return docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.sha2("text", 256).alias("sha256"), "lang")
+
+
+def _new(docs):
+    path = F.concat(F.when(F.col("lang") == "de", "moved/").otherwise(""), "source", F.lit("/"), "doc_id", F.lit(".md"))
+    body = F.when(F.col("lang") == "fr", F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    return docs.filter("lang <> 'es'").select(path.alias("path"), F.sha2(body, 256).alias("sha256"), "lang")
+
+
+@query("documents", sql=f"""WITH {_OLD}, {_NEW}, g AS (SELECT sha256, min(path) AS old_path FROM old WHERE path NOT IN (SELECT path FROM new) GROUP BY ALL HAVING count(*) = 1),
+    a AS (SELECT sha256, min(path) AS new_path FROM new WHERE path NOT IN (SELECT path FROM old) GROUP BY ALL HAVING count(*) = 1) SELECT old_path, new_path, sha256 FROM g JOIN a USING (sha256)""")
+def rename_pairs(docs):
+    return diff.rename_pairs(_old(docs), _new(docs))
+
+
+@query("documents", sql=f"""WITH {_OLD}, {_NEW}, sel AS (SELECT path FROM new WHERE lang <> 'en' OR path LIKE 'src1%')
+    SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NOT NULL AND n.path IS NULL THEN 'missing' WHEN o.path IS NOT NULL AND s.path IS NOT NULL THEN 'continuing' WHEN o.path IS NOT NULL THEN 'unselected' ELSE 'added' END AS state
+    FROM old o FULL JOIN new n ON o.path = n.path LEFT JOIN sel s ON s.path = n.path WHERE o.path IS NOT NULL OR s.path IS NOT NULL""")
+def set_plan(docs):
+    new = _new(docs)
+    return diff.set_plan(_old(docs), new, new.filter((F.col("lang") != "en") | F.col("path").startswith("src1")))
+
+
+@query("documents", sql=f"WITH {_OLD}, {_NEW} SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'missing' WHEN o.path IS NULL THEN 'extra' ELSE 'mismatch' END AS state FROM old o FULL JOIN new n ON o.path = n.path WHERE o.sha256 IS DISTINCT FROM n.sha256")
+def stale_report(docs):
+    return diff.freshness(_old(docs), _new(docs))
+
+
+@query("documents", sql=f"WITH {_OLD}, {_NEW} SELECT path FROM old WHERE path NOT IN (SELECT path FROM new)")
+def prune_plan(docs):
+    return diff.lacking(_old(docs), _new(docs), "path").select("path")
+
+
+_CHUNK_OLD = f"{_UNITS}, old AS (SELECT doc_id AS source, lower(split_part(text, ' ', 1)) AS logical_key, ordinal, sha256(text) AS h FROM units)"
+_CHUNK_NEW = """nu AS (SELECT u.doc_id, u.ordinal, CASE WHEN d.lang = 'fr' AND u.ordinal = 2 THEN text || ' !' WHEN d.lang = 'es' AND u.ordinal = 1 THEN 'new ' || text ELSE text END AS text FROM units u JOIN (SELECT doc_id, lang FROM documents) d USING (doc_id) WHERE NOT (d.lang = 'de' AND u.ordinal = 1)),
+    new AS (SELECT doc_id AS source, lower(split_part(text, ' ', 1)) AS logical_key, ordinal, sha256(text) AS h FROM nu)"""
+
+
+@query("documents", sql=f"""WITH {_CHUNK_OLD}, {_CHUNK_NEW}, a AS (SELECT *, row_number() OVER (PARTITION BY source, logical_key ORDER BY ordinal) AS k FROM old), b AS (SELECT *, row_number() OVER (PARTITION BY source, logical_key ORDER BY ordinal) AS k FROM new),
+    p AS (SELECT a.source AS source, a.logical_key, a.ordinal AS o, b.ordinal AS n, a.h = b.h AS same FROM a JOIN b ON a.source = b.source AND a.logical_key = b.logical_key AND a.k = b.k),
+    lo AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.source = b.source AND a.logical_key = b.logical_key AND a.k = b.k)), ln AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source = b.source AND a.logical_key = b.logical_key AND a.k = b.k)),
+    uo AS (SELECT source, h FROM lo GROUP BY ALL HAVING count(*) = 1), un AS (SELECT source, h FROM ln GROUP BY ALL HAVING count(*) = 1), m AS (SELECT * FROM uo JOIN un USING (source, h))
+    SELECT source, CASE WHEN same THEN 'keep' ELSE 'update' END AS action, logical_key, o AS old_ordinal, n AS new_ordinal FROM p
+    UNION ALL SELECT lo.source, 'move', lo.logical_key, lo.ordinal, ln.ordinal FROM m JOIN lo USING (source, h) JOIN ln USING (source, h)
+    UNION ALL SELECT source, 'delete', logical_key, ordinal, NULL FROM lo WHERE (source, h) NOT IN (SELECT (source, h) FROM m) UNION ALL SELECT source, 'insert', logical_key, NULL, ordinal FROM ln WHERE (source, h) NOT IN (SELECT (source, h) FROM m)""")
+def chunk_diff_actions(docs):
+    u = chunking.line_units(docs)
+    shape = lambda df: df.select(F.col("doc_id").alias("source"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("logical_key"), "ordinal", F.sha2("text", 256).alias("semantic_hash"))
+    n = u.join(docs.select("doc_id", "lang"), "doc_id").filter(~((F.col("lang") == "de") & (F.col("ordinal") == 1)))
+    body = F.when((F.col("lang") == "fr") & (F.col("ordinal") == 2), F.concat("text", F.lit(" !"))).when((F.col("lang") == "es") & (F.col("ordinal") == 1), F.concat(F.lit("new "), "text")).otherwise(F.col("text"))
+    return diff.chunk_diff(shape(u), shape(n.withColumn("text", body)))
+
+
+@query("embeddings", "documents", sql="SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def orphan_embeddings(embeddings, docs):
+    return diff.lacking(embeddings.select("vec_id"), docs.select(F.col("doc_id").alias("vec_id")), "vec_id")
+
+
+@query("documents", "embeddings", sql="SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label >= 0)")
+def missing_vectors(docs, embeddings):
+    return diff.lacking(docs.select("doc_id"), embeddings.filter("label >= 0").select(F.col("vec_id").alias("doc_id")), "doc_id")
+
+
+@query("labels", "documents", "embeddings", sql="SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = l.doc_id) OR NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
+def orphan_links(labels, docs, embeddings):
+    whole = docs.select("doc_id").join(embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    return diff.lacking(labels.select("doc_id"), whole, "doc_id")
+
+
+_NAMES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+@query(*_NAMES, sql=" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM {n}" for n in _NAMES))
+def row_counts(*dfs):
+    return maintenance.row_counts(dict(zip(_NAMES, dfs)))
+
+
+@query("documents", "pages", "conversations", "benchmark", sql=" UNION ALL ".join(f"SELECT '{n}' AS name, coalesce(sum(length({c})), 0)::BIGINT AS n_chars FROM {n}" for n, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text"))))
+def text_sizes(docs, pages_, conversations, benchmark):
+    return maintenance.text_sizes({"documents": (docs, "text"), "pages": (pages_, "html"), "conversations": (conversations, "text"), "benchmark": (benchmark, "text")})
+
+
+@query("documents", "embeddings", sql="SELECT 'embeddings' AS pair, (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS orphans, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS lacking")
+def doctor_counts(docs, embeddings):
+    j = docs.select("doc_id", F.lit(1).alias("d")).join(embeddings.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("e")), "doc_id", "full_outer")
+    return j.agg(F.lit("embeddings").alias("pair"), F.count("d").alias("chunks"), F.count("e").alias("vectors"), F.count_if(F.col("d").isNull()).alias("orphans"), F.count_if(F.col("e").isNull()).alias("lacking"))
+
+
+@query("documents", sql="""
+    WITH h AS (SELECT source, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, chr(0)), coalesce(lang, chr(0)))) AS h FROM documents) SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM h GROUP BY ALL""")
+def table_fingerprint(docs):
+    return maintenance.ordered_fingerprint(docs, ["doc_id", "text", "lang"], "source")
+
+
+@query("documents", "labels", sql="SELECT coalesce(sum(n_chars) FILTER (doc_id IN (SELECT doc_id FROM labels)), 0)::BIGINT AS used, coalesce(sum(n_chars) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)), 0)::BIGINT AS reclaimable, round(100 * coalesce(sum(n_chars) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)), 0) / sum(n_chars), 2) AS reclaimable_pct FROM documents")
+def storage_stats(docs, labels):
+    return maintenance.allocation(docs.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("bytes")), labels.select(F.col("doc_id").alias("path")))
+
+
+@query("documents", sql="SELECT source AS object, sum(n_chars)::BIGINT AS bytes, count(*) AS files FROM documents GROUP BY ALL")
+def size_by_object(docs):
+    return maintenance.size_by_object(docs.select(F.col("source").alias("object"), F.col("n_chars").alias("bytes")))
+
+
+# --- evidence -----------------------------------------------------------------------------------
+
+
+@query("conversations", sql=f"""
+    WITH p AS (SELECT conv_id AS source, turn + 1 AS page, text FROM conversations), q AS (SELECT source, page, source * 1000 + page AS quote_id, CASE page % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN text || ' x' ELSE ' ' END AS quote FROM p)
+    SELECT quote_id, source, page, CASE WHEN {_collapse('quote')} = '' THEN 'structural-error' WHEN contains(text, quote) THEN 'exact' WHEN contains({_collapse('text')}, {_collapse('quote')}) THEN 'normalised' ELSE 'not-found' END AS status FROM q JOIN p USING (source, page)""")
+def verify_quotes(conversations):
+    p = conversations.select(F.col("conv_id").alias("source"), (F.col("turn") + 1).alias("page"), "text")
+    m = F.col("page") % 4
+    quote = F.when(m == 0, F.col("text")).when(m == 1, F.replace("text", F.lit(" "), F.lit("  "))).when(m == 2, F.concat("text", F.lit(" x"))).otherwise(" ")
+    q = p.select((F.col("source") * 1000 + F.col("page")).alias("quote_id"), "source", "page", quote.alias("quote"))
+    return evidence.verify_quotes(q, p)
+
+
+@query("benchmark", "documents", sql=f"SELECT item_id AS quote_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'normalised' END AS status FROM benchmark b JOIN documents d ON contains({_collapse('d.text')}, {_collapse('b.text')})")
+def find_quotes(benchmark, docs):
+    return evidence.find_quotes(benchmark.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), docs.select("doc_id", "text"))
+
+
+_CITE = """c AS (SELECT o_custkey AS report, 'k' || (o_orderkey % 40) AS key FROM orders),
+    d AS (SELECT o_custkey AS report, 'k' || (o_orderkey % 40) AS key, CASE WHEN o_orderpriority LIKE '5%' THEN '/etc/x' ELSE 'src' || (o_orderkey % 25) END AS path, (o_orderkey % 7 - 1)::INT AS page FROM orders WHERE o_orderstatus <> 'F'),
+    s AS (SELECT DISTINCT source AS path FROM documents), p AS (SELECT DISTINCT source AS path, (doc_id % 4 + 1)::INT AS page FROM documents)"""
+
+
+@query("orders", "documents", sql=f"""WITH {_CITE}, g AS (SELECT report, key, count(*) AS n, count(DISTINCT (path, page)) AS m, min(path) AS path, min(page) AS page FROM d GROUP BY ALL),
+    u AS (SELECT DISTINCT c.report, c.key, g.n, g.path, g.page FROM c LEFT JOIN g USING (report, key) WHERE n IS NULL OR n = 1)
+    SELECT * FROM (SELECT report, key, CASE WHEN n IS NULL THEN 'missing-definition' WHEN page <= 0 THEN 'bad-page' WHEN starts_with(path, '/') THEN 'path-outside-root' WHEN path NOT IN (SELECT path FROM s) THEN 'unindexed-path'
+      WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.path = u.path AND p.page = u.page) THEN 'page-not-indexed' END AS issue FROM u) WHERE issue IS NOT NULL
+    UNION ALL SELECT report, key, CASE WHEN m > 1 THEN 'ambiguous-definition' ELSE 'duplicate-definition' END FROM g WHERE n > 1""")
+def citation_issues(orders, docs):
+    key = F.concat(F.lit("k"), (F.col("o_orderkey") % 40).cast("string"))
+    c = orders.select(F.col("o_custkey").alias("report"), key.alias("key"))
+    path = F.when(F.col("o_orderpriority").like("5%"), "/etc/x").otherwise(F.concat(F.lit("src"), (F.col("o_orderkey") % 25).cast("string")))
+    d = orders.filter("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("report"), key.alias("key"), path.alias("path"), (F.col("o_orderkey") % 7 - 1).cast("int").alias("page"))
+    return evidence.citation_issues(c, d, docs.select(F.col("source").alias("path")), docs.select(F.col("source").alias("path"), (F.col("doc_id") % 4 + 1).cast("int").alias("page")))
+
+
+@query("events", sql="""
+    WITH s AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'signup' OR event_type = 'error' THEN 1 ELSE 0 END) OVER w AS scope FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    k AS (SELECT *, list_distinct(list(CASE WHEN event_type IN ('view', 'click') THEN event_type END) OVER (PARTITION BY user_id, scope ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS ks FROM s)
+    SELECT user_id, event_id, CASE WHEN len(list_filter(ks, lambda x: x IS NOT NULL)) = 1 THEN list_filter(ks, lambda x: x IS NOT NULL)[1] END AS key FROM k WHERE event_type = 'purchase'""")
+def quote_scope(events):
+    kind = F.col("event_type")
+    return evidence.quote_scopes(events, "user_id", "event_id", kind.isin("signup", "error"), F.when(kind.isin("view", "click"), kind), kind == "purchase")
+
+
+_PAGES = "p AS (SELECT DISTINCT conv_id AS source, (turn + 1)::INT AS page FROM conversations), l AS (SELECT source, max(page) AS last FROM p GROUP BY ALL)"
+_NEED = "need AS (SELECT source, unnest([1, 3]) AS page FROM l UNION SELECT source, unnest(CASE WHEN last < 4 THEN [4] ELSE range(4, last + 1) END) FROM l)"
+_BAD = "bad AS (SELECT source, min(page)::INT AS missing FROM need WHERE (source, page) NOT IN (SELECT (source, page) FROM p) GROUP BY ALL)"
+
+
+def _conv_pages(conversations):
+    return conversations.select(F.col("conv_id").alias("source"), (F.col("turn") + 1).cast("int").alias("page"))
+
+
+@query("conversations", sql=f"WITH {_PAGES}, {_NEED}, {_BAD} SELECT source, page FROM p WHERE (page IN (1, 3) OR page >= 4) AND source NOT IN (SELECT source FROM bad)")
+def page_select(conversations):
+    return evidence.select_pages(_conv_pages(conversations), pages.parse_selector("1,3,4-"))
+
+
+@query("conversations", sql=f"WITH {_PAGES} SELECT source, page FROM p WHERE page = 1")
+def page_default(conversations):
+    return evidence.select_pages(_conv_pages(conversations), pages.parse_selector(None))
+
+
+@query("conversations", sql=f"WITH {_PAGES}, {_NEED}, {_BAD} SELECT source, missing FROM bad")
+def page_missing(conversations):
+    return evidence.missing_pages(_conv_pages(conversations), pages.parse_selector("1,3,4-"))
+
+
+@query("events", sql="""
+    SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600 * 1000000 WHERE a.event_type = 'purchase' AND b.event_type = 'click' GROUP BY ALL""")
+def nearby_band_join(events):
+    return evidence.band_counts(events, "purchase", "click", 21600)
+
+
+@query("lineitem", sql="""
+    WITH f AS (SELECT l_orderkey AS page, l_linenumber, l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR || '/' || l_partkey::VARCHAR || '/' || l_suppkey::VARCHAR AS id, l_quantity * 10 AS x0, l_quantity * 10 + 50 AS x1, l_linenumber * 60.0 AS y0, l_linenumber * 60.0 + 20 AS y1 FROM lineitem)
+    SELECT a.id AS figure_id, string_agg(b.id, ' ' ORDER BY b.y0, b.id) AS nearby_text FROM f a JOIN f b ON a.page = b.page AND b.x0 <= a.x1 + 20 AND b.x1 >= a.x0 - 20 AND greatest(b.y0 - a.y1, a.y0 - b.y1, 0) <= 72 GROUP BY ALL""")
+def nearby_text(lineitem):
+    id_ = F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    f = lineitem.select(F.col("l_orderkey").alias("page"), id_.alias("id"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 50).alias("x1"), (F.col("l_linenumber") * 60.0).alias("y0"), (F.col("l_linenumber") * 60.0 + 20).alias("y1"))
+    return evidence.nearby_text(f.withColumnRenamed("id", "figure_id"), f.withColumnRenamed("id", "text"))
