@@ -73,12 +73,12 @@ class Model:
     def probability(self, x: np.ndarray) -> np.ndarray:
         if not len(self.beta):
             return np.ones(len(x))
-        return np.interp(self.map(x) @ self.beta, self.knots, self.values)
+        return np.interp((self.map(x) * self.beta).sum(1), self.knots, self.values)
 
 
 def fourier(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Random Fourier features and a constant."""
-    z = np.sqrt(2 / w.shape[1]) * np.cos(np.clip(x, -8, 8) @ w + b)
+    """Random Fourier features and a constant; sums go row by row, so that a row's value doesn't depend on its batch."""
+    z = np.sqrt(2 / w.shape[1]) * np.cos(np.einsum("ij,jk->ik", np.clip(x, -8, 8), w) + b)
     return np.hstack([z, np.ones((len(x), 1))])
 
 
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
         held = table.filter("held").select("x", "y").toPandas()
         if held["y"].nunique() < 2:
             held = table.select("x", "y").toPandas()
-        score = fourier((np.array(held["x"].tolist()) - mean) / scale, w, b) @ beta
+        score = (fourier((np.array(held["x"].tolist()) - mean) / scale, w, b) * beta).sum(1)
         return Model(mean, scale, w, b, beta, *isotonic(score, held["y"].to_numpy(), held["y"].map(weight).to_numpy()))
     finally:
         table.unpersist()
