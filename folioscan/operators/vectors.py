@@ -70,6 +70,24 @@ def stub_seed(text: str) -> Column:
     return seed(text)
 
 
+def embed_stub(text: str, size: int = 384) -> Column:
+    """The deterministic embedder in one step, from text to vector."""
+
+    @F.arrow_udf("array<float>")
+    def embed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            out = []
+            for t in part.to_pylist():
+                seed = sum(i * ord(c) for i, c in enumerate(t or "", 1))
+                v = [0.0] * size
+                v[seed % size] = 1.0
+                v[seed // 7 % size] = 0.5
+                out.append(v)
+            yield pa.array(out, type=pa.list_(pa.float32()))
+
+    return embed(text)
+
+
 def stub_embedding(seed: Column, size: int = 384) -> Column:
     """The deterministic embedder's vector: 1.0 at seed mod size, then 0.5 at (seed div 7) mod size."""
     a, b = seed % size, F.floor(seed / 7) % size

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as X
-from folioscan.operators import chunking, diff, evidence, fusion, lexical, maintenance, pages, tables, vectors
+from folioscan.operators import chunking, diff, evidence, fusion, lexical, maintenance, normalise, pages, publish, report, tables, vectors
+from folioscan.sources import units
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -584,7 +585,7 @@ def page_missing(conversations):
 
 
 @query("events", sql="""
-    SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600 * 1000000 WHERE a.event_type = 'purchase' AND b.event_type = 'click' GROUP BY ALL""")
+    SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000 WHERE a.event_type = 'purchase' AND b.event_type = 'click' GROUP BY ALL""")
 def nearby_band_join(events):
     return evidence.band_counts(events, "purchase", "click", 21600)
 
@@ -596,3 +597,68 @@ def nearby_text(lineitem):
     id_ = F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     f = lineitem.select(F.col("l_orderkey").alias("page"), id_.alias("id"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 50).alias("x1"), (F.col("l_linenumber") * 60.0).alias("y0"), (F.col("l_linenumber") * 60.0 + 20).alias("y1"))
     return evidence.nearby_text(f.withColumnRenamed("id", "figure_id"), f.withColumnRenamed("id", "text"))
+
+
+# --- documents with tables, from nation and region ----------------------------------------------
+
+
+def _atlas(region, nation, html=False):
+    """A document for each region with a table of its nations."""
+    cell = F.format_string("<tr><td>%d</td><td>%s</td></tr>" if html else "| %d | %s |", F.col("n_nationkey").cast("int"), F.col("n_name"))
+    rows = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", cell.alias("c")))), lambda x: x["c"]), "" if html else "\n").alias("rows"))
+    d = region.join(rows, F.col("r_regionkey") == F.col("n_regionkey"))
+    key = F.col("r_regionkey").cast("string")
+    if html:
+        body = F.concat(F.lit('\n\n<table id="nations-'), key, F.lit('"><caption>Nations of '), F.col("r_name"), F.lit("</caption><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody>"), F.col("rows"), F.lit("</tbody></table>\n"))
+    else:
+        body = F.concat(F.lit("\n\n| Key | Name |\n|----:|:-----|\n"), F.col("rows"), F.lit("\n\n: Nations of "), F.col("r_name"), F.lit(" {#nations-"), key, F.lit("}\n\nThese are all.\n"))
+    return d.select("r_regionkey", F.concat(F.lit("# "), F.col("r_name"), body).alias("text"))
+
+
+@query("region", "nation", sql="""
+    SELECT r_regionkey, 'nations-' || r_regionkey AS table_id, row_number() OVER w AS row,
+           'Table: Nations of ' || r_name || '. Table identifier: nations-' || r_regionkey || '. Section: ' || r_name || '. Columns: Key; Name. Row ' || row_number() OVER w || '. Key: ' || n_nationkey || '; Name: ' || n_name || '.' AS record,
+           'nations-' || r_regionkey || ':row-' || substr(sha256('{"row": [["Key", "' || n_nationkey || '"], ["Name", "' || n_name || '"]]}'), 1, 16) AS row_id
+    FROM region JOIN nation ON r_regionkey = n_regionkey WINDOW w AS (PARTITION BY r_regionkey ORDER BY n_nationkey)""")
+def table_records(region, nation):
+    return normalise.table_rows(normalise.documents_tables(_atlas(region, nation), "r_regionkey"), "r_regionkey").drop("cells")
+
+
+@query("region", "nation", sql="""
+    SELECT r_regionkey, 'nations-' || r_regionkey AS table_id, 'html' AS source_format, count(*) AS n_rows, 3 AS start_line,
+           '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) || chr(10) || chr(10) || ': Nations of ' || any_value(r_name) || ' {#nations-' || r_regionkey || '}' AS canonical_markdown
+    FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey""")
+def html_tables(region, nation):
+    t = normalise.documents_tables(_atlas(region, nation, html=True), "r_regionkey")
+    return t.select("r_regionkey", "table_id", "source_format", F.size("rows").cast("bigint").alias("n_rows"), "start_line", "canonical_markdown")
+
+
+@query("region", "nation", sql="""
+    SELECT r_regionkey, unnest([0, 1, 2, 3]) AS ordinal, unnest(['heading', 'body', 'body', 'body']) AS content_type,
+           unnest([r_name || '#0:heading', r_name || '#0:p0000', r_name || '#0:p0001', r_name || '#0:p0002']) AS logical_key,
+           unnest([1, 3, 6 + n, 8 + n]) AS line_start, unnest([1, 4 + n, 6 + n, 8 + n]) AS line_end
+    FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL) ON r_regionkey = n_regionkey""")
+def markdown_units(region, nation):
+    files = _atlas(region, nation).select(F.concat(F.col("r_regionkey").cast("string"), F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    u = units.units_of(units.parse_files(files))
+    return u.select(F.regexp_replace("path", "\\.md$", "").cast("int").alias("r_regionkey"), "ordinal", "content_type", "logical_key", "line_start", "line_end")
+
+
+@query("supplier", sql="SELECT '| ' || s_suppkey || ' | ' || replace(s_name, '#', '#') || ' | ' || printf('%.2f', s_acctbal) || ' |' AS line FROM supplier")
+def published_lines(supplier):
+    return publish.table_lines(supplier, ["s_suppkey"], ["s_suppkey", "s_name", "s_acctbal"], {"s_acctbal": ".2f"})
+
+
+@query("conversations", sql="""
+    WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+    p AS (SELECT DISTINCT conv_id, (turn + 1)::BIGINT AS page FROM conversations),
+    c AS (SELECT conv_id, unnest([1, 2, 99]) AS want FROM (SELECT DISTINCT conv_id FROM conversations))
+    SELECT 'reports/' || c.conv_id || '.md' AS report, 'k' || want AS key, 'page-not-indexed' AS issue FROM c LEFT JOIN p ON c.conv_id = p.conv_id AND c.want = p.page WHERE p.page IS NULL""")
+def report_issues(conversations):
+    """A report for each conversation that cites its first, second and ninety-ninth page."""
+    ids = conversations.select(F.col("conv_id").cast("string").alias("c")).distinct()
+    line = lambda n: F.concat(F.lit(f"[text][k{n}] "))
+    define = lambda n: F.concat(F.lit(f"[k{n}]: ../src/"), F.col("c"), F.lit(f".pdf#page={n}\n"))
+    reports = ids.select(F.concat(F.lit("reports/"), F.col("c"), F.lit(".md")).alias("report"), F.concat(line(1), line(2), line(99), F.lit("\n\n"), define(1), define(2), define(99)).alias("text"))
+    held = conversations.select(F.concat(F.lit("src/"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("path"), (F.col("turn") + 1).cast("bigint").alias("page"), "text")
+    return report.verify_reports(reports, held)[0]

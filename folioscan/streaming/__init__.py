@@ -1 +1 @@
-"""Part of folioscan; see the README for the layout."""
+"""Structured Streaming wrappers of batch operators."""
