@@ -146,7 +146,7 @@ def parser() -> argparse.ArgumentParser:
     c = p.add_subparsers(dest="command", required=True)
     t = c.add_parser("table", help="normalise exactly one table")
     t.add_argument("input")
-    t.add_argument("--to", choices=["text", "json", "canonical-markdown", "debug-markdown"], default="text")
+    t.add_argument("--to", default="text", choices="text json canonical-markdown debug-markdown".split())
     for name in ("document-path", "table-id", "caption", "ordering"):
         t.add_argument(f"--{name}")
     t.add_argument("--section", action="append")
@@ -154,7 +154,7 @@ def parser() -> argparse.ArgumentParser:
     t.set_defaults(run=_table)
     d = c.add_parser("document", help="normalise every table of a document")
     d.add_argument("input")
-    d.add_argument("--to", choices=["jsonl", "embedding-markdown", "summary"], default="summary")
+    d.add_argument("--to", default="summary", choices="summary jsonl embedding-markdown".split())
     d.add_argument("--strict", action="store_true")
     d.set_defaults(run=_document)
     k = c.add_parser("check", help="report tables with errors in a file or tree")
@@ -168,14 +168,13 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--manifest", action="append", required=True)
         if name == "sync":
             s.add_argument("--root", required=True)
-            s.add_argument("--max-chunk-chars", type=int, default=1200)
+            s.add_argument("--max-chunk-chars", default=1200, type=int)
             s.add_argument("--full", action="store_true")
             s.add_argument("--reembed", action="store_true")
         elif name == "search":
             s.add_argument("query")
-            s.add_argument("--limit", type=int, default=10)
-            s.add_argument("--lexical-limit", type=int, default=50)
-            s.add_argument("--vector-limit", type=int, default=50)
+            for option, depth in (("--limit", 10), ("--lexical-limit", 50), ("--vector-limit", 50)):
+                s.add_argument(option, default=depth, type=int)
             s.add_argument("--source-type", action="append")
         elif name == "prune":
             s.add_argument("--apply", action="store_true")
@@ -188,7 +187,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv=None) -> int:
     a = parser().parse_args(argv)
     return a.run(a)
 

@@ -11,18 +11,19 @@ from typing import Any
 
 from folioscan.functions.text import LOWER_UNITS, MISSING
 
-ORDINALS = frozenset(("index", "order", "position", "rank", "row"))
-_TAIL_UNIT = re.compile(r"(?:\(([^()]*)\)|\[([^\[\]]*)\])\s*$")
-_QUANTITY = re.compile(r"\s*[-+]?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?\s*([A-Za-zµμΩ°%$€£¥][A-Za-z0-9µμΩ°/%$€£¥·^*._-]*)\s*$")
-_NUMBER = re.compile(r"\s*([-+]?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?)")
-_CAPTION_ID = re.compile(r"\s*\{#([A-Za-z][\w.:-]*)\}\s*$", re.ASCII)
+ORDINALS = frozenset("rank row position order index".split())
+_TAIL_UNIT = re.compile(r"(?:\[(?P<square>[^\]\[]*)\]|\((?P<round>[^)(]*)\))\s*$")
+_DIGITS = r"\s*([+-]?\d[,\d]*(?:\.\d+)?(?:[Ee][+-]?\d+)?)"
+_NUMBER = re.compile(_DIGITS)
+_QUANTITY = re.compile(_DIGITS + r"\s*([%$€£¥°Ωµμa-zA-Z][%$€£¥°Ωµμ·*^./0-9a-zA-Z_-]*)\s*$")
+_CAPTION_ID = re.compile(r"(?a)\s*\{#(?P<id>[a-zA-Z][\w.:-]*)\}\s*$")
 
 
 def collapse_space(s: str) -> str:
     return " ".join(s.split())
 
 
-def slug(s: str, fallback: str = "table") -> str:
+def slug(s: str, fallback="table") -> str:
     return "-".join(re.findall("[a-z0-9]+", s.lower())) or fallback
 
 
@@ -46,13 +47,13 @@ def looks_like_unit(s: str) -> bool:
 
 def header_unit(s: str) -> str | None:
     m = _TAIL_UNIT.search(s)
-    unit = collapse_space(m.group(1) or m.group(2) or "") if m else ""
+    unit = collapse_space(m["round"] or m["square"] or "") if m else ""
     return unit if looks_like_unit(unit) else None
 
 
 def cell_unit(s: str) -> str | None:
     m = _QUANTITY.match(s)
-    return m.group(1) if m else None
+    return m.group(2) if m else None
 
 
 def normalise_label(s: str) -> str:
@@ -70,7 +71,7 @@ def sentence(s: str) -> str:
 
 
 def escape_pipe_cell(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("|", "\\|").replace("\n", "<br>")
+    return re.sub(r"([|\\])", r"\\\1", s).replace("\n", "<br>")
 
 
 def escape_inline(s: str) -> str:
@@ -86,7 +87,7 @@ def digest(value: Any, digits: int = 64) -> str:
     return sha256(canonical_json(value).encode("utf-8", "surrogatepass")).hexdigest()[:digits]
 
 
-def fence(text: str, language: str = "") -> list[str]:
+def fence(text: str, language="") -> list:
     """A code block whose fence is longer than any run of its sign inside; tildes where they need fewer."""
     ticks, tildes = (max(map(len, re.findall(f"{c}+", text)), default=0) for c in "`~")
     mark = "`" * max(3, ticks + 1) if ticks <= tildes else "~" * max(3, tildes + 1)

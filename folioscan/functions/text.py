@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: Unicode white space as Python's str.isspace has it; Java's \s, with or without (?U), is another set.
 SPACE = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
-MISSING = ["", "na", "n/a", "nan", "null", "not available"]
-LOWER_UNITS = ["bar", "degc", "degf", "g", "h", "hz", "kg", "km", "m", "min", "mm", "ms", "p.u.", "pa", "pu", "s"]
+MISSING = ["", *"na n/a nan null".split(), "not available"]
+LOWER_UNITS = "pu p.u. pa hz h min s ms kg g km m mm bar degc degf".split()
 _TAIL_UNIT = "(?:\\(([^()]*)\\)|\\[([^\\[\\]]*)\\])" + SPACE + "*$"
-_QUANTITY = "^" + SPACE + "*[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?(?:[eE][-+]?[0-9]+)?" + SPACE + "*([A-Za-zµμΩ°%$€£¥][A-Za-z0-9µμΩ°/%$€£¥·^*._-]*)" + SPACE + "*$"
+_QUANTITY = "^" + SPACE + "*[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?(?:[eE][-+]?[0-9]+)?" + SPACE + "*([%$€£¥°Ωµμa-zA-Z][%$€£¥°Ωµμ·*^./0-9a-zA-Z_-]*)" + SPACE + "*$"
 _NUMBER = "^" + SPACE + "*([-+]?[0-9][0-9,]*(?:\\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
 
 
@@ -34,11 +34,11 @@ def slug(c: Column, fallback: str = "table") -> Column:
 
 def caption_id(c: Column) -> Column:
     """The id in a caption's final ``{#id}``, or null."""
-    return none_if_empty(F.regexp_extract(c, "\\{#([A-Za-z][A-Za-z0-9_.:-]*)\\}" + SPACE + "*$", 1))
+    return none_if_empty(F.regexp_extract(c, "\\{#([a-zA-Z][\\w.:-]*)\\}" + SPACE + "*$", 1))
 
 
 def strip_caption_id(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, SPACE + "*\\{#([A-Za-z][A-Za-z0-9_.:-]*)\\}" + SPACE + "*$", ""))
+    return F.trim(F.regexp_replace(c, SPACE + "*\\{#([a-zA-Z][\\w.:-]*)\\}" + SPACE + "*$", ""))
 
 
 def escape_pipe_cell(c: Column) -> Column:

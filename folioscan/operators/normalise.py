@@ -21,24 +21,28 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import pytext as P
 from folioscan.sources import doctables as D
-from folioscan.sources.doctables import Diagnostic, Parsed, TableError
+from folioscan.sources.doctables import Diagnostic, Parsed, TableError, fault, warning
 
 VERSION = "tables-1"
-_CLAUSE = re.compile(r"([^,]+?)\s+(ascending|descending)\b", re.I)
-_ISO = re.compile(r"\d{4}-\d{2}-\d{2}(?:[T ].*)?$")
+MEMORY = "<memory>"
+Maybe = str | None
+Names = Sequence[str]
+Words = Mapping[str, str]
+_CLAUSE = re.compile(r"(?i)([^,]+?)\s+(asc|desc)ending\b")
+_ISO = re.compile(r"(?:\d\d){2}(?:-\d\d){2}(?:[ T].*|)$")
 
 
 @dataclass
 class Context:
     """What the caller knows about a table; it goes before what the source says."""
 
-    document_path: str = "<memory>"
-    section_path: tuple[str, ...] = ()
-    source_code_path: str | None = None
-    table_id: str | None = None
-    caption: str | None = None
-    ordering: str | None = None
-    metadata: Mapping[str, Any] = field(default_factory=dict)
+    document_path: str = MEMORY
+    section_path: Names = ()
+    source_code_path: Maybe = None
+    table_id: Maybe = None
+    caption: Maybe = None
+    ordering: Maybe = None
+    metadata: Mapping = field(default_factory=dict)
 
 
 @dataclass
@@ -68,25 +72,26 @@ class Table:
 
     @property
     def has_errors(self) -> bool:
-        return any(d.severity == "error" for d in self.diagnostics)
+        return "error" in {d.severity for d in self.diagnostics}
 
-    def to_dict(self) -> dict[str, Any]:
+    def to_dict(self) -> dict:
         return asdict(self) | {"metadata": json.loads(self.metadata)}
 
-    def to_json(self, indent: int | None = 2) -> str:
-        return json.dumps(self.to_dict(), ensure_ascii=False, sort_keys=True, indent=indent)
+    def to_json(self, indent=2) -> str:
+        said = self.to_dict()
+        return json.dumps(said, sort_keys=True, indent=indent, ensure_ascii=False)
 
 
-def _ordinal(headers: Sequence[str]) -> int | None:
+def _ordinal(headers: Names) -> int | None:
     return next((k for k, h in enumerate(headers) if P.normalise_label(h) in P.ORDINALS), None)
 
 
-def _identity_columns(headers: Sequence[str], identity: Sequence[str]) -> list[int | None]:
+def _identity_columns(headers: Names, identity: Names) -> list[int | None]:
     place = {P.normalise_label(h): k for k, h in enumerate(headers)}
     return [place.get(P.normalise_label(c)) for c in identity]
 
 
-def row_id(table_id: str, headers: Sequence[str], row: Sequence[str], identity: Sequence[str]) -> str:
+def row_id(table_id: str, headers: Names, row: Names, identity: Names) -> str:
     """Hash of the identity columns where the table has them all, else of the whole row."""
     at = _identity_columns(headers, identity)
     if at and None not in at:
@@ -96,7 +101,7 @@ def row_id(table_id: str, headers: Sequence[str], row: Sequence[str], identity:
     return f"{table_id}:row-{P.digest(what, 16)}"
 
 
-def derived_id(caption: str | None, section: Sequence[str], document: str, headers: Sequence[str]) -> str:
+def derived_id(caption: str | None, section: Names, document: str, headers: Names) -> str:
     """An id that doesn't depend on the values."""
     title = caption or (section[-1] if section else "table")
     return f"{P.slug(title)}-{P.digest({'document': document, 'section': list(section), 'headers': list(headers)}, 8)}"
@@ -107,7 +112,7 @@ def sort_value(s: str) -> tuple[int, Any]:
     s = s.strip()
     if _ISO.match(s):
         try:
-            at = datetime.fromisoformat(s.replace("Z", "+00:00"))
+            at = datetime.fromisoformat(s)
             return 1, (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp()
         except ValueError:
             try:
@@ -118,9 +123,9 @@ def sort_value(s: str) -> tuple[int, Any]:
     return (0, n) if n is not None else (2, s.casefold())
 
 
-def _best_header(phrase: str, headers: Sequence[str]) -> int | None:
+def _best_header(phrase: str, headers: Names) -> int | None:
     want = P.normalise_label(phrase)
-    words = set(want.split()) - {"by", "ordered", "sort", "sorted"}
+    words = set(want.split()).difference("by sort sorted ordered".split())
     scores = []
     for h in headers:
         have = P.normalise_label(h)
@@ -129,9 +134,9 @@ def _best_header(phrase: str, headers: Sequence[str]) -> int | None:
     return scores.index(best) if best else None
 
 
-def check_ordering(headers: Sequence[str], rows: Sequence[Sequence[str]], ordering: str) -> Diagnostic | None:
+def check_ordering(headers: Names, rows: Sequence[Names], ordering: str) -> Diagnostic | None:
     """Whether stable sorting by the declared clauses would move a row; missing values come last either way."""
-    clauses = [(k, way.lower() == "descending") for phrase, way in _CLAUSE.findall(ordering.replace(" then ", ", ")) if (k := _best_header(phrase.strip(), headers)) is not None]
+    clauses = [(k, way.lower() == "desc") for phrase, way in _CLAUSE.findall(ordering.replace(" then ", ", ")) if (k := _best_header(phrase.strip(), headers)) is not None]
     if not clauses:
         return Diagnostic("table.ordering-unchecked", "info", f'No column fits the declared ordering "{ordering}".')
     order = list(range(len(rows)))
@@ -139,17 +144,17 @@ def check_ordering(headers: Sequence[str], rows: Sequence[Sequence[str]], orderi
         there = [i for i in order if not P.is_missing(rows[i][k])]
         order = sorted(there, key=lambda i: sort_value(rows[i][k]), reverse=down) + [i for i in order if P.is_missing(rows[i][k])]
     if order != list(range(len(rows))):
-        return Diagnostic("table.ordering-mismatch", "error", f'Rows don\'t stand in the declared order "{ordering}".')
+        return fault("ordering-mismatch", f'Rows don\'t stand in the declared order "{ordering}".')
     return None
 
 
-def _unit_findings(headers: Sequence[str], raw: Sequence[str], rows: Sequence[Sequence[str]], units: Mapping[str, str]) -> Iterator[Diagnostic]:
+def _unit_findings(headers: Names, raw: Names, rows: Sequence[Names], units: Words) -> Iterator[Diagnostic]:
     key = lambda u: re.sub(r"\s+", "", u).casefold().replace("μ", "µ")
     for k, (h, r) in enumerate(zip(headers, raw)):
         own = P.header_unit(h)
         declared = units.get(r) or units.get(h) or own
         if declared and own and key(declared) != key(own):
-            yield Diagnostic("table.header-unit-conflict", "warning", f'"{h}" has the unit "{own}" in its header, but "{declared}" is declared.', column=k + 1)
+            yield warning("header-unit-conflict", f'"{h}" has the unit "{own}" in its header, but "{declared}" is declared.', column=k + 1)
         seen: dict[str, str] = {}
         for n, row in enumerate(rows, 1):
             u = P.cell_unit(row[k])
@@ -157,49 +162,49 @@ def _unit_findings(headers: Sequence[str], raw: Sequence[str], rows: Sequence[Se
                 continue
             seen.setdefault(key(u), u)
             if declared and key(u) != key(declared):
-                yield Diagnostic("table.unit-conflict", "warning", f'A value in "{u}" under "{h}", whose unit is "{declared}".', row=n, column=k + 1)
+                yield warning("unit-conflict", f'A value in "{u}" under "{h}", whose unit is "{declared}".', row=n, column=k + 1)
         if len(seen) > 1:
-            yield Diagnostic("table.mixed-units", "warning", f'"{h}" mixes the units {", ".join(sorted(seen.values(), key=str.casefold))}.', column=k + 1)
+            yield warning("mixed-units", f'"{h}" mixes the units {", ".join(sorted(seen.values(), key=str.casefold))}.', column=k + 1)
 
 
-def findings(headers: Sequence[str], raw: Sequence[str], rows: Sequence[Sequence[str]], units: Mapping[str, str], ordering: str | None, identity: Sequence[str]) -> Iterator[Diagnostic]:
+def findings(headers: Names, raw: Names, rows: Sequence[Names], units: Words, identity: Names, ordering: Maybe) -> Iterator[Diagnostic]:
     """Everything that is wrong or odd about a table's content."""
     twice = sorted(h for h, n in Counter(map(P.normalise_label, headers)).items() if n > 1)
     if twice:
-        yield Diagnostic("table.duplicate-headers", "error", "Headers that are the same once normalised: " + ", ".join(twice))
+        yield fault("duplicate-headers", "Headers that are the same once normalised: " + ", ".join(twice))
     if not rows:
-        yield Diagnostic("table.empty-body", "warning", "There are no data rows.")
+        yield warning("empty-body", "There are no data rows.")
     extra = len(rows) - len(set(map(tuple, rows)))
     if extra:
-        yield Diagnostic("table.duplicate-rows", "warning", f"{extra} row(s) repeat an earlier one.")
+        yield warning("duplicate-rows", f"{extra} row(s) repeat an earlier one.")
     o = _ordinal(headers)
     if o is not None:
         values = [v for row in rows if (v := row[o].strip())]
         if len(set(values)) < len(values):
-            yield Diagnostic("table.duplicate-rank", "error", f'Values of "{headers[o]}" recur.', column=o + 1)
+            yield fault("duplicate-rank", f'Values of "{headers[o]}" recur.', column=o + 1)
         numbers = [P.number(v) for v in values]
         if None not in numbers and any(a > b for a, b in zip(numbers, numbers[1:])):
-            yield Diagnostic("table.nonmonotonic-rank", "warning", f'"{headers[o]}" falls somewhere.', column=o + 1)
+            yield warning("nonmonotonic-rank", f'"{headers[o]}" falls somewhere.', column=o + 1)
     at = _identity_columns(headers, identity)
     for name, k in zip(identity, at):
         if k is None:
-            yield Diagnostic("table.missing-row-identity-column", "error", f'The row identity names "{name}", which is no column.')
+            yield fault("missing-row-identity-column", f'The row identity names "{name}", which is no column.')
     if at and None not in at:
-        first: dict[tuple[str, ...], int] = {}
+        first: dict[tuple, int] = {}
         for n, row in enumerate(rows, 1):
             gone = [headers[k] for k in at if P.is_missing(row[k])]
             if gone:
-                yield Diagnostic("table.missing-row-identity-value", "error", "The row identity lacks: " + ", ".join(gone), row=n)
+                yield fault("missing-row-identity-value", "The row identity lacks: " + ", ".join(gone), row=n)
                 continue
             before = first.setdefault(tuple(row[k].strip() for k in at), n)
             if before != n:
-                yield Diagnostic("table.duplicate-row-identity", "error", f"Same identity as row {before}.", row=n)
+                yield fault("duplicate-row-identity", f"Same identity as row {before}.", row=n)
     yield from _unit_findings(headers, raw, rows, units)
     if ordering and (d := check_ordering(headers, rows, ordering)):
         yield d
 
 
-def row_sentence(number: int, headers: Sequence[str], raw: Sequence[str], row: Sequence[str], units: Mapping[str, str]) -> str:
+def row_sentence(number: int, headers: Names, raw: Names, row: Names, units: Words) -> str:
     """A record in words; the ordinal column names it and isn't repeated."""
     o = _ordinal(headers)
     name = f"Row {number}" if o is None or P.is_missing(row[o]) else f"{headers[o]} {row[o]}"
@@ -215,63 +220,54 @@ def row_sentence(number: int, headers: Sequence[str], raw: Sequence[str], row: S
     return P.sentence(f"{name}. {'; '.join(parts)}")
 
 
-def _text_map(value: Any) -> dict[str, str]:
-    if value is None:
-        return {}
-    if not isinstance(value, Mapping):
-        raise TableError("labels and units are mappings")
-    return {str(k): str(v) for k, v in value.items()}
+def _text_map(said: Mapping, name: str) -> Words:
+    try:
+        return {str(k): str(v) for k, v in dict(said.get(name) or {}).items()}
+    except (TypeError, ValueError) as e:
+        raise TableError(f"{name} must map names to texts") from e
 
 
-def _text_list(value: Any) -> list[str]:
-    if value is None:
-        return []
-    if isinstance(value, str):
-        return [value]
-    if not isinstance(value, Sequence):
-        raise TableError("row_identity is a list")
-    return [str(v) for v in value]
+def _text_list(said: Mapping, name: str) -> list:
+    v = said.get(name) or []
+    if not isinstance(v, (str, list, tuple)):
+        raise TableError(f"{name} must list names")
+    return [v] if isinstance(v, str) else [*map(str, v)]
 
 
 def build(parsed: Parsed, source: str, source_format: str, context: Context, metadata: Mapping[str, Any], canonical: str | None = None, lines: tuple[int, int] | None = None) -> Table:
     """The normalised table of parsed cells."""
-    labels, units, identity = _text_map(metadata.get("labels")), _text_map(metadata.get("units")), _text_list(metadata.get("row_identity"))
+    labels, units, identity = _text_map(metadata, "labels"), _text_map(metadata, "units"), _text_list(metadata, "row_identity")
     description = metadata.get("description") or None
     ordering = context.ordering or metadata.get("ordering") or None
     raw = list(map(P.collapse_space, parsed.headers))
     headers = [labels.get(h, h) for h in raw]
     rows = [list(map(P.collapse_space, row)) for row in parsed.rows]
-    caption = context.caption or parsed.caption or description
+    caption = next(filter(None, (context.caption, parsed.caption, description)), None)
     section = list(context.section_path)
     table_id = context.table_id or parsed.table_id or metadata.get("table_id") or derived_id(caption, section, context.document_path, headers)
-    found = [*parsed.diagnostics, *findings(headers, raw, rows, units, ordering, identity)]
+    found = [*parsed.diagnostics, *findings(headers, raw, rows, units, identity, ordering)]
 
     title = caption or (section[-1] if section else table_id)
-    about = [f"Table: {title}", f"Table identifier: {table_id}"]
-    if context.document_path not in ("", "<memory>"):
-        about.append(f"Source document: {context.document_path}")
-    if context.source_code_path:
-        about.append(f"Executable source: {context.source_code_path}")
-    if section:
-        about.append(f"Section: {' > '.join(section)}")
-    if description and description != title:
-        about.append(f"Description: {description}")
-    if ordering:
-        about.append(f"Ordering: {ordering}")
-    if identity:
-        about.append(f"Row identity columns: {'; '.join(identity)}")
-    about.append(f"Columns: {'; '.join(headers)}")
+    document = context.document_path if context.document_path != MEMORY else None
+    facts = {
+        "Table": title, "Table identifier": table_id, "Source document": document, "Executable source": context.source_code_path, "Section": " > ".join(section),
+        "Description": None if description == title else description, "Ordering": ordering, "Row identity columns": "; ".join(identity),
+    }
+    about = [f"{name}: {fact}" for name, fact in facts.items() if fact] + ["Columns: " + "; ".join(headers)]
     said = [row_sentence(n, headers, raw, row, units) for n, row in enumerate(rows, 1)]
     front = " ".join(map(P.sentence, about))
 
     if canonical is None:
         line = lambda cells: "| " + " | ".join(cells) + " |"
-        rules = [{"left": ":---", "center": ":---:", "right": "---:"}.get(a, "---") for a in (parsed.alignments + ["default"] * len(headers))[: len(headers)]]
-        canonical = "\n".join([line(map(P.escape_pipe_cell, headers)), line(rules), *[line(map(P.escape_pipe_cell, row)) for row in rows], *(["", f": {caption} {{#{table_id}}}"] if caption else [])])
-    kept = dict(metadata) | {"labels": labels, "units": units, "row_identity": identity, "raw_headers": raw}
+        marks = dict(left=":---", right="---:", center=":---:")
+        rules = [marks.get(a, "---") for a, _ in zip([*parsed.alignments, *[""] * len(headers)], headers)]
+        shown = [line(map(P.escape_pipe_cell, cells)) for cells in (headers, *rows)]
+        below = f"\n\n: {caption} {{#{table_id}}}" if caption else ""
+        canonical = "\n".join([shown[0], line(rules), *shown[1:]]) + below
+    kept = dict(metadata) | dict(raw_headers=raw, row_identity=identity, units=units, labels=labels)
     kept |= {k: v for k, v in (("ordering", ordering), ("description", description)) if v}
     return Table(
-        table_id, caption, section, headers, rows, source_format, source, canonical, "\n".join(about) + "\n\n" + "\n\n".join(said or ["This table contains no data rows."]),
+        table_id, caption, section, headers, rows, source_format, source, canonical, "\n\n".join(["\n".join(about), *(said or ["This table contains no data rows."])]),
         [row_id(table_id, headers, row, identity) for row in rows], [f"{front} {s}" for s in said], found, not any(d.severity == "error" and d.code.startswith("table.unsupported") for d in found),
         source_hash(source, context), context.document_path, context.source_code_path, *(lines or (None, None)), metadata=P.canonical_json(kept),
     )
@@ -316,13 +312,13 @@ def normalise_table(source: str, context: Context | None = None, strict: bool =
 
 def _failed(f: D.Found, context: Context, error: Exception) -> Table:
     """A table that couldn't be read, kept as raw evidence."""
-    ids = re.findall(r"\{#([A-Za-z][\w.:-]*)\}", f.source) if f.kind != "html" else [m for m in re.findall(r"<table\b[^>]*\bid\s*=\s*[\"']([A-Za-z][\w.:-]*)[\"']", f.source)[:1]]
+    ids = re.findall(r"\{#([A-Za-z][\w.:-]*)\}", f.source) if f.kind != "html" else re.findall(r"(?i)<table[^>]*?\sid=[\"']?([A-Za-z][\w.:-]*)", f.source)[:1]
     table_id = f.metadata.get("table_id") or (ids[-1] if ids else f"table-{P.digest([context.document_path, list(f.section), f.start, f.kind], 8)}")
-    d = Diagnostic("table.normalisation-failed", "error", f"Kept as raw evidence: {error}")
+    d = fault("normalisation-failed", f"Kept as raw evidence: {error}")
     return Table(str(table_id), None, list(f.section), [], [], "html" if f.kind == "html" else "markdown", f.source, "", "", [], [], [d], False, source_hash(f.source, context), context.document_path, context.source_code_path, f.start, f.end, P.canonical_json(f.metadata | {"error": str(error)}))
 
 
-def document_tables(text: str, document_path: str = "<memory>", source_code_path: str | None = None, strict: bool = False) -> list[Table]:
+def document_tables(text: str, document_path: str = MEMORY, source_code_path: Maybe = None, strict: bool = False) -> list[Table]:
     """All tables of one document, in order."""
     out: list[Table] = []
     seen: Counter[str] = Counter()
@@ -338,7 +334,7 @@ def document_tables(text: str, document_path: str = "<memory>", source_code_path
             t = _failed(f, context, e)
         seen[t.table_id] += 1
         if seen[t.table_id] > 1:
-            t.diagnostics.append(Diagnostic("table.duplicate-id", "error", f'"{t.table_id}" already names a table of this document.'))
+            t.diagnostics.append(fault("duplicate-id", f'"{t.table_id}" already names a table of this document.'))
         out.append(_strictly(t, strict))
     return out
 
@@ -389,7 +385,9 @@ _OPEN, _CLOSE = "<!-- table-text:start", "<!-- table-text:end -->"
 
 def text_block(t: Table) -> str:
     """A table's retrieval text as a collapsible block, for people to look at."""
-    lines = [f'{_OPEN} table-id="{t.table_id}" source-hash="{t.source_hash}" -->', '::: {.callout-note collapse="true" title="Retrieval text of this table"}', "", f"**Table:** {P.escape_inline(t.caption or (t.section_path or [t.table_id])[-1])}  ", f"**Table identifier:** `{t.table_id}`  "]
+    opening = f'{_OPEN} source-hash="{t.source_hash}" table-id="{t.table_id}" -->'
+    name = P.escape_inline(t.caption or (t.section_path or [t.table_id])[-1])
+    lines = [opening, '::: {.callout-note title="Retrieval text of this table" collapse="true"}', "", f"**{name}** (`{t.table_id}`)  "]
     if t.section_path:
         lines.append(f"**Section:** {' &gt; '.join(map(P.escape_inline, t.section_path))}  ")
     lines += ["", *(P.fence(t.normalised_text, "text") if t.normalised_text else ["This table could not be read; there is no text."])]
@@ -419,7 +417,11 @@ def with_blocks(text: str, document_path: str = "<memory>", strict: bool = False
 
 def inspection(t: Table) -> str:
     """Raw source, canonical table, text and records of one table, as Markdown."""
-    out = ["# Table", "", f"Document: `{t.document_path}`  ", f"Table identifier: `{t.table_id}`", "", "## Source", "", *P.fence(t.raw_source.rstrip(), "markdown"), "", "## Canonical", "", *P.fence(t.canonical_markdown.rstrip(), "markdown"), "", "## Text", "", *P.fence(t.normalised_text, "text"), "", "## Records", ""]
+    parts = (("Source", t.raw_source, "markdown"), ("Canonical", t.canonical_markdown, "markdown"), ("Text", t.normalised_text, "text"))
+    out = [f"# `{t.table_id}` of `{t.document_path}`", ""]
+    for name, text, language in parts:
+        out += [f"## {name}", "", *P.fence(text.rstrip(), language), ""]
+    out += ["## Records", ""]
     for n, (i, r) in enumerate(zip(t.row_ids, t.row_records), 1):
         out += [f"### {n}", "", f"Record ID: `{i}`", "", r, ""]
     return "\n".join(out)

@@ -10,6 +10,10 @@ class PageSelectionSyntaxError(ValueError):
     """Not a page selector."""
 
 
+def _bad(selector: str | None) -> PageSelectionSyntaxError:
+    return PageSelectionSyntaxError(f"invalid page selector: {selector}")
+
+
 class PageSelectionUnavailableError(LookupError):
     """A page that the selector needs isn't there."""
 
@@ -38,7 +42,7 @@ def parse_selector(selector: str | None) -> list[Term] | None:
     for p in parts:
         m = re.fullmatch(r"([1-9]\d*)|([1-9]\d*)?-([1-9]\d*)?", p, flags=re.ASCII)
         if m is None or p == "-":
-            raise PageSelectionSyntaxError(f"invalid page selector: {selector}")
+            raise _bad(selector)
         if m.group(1):
             out.append(Term("page", int(p)))
         elif not m.group(3):
@@ -46,7 +50,7 @@ def parse_selector(selector: str | None) -> list[Term] | None:
         else:
             t = Term("range", int(m.group(2) or 1), int(m.group(3)))
             if t.start > t.end:
-                raise PageSelectionSyntaxError(f"invalid page selector: {selector}")
+                raise _bad(selector)
             out.append(t)
     return out
 

@@ -19,9 +19,15 @@ from folioscan.functions import text as X
 from folioscan.operators.tables import first_row_summary
 
 MAX_ROWS = 100_000
-_ID = re.compile(r"[A-Za-z][A-Za-z0-9_.:-]*")
+TITLE = "First-row finding"
+_ID = re.compile(r"(?a)[A-Za-z][\w.:-]*")
 #: A Python format specification such as ".2f" or ",.0f", or a function of Columns.
 Formatter = str | Callable[[Column], Column]
+Maybe = str | None
+Names = Sequence[str] | None
+Words = Mapping[str, str] | None
+Formats = Mapping[str, Formatter] | None
+Order = Sequence[str | Column]
 
 
 def metadata_comment(**what) -> str:
@@ -91,9 +97,8 @@ def table_lines(df: DataFrame, order_by: Sequence[str | Column], columns: Sequen
 
 
 def knowledge_table(
-    df: DataFrame, *, table_id: str, order_by: Sequence[str | Column], caption: str | None = None, columns: Sequence[str] | None = None, labels: Mapping[str, str] | None = None,
-    formats: Mapping[str, Formatter] | None = None, units: Mapping[str, str] | None = None, ordering: str | None = None, row_identity: Sequence[str] | None = None,
-    description: str | None = None, summary: bool | Sequence[str] = False, max_rows: int = MAX_ROWS,
+    df: DataFrame, *, table_id: str, order_by: Order, caption: Maybe = None, description: Maybe = None, ordering: Maybe = None, columns: Names = None, row_identity: Names = None,
+    labels: Words = None, units: Words = None, formats: Formats = None, summary: bool | Names = False, max_rows: int = MAX_ROWS,
 ) -> str:
     """One pipe table of a DataFrame in a given order, with its metadata, caption and, if wished, its first row in words."""
     if not _ID.fullmatch(table_id):
@@ -114,22 +119,22 @@ def knowledge_table(
     escape = lambda s: re.sub(r"([\\|$*_~`\[\]])", r"\\\1", s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
     comment = metadata_comment(table_id=None if caption is not None else table_id, description=description, ordering=ordering, units={name(c): u for c, u in units.items()}, row_identity=[name(c) for c in identity])
     out = [comment, ""] if comment else []
-    out += ["| " + " | ".join(map(escape, heads)) + " |", "| " + " | ".join(rules) + " |", *rows, ""]
+    out += [f"| {' | '.join(cells)} |" for cells in (map(escape, heads), rules)] + rows + [""]
     if caption is not None:
-        out.append(f": {caption} {{#{table_id}}}")
+        out += [": %s {#%s}" % (caption, table_id)]
     if summary is not False:
         out += ["", summarise_first(df, order_by, shown if summary is True else list(summary), labels, units, formats)]
     return "\n".join(out)
 
 
-def summarise_first(df: DataFrame, order_by: Sequence[str | Column], columns: Sequence[str] | None = None, labels: Mapping[str, str] | None = None, units: Mapping[str, str] | None = None, formats: Mapping[str, Formatter] | None = None, prefix: str = "First-row finding") -> str:
+def summarise_first(df: DataFrame, order_by: Order, columns: Names = None, labels: Words = None, units: Words = None, formats: Formats = None, prefix: str = TITLE) -> str:
     """The first row by a given order in words."""
     shown = list(df.columns if columns is None else columns)
     _checked(df, shown)
     if not shown:
-        return f"**{prefix}.** No fields were selected."
+        return " ".join([f"**{prefix}.**", "No fields were selected."])
     kinds = {f.name: f.dataType for f in df.schema.fields}
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     text = df.orderBy(*keys).limit(1).select(*[formatted(F.col(f"`{c}`"), kinds[c], (formats or {}).get(c)).alias(c) for c in shown])
     row = first_row_summary(text, [F.monotonically_increasing_id()], {c: (labels or {}).get(c, _human(c)) for c in shown}, dict(units or {}), prefix).first()
-    return row["summary"] if row else f"**{prefix}.** The table contains no rows."
+    return row["summary"] if row else " ".join([f"**{prefix}.**", "The table contains no rows."])

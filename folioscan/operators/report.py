@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as X
 
-_DEFINITION = re.compile(r" {0,3}\[(?P<key>[^\]\[^][^\]]*)\]:\s*(?:<(?P<angle>[^<>]+)>|(?P<bare>\S+))\s*$")
+_DEFINITION = re.compile(r" {0,3}\[(?P<key>[^\]\[^][^\]]*)\]:[ \t]*(?:(?P<bare>[^<\s]\S*)|<(?P<angle>[^<>]+)>)\s*$")
 _DESTINATION = re.compile(r"(?P<path>[^#]+)#page=(?P<page>\d+)$")
 _CITATION = re.compile(r"\[[^\]\[]+\]\[(?P<key>[^\]\[]+)\]")
-_QUOTE = re.compile(r"^\s{0,3}>\s?(?P<quote>.*)$")
-_BREAK = re.compile(r"^\s{0,3}(?:#{1,6}\s|(?:[-*_]\s*){3,}$|[-+*]\s+|\d+[.)]\s+)")
-_FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
+_QUOTE = re.compile(r" {0,3}> ?(?P<said>.*)")
+_BREAK = re.compile(r" {0,3}(?:#{1,6}\s|(?:[-*_]\s*){3,}$|[-+*]\s+|\d+[.)]\s+)")
+_FENCE = re.compile(r" {0,3}(~{3,}|`{3,})")
 
 
 @dataclass
@@ -35,7 +35,7 @@ class Claims:
     quotes: list[tuple[int, str, list[str]]] = field(default_factory=list)  # number, text, keys of the paragraph
 
 
-def prose(lines: list[str]) -> list[str]:
+def prose(lines: Sequence[str]) -> list:
     """Lines with everything that isn't prose blanked: fenced and indented code, comments, inline code."""
     out, fence, comment, after_blank = [], None, False, True
     for line in lines:
@@ -86,7 +86,7 @@ def claims(text: str, report_path: str = "") -> Claims:
         if _QUOTE.match(line):
             parts = []
             while i < len(lines) and (q := _QUOTE.match(lines[i])):
-                parts.append(q["quote"])
+                parts.append(q["said"])
                 i += 1
             quote = "\n".join(parts).strip()
             c.quotes.append((len(c.quotes) + 1, quote.removeprefix('"').removesuffix('"'), list(dict.fromkeys(keys))))

@@ -88,7 +88,7 @@ def row_text(name: Column, headers: Sequence[str], cells: Sequence[Column], unit
     return X.sentence(F.concat(name, F.lit(". "), F.concat_ws("; ", *fields)))
 
 
-def first_row_summary(df: DataFrame, order_by: Sequence[Column | str], labels: Mapping[str, str], units: Mapping[str, str] | None = None, prefix: str = "First-row finding") -> DataFrame:
+def first_row_summary(df: DataFrame, order_by: Sequence[Column | str], labels: Mapping[str, str], units: Mapping[str, str] | None = None, prefix="First-row finding") -> DataFrame:
     """(summary): the first row by a given order in words; columns must be strings."""
     row = df.orderBy(*order_by).limit(1)
     value = lambda c: X.escape_inline(F.when(X.is_missing(F.col(c)) | F.col(c).isNull(), "not available").otherwise(F.concat(F.col(c), F.lit(f" {units[c]}")) if units and c in units else F.col(c)))

@@ -41,7 +41,7 @@ def query(*tables_: str, sql: str | None = None):
     return wrap
 
 
-# --- scalar functions ---------------------------------------------------------------------------
+# --- scalar functions
 
 
 @query("documents", sql=f"SELECT doc_id, {_collapse('text')} AS body, length({_collapse('text')}) AS n FROM documents")
@@ -79,7 +79,7 @@ _CELL_SQL = "CASE WHEN l_linenumber = 7 THEN 'N/A' ELSE CAST(CAST(l_quantity AS
 
 @query("lineitem", sql=rf"""
     WITH c AS (SELECT l_orderkey, l_linenumber, {_CELL_SQL} AS cell FROM lineitem)
-    SELECT l_orderkey, l_linenumber, cell, nullif(regexp_extract(cell, '^\s*[-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\s*([A-Za-zµμΩ°%$€£¥][A-Za-z0-9µμΩ°/%$€£¥·^*._-]*)\s*$', 1), '') AS unit,
+    SELECT l_orderkey, l_linenumber, cell, nullif(regexp_extract(cell, '^\s*[-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\s*([%$€£¥°Ωµμa-zA-Z][%$€£¥°Ωµμ·*^./0-9a-zA-Z_-]*)\s*$', 1), '') AS unit,
            CAST(nullif(replace(regexp_extract(cell, '^\s*([-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS number,
            lower(trim(cell)) IN ('', 'na', 'n/a', 'nan', 'null', 'not available') AS missing FROM c""")
 def cell_values(lineitem):
@@ -129,7 +129,7 @@ def fences_and_escapes(docs):
     return docs.select("doc_id", X.fence_for(F.replace("text", F.lit("|"), F.lit("`"))).alias("fence"), X.escape_inline(F.col("text")).alias("escaped"))
 
 
-# --- tables as DataFrames -----------------------------------------------------------------------
+# --- tables as DataFrames
 
 _ROW = "'| ' || replace(replace(s_name, '\\', '\\\\'), '|', '\\|') || ' | ' || CAST(s_nationkey AS VARCHAR) || ' | ' || CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) || ' |'"
 
@@ -189,7 +189,7 @@ def dup_identity(orders):
 
 
 @query("lineitem", sql=rf"""
-    WITH c AS (SELECT l_orderkey, nullif(regexp_extract({_CELL_SQL}, '^\s*[-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\s*([A-Za-zµμΩ°%$€£¥][A-Za-z0-9µμΩ°/%$€£¥·^*._-]*)\s*$', 1), '') AS u FROM lineitem)
+    WITH c AS (SELECT l_orderkey, nullif(regexp_extract({_CELL_SQL}, '^\s*[-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\s*([%$€£¥°Ωµμa-zA-Z][%$€£¥°Ωµμ·*^./0-9a-zA-Z_-]*)\s*$', 1), '') AS u FROM lineitem)
     SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(lower(u)))), ', ') AS units, len(list_distinct(list(lower(u)))) > 1 AS mixed FROM c WHERE u IS NOT NULL GROUP BY ALL""")
 def mixed_units(lineitem):
     return tables.mixed_units(cell_values(lineitem), ["l_orderkey"], "cell")
@@ -200,7 +200,7 @@ def dup_table_id(docs):
     return tables.second_ids(docs.select("doc_id", "source", "lang"), "source", "lang", "doc_id")
 
 
-# --- units and chunks ---------------------------------------------------------------------------
+# --- units and chunks
 
 _UNITS = f"""units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS ordinal, line, text FROM (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE {_collapse('text')} <> '')"""
@@ -254,7 +254,7 @@ def section_asof(docs):
     return h.select("doc_id", "ordinal", F.last("heading", True).over(so_far).alias("section"), F.when(F.col("heading").isNotNull(), times).alias("occurrence"))
 
 
-# --- lexical search -----------------------------------------------------------------------------
+# --- lexical search
 
 _BM25 = """WITH t AS (SELECT doc_id, lang, {tokens} AS t FROM documents), b AS (SELECT doc_id, lang, len(t) AS dl, {tfs} FROM t),
     s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM b) SELECT doc_id, -({score}) AS score FROM b, s WHERE {holds}"""
@@ -334,7 +334,7 @@ def syntax_fallback(docs):
     return _rounded(lexical.bm25(docs, "on-the?"))
 
 
-# --- vectors and fusion -------------------------------------------------------------------------
+# --- vectors and fusion
 
 _QUERY = [((i * 37) % 19 - 9) / 60.0 for i in range(64)]
 _DIST = f"list_distance(embedding::DOUBLE[], {_QUERY}::DOUBLE[])"
@@ -403,7 +403,7 @@ def rrf_provenance(docs, embeddings):
     return _hybrid(docs, embeddings, 100).groupBy("provenance").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- versions, sets and integrity ---------------------------------------------------------------
+# --- versions, sets and integrity
 
 _OLD = "old AS (SELECT source || '/' || doc_id || '.md' AS path, sha256(text) AS sha256, lang FROM documents)"
 _NEW = """new AS (SELECT CASE lang WHEN 'de' THEN 'moved/' ELSE '' END || source || '/' || doc_id || '.md' AS path, sha256(CASE lang WHEN 'fr' THEN text || ' ' ELSE text END) AS sha256, lang FROM documents WHERE lang <> 'es')"""
@@ -514,7 +514,7 @@ def size_by_object(docs):
     return maintenance.size_by_object(docs.select(F.col("source").alias("object"), F.col("n_chars").alias("bytes")))
 
 
-# --- evidence -----------------------------------------------------------------------------------
+# --- evidence
 
 
 @query("conversations", sql=f"""
@@ -599,7 +599,7 @@ def nearby_text(lineitem):
     return evidence.nearby_text(f.withColumnRenamed("id", "figure_id"), f.withColumnRenamed("id", "text"))
 
 
-# --- documents with tables, from nation and region ----------------------------------------------
+# --- documents with tables, from nation and region
 
 
 def _atlas(region, nation, html=False):

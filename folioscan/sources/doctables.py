@@ -18,6 +18,11 @@ from typing import Any
 from folioscan.functions.pytext import caption_and_id, collapse_space, escape_pipe_cell, inline_text
 
 
+Number = int | None
+Grid = list[list[str]]
+Said = dict[str, Any]
+
+
 class TableError(ValueError):
     """A table that can't be read without guessing."""
 
@@ -27,8 +32,16 @@ class Diagnostic:
     code: str
     severity: str
     message: str
-    row: int | None = None
-    column: int | None = None
+    row: Number = None
+    column: Number = None
+
+
+def fault(code: str, message: str, **at: int) -> Diagnostic:
+    return Diagnostic(f"table.{code}", "error", message, **at)
+
+
+def warning(code: str, message: str, **at: int) -> Diagnostic:
+    return Diagnostic(f"table.{code}", "warning", message, **at)
 
 
 @dataclass
@@ -36,7 +49,7 @@ class Parsed:
     """Cells and what the source says about them."""
 
     headers: list[str]
-    rows: list[list[str]]
+    rows: Grid
     alignments: list[str]
     caption: str | None = None
     table_id: str | None = None
@@ -51,14 +64,14 @@ class Found:
     start: int
     end: int
     source: str
-    section: tuple[str, ...]
-    metadata: dict[str, Any]
+    section: tuple
+    metadata: Said
 
 
-_HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
-_FENCE = re.compile(r"\s*(`{3,}|~{3,})(.*)$")
-_RAW_HTML = re.compile(r"\s*(?:@raw\s+html|\{=html\})\s*$", re.I)
-METADATA = re.compile(r"<!--\s*[A-Za-z]+-table\s*:\s*(\{.*?\})\s*-->", re.S)
+_HEADING = re.compile(r"(?P<marks>#{1,6})\s+(?P<title>\S.*?)\s*$")
+_FENCE = re.compile(r"\s*(~{3,}|`{3,})(.*)$")
+_RAW_HTML = re.compile(r"(?i)\s*(?:\{=html\}|@raw\s+html)\s*$")
+METADATA = re.compile(r"(?s)<!--\s*[A-Za-z]+-table\s*:\s*(?P<said>\{.*?\})\s*-->")
 _CAPTION = re.compile(r"\s*(?:[Tt]able)?:\s+(\S.*)")
 _RULE = re.compile(r":?-{3,}:?")
 _TAG = re.compile(r"<(/?)table\b[^>]*>", re.I)
@@ -91,9 +104,10 @@ def _alignment(rule: str) -> str:
 
 
 def pipe_starts(lines: list[str], i: int) -> bool:
-    if i + 1 >= len(lines) or "|" not in lines[i] or "|" not in lines[i + 1]:
+    pair = lines[i : i + 2]
+    if len(pair) < 2 or not all("|" in x for x in pair):
         return False
-    rules = pipe_cells(lines[i + 1])
+    rules = pipe_cells(pair[1])
     return len(pipe_cells(lines[i])) == len(rules) and all(map(_RULE.fullmatch, rules))
 
 
@@ -123,7 +137,7 @@ def scan(text: str) -> Iterator[Found]:
     """Every table of a document, in order."""
     lines = text.splitlines()
     path: list[str] = []
-    waiting: tuple[int, dict[str, Any]] | None = None
+    waiting: tuple[int, Said] | None = None
     i = 0
 
     def found(kind: str, end: int, source: str | None = None, metadata: bool = True) -> Found:
@@ -141,8 +155,8 @@ def scan(text: str) -> Iterator[Found]:
             waiting, i = None, close + 1
             continue
         if m := _HEADING.match(line):
-            level = len(m.group(1))
-            path = (path + [""] * level)[: level - 1] + [m.group(2)]
+            level = len(m["marks"])
+            path = (path + [""] * level)[: level - 1] + [m["title"]]
             waiting, i = None, i + 1
             continue
         if (m := METADATA.fullmatch(line.strip())) is not None:
@@ -216,11 +230,11 @@ def _caption_of(lines: list[str]) -> tuple[str | None, str | None]:
 def _headed(headers: list[str], width: int, diagnostics: list[Diagnostic]) -> list[str]:
     """Headers without gaps."""
     if not any(headers):
-        diagnostics.append(Diagnostic("table.generated-headers", "warning", "No usable headers; columns are named by number."))
+        diagnostics.append(warning("generated-headers", "No usable headers; columns are named by number."))
         return [f"Column {k}" for k in range(1, width + 1)]
     for k, h in enumerate(headers):
         if not h:
-            diagnostics.append(Diagnostic("table.empty-header", "warning", f"Header {k + 1} is empty; it is named by number.", column=k + 1))
+            diagnostics.append(warning("empty-header", f"Header {k + 1} is empty; it is named by number.", column=k + 1))
     return [h or f"Column {k}" for k, h in enumerate(headers, 1)]
 
 
@@ -237,7 +251,7 @@ def read_pipe(source: str) -> Parsed:
         n += 1
         cells = pipe_cells(lines[j])
         if len(cells) != width:
-            d.append(Diagnostic("table.ragged-row", "error", f"Row has {len(cells)} cell(s) under {width} header(s).", row=n))
+            d.append(fault("ragged-row", f"Row has {len(cells)} cell(s) under {width} header(s).", row=n))
         rows.append([inline_text(c) for c in (cells + [""] * width)[:width]])
         j += 1
     caption, table_id = _caption_of(lines[j:])
@@ -361,7 +375,8 @@ class _Reader(HTMLParser):
             self.depth += 1
             if self.depth == 1:
                 self.tables += 1
-                self.table_id = (a.get("id") or "").strip() or None
+                named = (a.get("id") or "").strip()
+                self.table_id = named or None
             else:
                 self.nested = True
                 if self.stack and self.depth == 2:
@@ -385,7 +400,7 @@ class _Reader(HTMLParser):
         elif tag == "caption":
             self.stack.append((tag, a, []))
         elif self.stack and tag == "img":
-            alt, src = (a.get("alt") or "image").strip(), (a.get("src") or "").strip()
+            alt, src = [(a.get(k) or other).strip() for k, other in (("alt", "image"), ("src", ""))]
             self.stack[-1][2].append(f"{alt} ({src})" if src else alt)
         elif self.stack and tag not in ("br", "hr", "wbr", "input", "col", "meta", "link"):
             self.stack.append((tag, a, []))
@@ -429,7 +444,7 @@ def read_html(source: str) -> Parsed:
         raise TableError("the table has no rows")
     d: list[Diagnostic] = []
     if r.nested:
-        d.append(Diagnostic("table.unsupported-nested-table", "error", "A table inside a cell isn't flattened."))
+        d.append(fault("unsupported-nested-table", "A table inside a cell isn't flattened."))
     width = max(sum(c.cols for c in cells) for _, cells in r.rows)
     grid: list[list[str]] = []
     hanging: dict[int, tuple[int, str]] = {}
@@ -445,12 +460,12 @@ def read_html(source: str) -> Parsed:
             while at < width and row[at] is not None:
                 at += 1
             if at == width:
-                d.append(Diagnostic("table.extra-cell", "error", "The row has more cells than there are columns.", row=n))
+                d.append(fault("extra-cell", "The row has more cells than there are columns.", row=n))
                 break
             if c.rows > 1 or c.cols > 1:
-                d.append(Diagnostic("table.span-expanded", "warning", f"A cell of {c.rows}x{c.cols} places repeats its value in each.", row=n, column=at + 1))
+                d.append(warning("span-expanded", f"A cell of {c.rows}x{c.cols} places repeats its value in each.", row=n, column=at + 1))
             if at + c.cols > width:
-                d.append(Diagnostic("table.span-overflow", "error", "The span leaves the table.", row=n, column=at + 1))
+                d.append(fault("span-overflow", "The span leaves the table.", row=n, column=at + 1))
             for k in range(at, min(width, at + c.cols)):
                 row[k] = c.text
                 if c.rows > 1:
@@ -458,7 +473,7 @@ def read_html(source: str) -> Parsed:
             at += c.cols
         grid.append([x or "" for x in row])
     if hanging:
-        d.append(Diagnostic("table.rowspan-overflow", "error", "A span reaches below the last row."))
+        d.append(fault("rowspan-overflow", "A span reaches below the last row."))
     heads = [k for k, (head, _) in enumerate(r.rows) if head]
     if not heads:
         while len(heads) < len(r.rows) and (cells := r.rows[len(heads)][1]) and all(c.head for c in cells):
@@ -467,7 +482,7 @@ def read_html(source: str) -> Parsed:
         headers = [" / ".join(dict.fromkeys(filter(None, col))) or f"Column {k}" for k, col in enumerate(zip(*[grid[k] for k in heads]), 1)]
     else:
         headers = [f"Column {k}" for k in range(1, width + 1)]
-        d.append(Diagnostic("table.generated-headers", "warning", "No complete header row; columns are named by number."))
+        d.append(warning("generated-headers", "No complete header row; columns are named by number."))
     return Parsed(headers, [x for k, x in enumerate(grid) if k not in heads], ["default"] * width, r.caption, r.table_id, d)
 
 

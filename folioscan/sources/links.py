@@ -27,9 +27,9 @@ class LinkError(ValueError):
 @dataclass(frozen=True)
 class Link:
     name: str
-    local_path: str
+    local_path: str  # below the root
     public_url: str
-    metadata: dict[str, Any] = field(default_factory=dict, compare=False)
+    metadata: dict = field(default_factory=dict, compare=False)
 
 
 def _fault(n: int, e: Any, known: dict[str, Link]) -> str | None:
@@ -63,7 +63,7 @@ def load(path: str | Path) -> tuple[dict[str, Link], list[str]]:
         data = tomllib.load(f)
     if data.get("schema_version") != SCHEMA:
         return {}, [f"schema_version must be {SCHEMA}"]
-    entries = data.get("source", [])
+    entries = data["source"] if "source" in data else []
     if not isinstance(entries, list):
         return {}, ["source must be an array of tables"]
     out: dict[str, Link] = {}

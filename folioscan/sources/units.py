@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from folioscan.sources.manifest import source_type
 
 MAX_UNIT, MAX_ROW_UNIT, MAX_FORMULA = 2400, 1000, 240
-_HEADING = re.compile(r"(#{1,6})\s+(.*)$")
+_HEADING = re.compile(r"(?P<marks>#{1,6})\s+(?P<title>.*)$")
 _REF = re.compile(r"([A-Z]{1,3})([1-9]\d*)$")
 
 
@@ -69,8 +69,8 @@ def markdown_units(text: str, limit: int = MAX_UNIT) -> list[dict[str, Any]]:
     for n, line in enumerate(lines, 1):
         if m := _HEADING.match(line):
             paragraph(n - 1)
-            title = m.group(2).strip()
-            path = path[: len(m.group(1)) - 1] + [title]
+            title = m["title"].strip()
+            path = path[: len(m["marks"]) - 1] + [title]
             joined = "/".join(path)
             key, count = f"{joined}#{times[joined]}", 0
             times[joined] += 1

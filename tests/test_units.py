@@ -8,26 +8,46 @@ import pytest
 
 from folioscan.sources import units as U
 
-MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+OOXML = "http://schemas.openxmlformats.org"
+MAIN = f'xmlns="{OOXML}/spreadsheetml/2006/main"'
+
+
+def tag(element, body="", /, **attributes):
+    said = "".join(f' {k.replace("_", ":")}="{v}"' for k, v in attributes.items())
+    return f"<{element}{said}>{body}</{element}>"
+
+
+def cell(ref, value=None, kind=None, formula=None):
+    body = (tag("f", formula) if formula else "") + (tag("is", tag("t", value)) if kind == "inlineStr" else tag("v", value) if value is not None else "")
+    return tag("c", body, r=ref, **({"t": kind} if kind else {}))
+
+
+def row(*cells, **attributes):
+    return tag("row", "".join(cells), **attributes)
 
 
 def workbook(rows: str, shared: str = "", name: str = "Retirement assumptions", kind: str = "worksheet") -> bytes:
     out = io.BytesIO()
+    relation = tag("Relationship", Type=f"http://x/{kind}", Target="worksheets/one.xml", Id="first")
+    sheet = tag("sheet", name=name, sheetId=1, r_id="first")
+    parts = {
+        "xl/workbook.xml": f'<workbook {MAIN} xmlns:r="{OOXML}/officeDocument/2006/relationships">{tag("sheets", sheet)}</workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{OOXML}/package/2006/relationships">{relation}</Relationships>',
+        "xl/worksheets/one.xml": f"<worksheet {MAIN}>{tag('sheetData', rows)}</worksheet>",
+    }
+    if shared:
+        parts["xl/sharedStrings.xml"] = f"<sst {MAIN}>{shared}</sst>"
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {MAIN} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://x/{kind}" Target="worksheets/sheet1.xml"/></Relationships>')
-        if shared:
-            z.writestr("xl/sharedStrings.xml", f"<sst {MAIN}>{shared}</sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {MAIN}><sheetData>{rows}</sheetData></worksheet>")
+        for part, body in parts.items():
+            z.writestr(part, body)
     return out.getvalue()
 
 
+SHARED = tag("si", tag("t", "Technology")) + tag("si", tag("r", tag("t", "Retirement ")) + tag("r", tag("t", "year"))) + tag("si", tag("t", "Brown coal"))
 BOOK = workbook(
-    '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'
-    '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>2035</v></c><c r="C2"><f>B2+5</f><v>2040</v></c></row>'
-    '<row r="3"><c r="A3" t="inlineStr"><is><t>Note</t></is></c><c r="B3"><f>B2</f></c></row><row r="1048576"><c r="XFD1048576" s="3"/></row>',
-    "<si><t>Technology</t></si><si><r><t>Retirement </t></r><r><t>year</t></r></si><si><t>Brown coal</t></si>",
-)
+    row(cell("A1", "0", "s"), cell("B1", "1", "s"), r=1) + row(cell("A2", "2", "s"), cell("B2", "2035"), cell("C2", "2040", formula="B2+5"), r=2)
+    + row(cell("A3", "Note", "inlineStr"), cell("B3", formula="B2"), r=3) + row(cell("XFD1048576"), r=1048576), SHARED,
+)
 
 
 def test_workbook():
@@ -41,11 +61,11 @@ def test_workbook():
 
 def test_workbook_limits():
     long = "x" * 400
-    us = U.workbook_units(workbook('<row r="1">' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{long}</t></is></c>' for c in "ABC") + f'</row><row><c r="A2"><f>{"1+" * 200}1</f></c></row>'))
+    us = U.workbook_units(workbook(row(*[cell(f"{c}1", long, "inlineStr") for c in "ABC"], r=1) + row(cell("A2", formula="1+" * 200 + "1"))))
     assert [json.loads(u["locator"])["range"] for u in us] == ["A1:B1", "C1", "A2"]
     assert "… [truncated; 401 characters]" in us[2]["text"]
     assert U.workbook_units(workbook("<row/>", kind="chartsheet")) == []
-    for bad in (b"no zip", workbook('<row r="1"><c r="A1" t="s"><v>9</v></c></row>')):
+    for bad in (b"no zip", workbook(row(cell("A1", "9", "s"), r=1))):
         with pytest.raises(U.WorkbookError):
             U.workbook_units(bad)
 
