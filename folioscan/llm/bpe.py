@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.textvec import slices
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, letters, numbers and other signs, each with a space before it, and white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,17 +207,14 @@ def encoded(text: str, path: str = VOCABULARY, pattern: str = PATTERN) -> Column
 
     @F.arrow_udf("array<int>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from folioscan.llm.textvec import batches
-
         c = codec(path, pattern)
         for part in parts:
-            texts = part.to_pylist()
             ids: list[np.ndarray] = []
-            for s in batches(texts, 4 << 20):
-                ids.extend(c.encode([t or "" for t in texts[s]]))
-            offsets = np.zeros(len(texts) + 1, dtype=np.int32)
+            for texts in slices(part):
+                ids.extend(c.encode([t or "" for t in texts]))
+            offsets = np.zeros(len(part) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
-            mask = pa.array([t is None for t in texts], type=pa.bool_())
+            mask = part.is_null()
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)), mask=mask)
 
     return run(text)
@@ -248,20 +247,17 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN)
 
     @F.arrow_udf("struct<tokens:array<int>,intact:boolean>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from folioscan.llm.textvec import batches
-
         c = codec(path, pattern)
         for part in parts:
-            texts = part.to_pylist()
             ids: list[np.ndarray] = []
             intact: list[bool | None] = []
-            for s in batches(texts, 4 << 20):
-                got = c.encode([t or "" for t in texts[s]])
-                intact.extend(None if t is None else c.decode(x.tolist()) == t.encode("utf-8", "surrogatepass") for t, x in zip(texts[s], got))
+            for texts in slices(part):
+                got = c.encode([t or "" for t in texts])
+                intact.extend(None if t is None else c.decode(x.tolist()) == t.encode("utf-8", "surrogatepass") for t, x in zip(texts, got))
                 ids.extend(got)
-            offsets = np.zeros(len(texts) + 1, dtype=np.int32)
+            offsets = np.zeros(len(part) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
-            none = pa.array([t is None for t in texts], type=pa.bool_())
+            none = part.is_null()
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)), mask=none)
             yield pa.StructArray.from_arrays([lists, pa.array(intact, type=pa.bool_())], names=["tokens", "intact"])
 

@@ -33,15 +33,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import digest, materialise
-from folioscan.llm.textvec import batches, shingles, word_hashes
+from folioscan.llm.textvec import shingles, slices, word_hashes
 
 WIDTH, THRESHOLD, BROADCAST_SHINGLES, BROADCAST_ROWS = 3, 0.6, 4_000_000, 500_000
 
 
-def _runs(texts: list[str | None], widths: list[int]):
+def _runs(part: pa.Array, widths: list[int]):
     """For each text its runs of every width as (start, hash), in one array each."""
-    for s in batches(texts, 2 << 20):
-        words, off = word_hashes(texts[s])
+    for texts in slices(part):
+        words, off = word_hashes(texts)
         by = [shingles(words, w) for w in widths]
         for a, b in zip(off[:-1], off[1:]):
             parts = [h[a : max(a, b - w + 1)] for w, h in zip(widths, by)]
@@ -74,7 +74,7 @@ def _finder(vocabulary: np.ndarray | None, widths: list[int]):
     def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             ps, vs, sizes, runs = [], [], [], []
-            for p, v in _runs(part.to_pylist(), widths):
+            for p, v in _runs(part, widths):
                 runs.append(len(v))
                 if vocabulary is not None:
                     maybe = np.flatnonzero(few[(v & np.uint64((1 << 20) - 1)).astype(np.int64)])

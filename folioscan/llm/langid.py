@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscan.llm.textvec import slices
+
 TOP, PER_LANGUAGE, LONGEST = 300, 900, 3
 _LETTER: np.ndarray | None = None
 
@@ -100,7 +102,7 @@ def _identifier(known: dict[str, np.ndarray], top: int):
     def identify(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             lang, far = [], []
-            for t in part.to_pylist():
+            for t in (t for texts in slices(part) for t in texts):
                 p = profile(t, top)
                 if not len(p) or not names:
                     lang.append(None)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.textvec import batches, shingles, word_hashes
+from folioscan.llm.textvec import batches, shingles, slices, word_hashes
 
 _EQUAL = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "favour": "favor", "organisation": "organization", "whilst": "while", "centre": "center", "merchantibility": "merchantability"}
 _MARK = re.compile(r"<<(opt|end|var:\w+:\d+-\d+)>>")
@@ -290,6 +290,6 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
         run = scanner(templates)
         kind = pa.list_(pa.struct([("license", pa.string()), ("start_word", pa.int32()), ("end_word", pa.int32())]))
         for part in parts:
-            yield pa.array([[{"license": a, "start_word": b, "end_word": c} for a, b, c in m] for m in run(part.to_pylist())], type=kind)
+            yield pa.array([[{"license": a, "start_word": b, "end_word": c} for a, b, c in m] for texts in slices(part) for m in run(texts)], type=kind)
 
     return docs.select("doc_id", F.explode(scan("text")).alias("m")).select("doc_id", "m.license", "m.start_word", "m.end_word")

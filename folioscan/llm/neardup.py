@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import digest, keep_rows, materialise
-from folioscan.llm.textvec import batches, shingle_sets
+from folioscan.llm.textvec import shingle_sets, slices
 
 WIDTH, K, THRESHOLD, SLACK, BLOCK = 3, 32, 0.5, 0.28, 1500
 
@@ -53,13 +53,13 @@ def _sketcher(width: int, k: int):
     @F.arrow_udf("struct<sk:array<bigint>,n:bigint>")
     def sketch(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts, values, sizes, ns = part.to_pylist(), [], [], []
-            for s in batches(texts):
-                for found in shingle_sets(texts[s], width):
-                    values.append(found[:k].view(np.int64))
+            values, sizes, ns = [], [], []
+            for texts in slices(part):
+                for found in shingle_sets(texts, width):
+                    values.append(found[:k].copy().view(np.int64))  # a view would keep all shingles
                     sizes.append(min(k, len(found)))
                     ns.append(len(found))
-            offsets = np.zeros(len(texts) + 1, dtype=np.int32)
+            offsets = np.zeros(len(part) + 1, dtype=np.int32)
             np.cumsum(sizes, out=offsets[1:])
             sk = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
             yield pa.StructArray.from_arrays([sk, pa.array(ns, type=pa.int64())], fields=list(kind))
@@ -128,10 +128,8 @@ def _set_maker(width: int):
     @F.arrow_udf("array<bigint>")
     def sets(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts, values = part.to_pylist(), []
-            for s in batches(texts):
-                values.extend(x.view(np.int64) for x in shingle_sets(texts[s], width))
-            offsets = np.zeros(len(texts) + 1, dtype=np.int32)
+            values = [x.view(np.int64) for texts in slices(part) for x in shingle_sets(texts, width)]
+            offsets = np.zeros(len(part) + 1, dtype=np.int32)
             np.cumsum([len(v) for v in values], out=offsets[1:])
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 

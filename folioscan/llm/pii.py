@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.textvec import slices
+
 KINDS = ("email", "phone", "ip", "card", "national_id", "iban", "secret")
 EXAMPLES, ROUNDS, DEPTH, PRECISION = 8000, 60, 3, 0.995
 
@@ -289,7 +291,7 @@ def _column(model: Model):
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             out = []
-            for t in part.to_pylist():
+            for t in (t for texts in slices(part) for t in texts):
                 s = spans(model, t)
                 out.append({"text": None if t is None else redacted(t, s), "spans": [{"kind": k, "start": a, "end": b, "probability": p} for k, a, b, p in s]})
             yield pa.array(out, type=kind)

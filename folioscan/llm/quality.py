@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.textvec import slices
+
 FEATURES, GAMMA, RIDGE, SEED, MAX_ROWS, ACCEPT = 256, 0.05, 1e-3, 7, 20_000, 0.5
 
 _CLASS = np.full(256, 5, dtype=np.uint8)
@@ -156,7 +158,7 @@ def _stats():
     @F.arrow_udf("array<double>")
     def stats(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield pa.array([None if t is None else statistics(t) for t in part.to_pylist()], type=pa.list_(pa.float64()))
+            yield pa.array([None if t is None else statistics(t) for texts in slices(part) for t in texts], type=pa.list_(pa.float64()))
 
     return stats
 
@@ -167,7 +169,7 @@ def scorer(model: Model):
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            x = np.array([[0.0] * N_STATS if t is None else statistics(t) for t in part.to_pylist()]).reshape(-1, N_STATS)
+            x = np.array([[0.0] * N_STATS if t is None else statistics(t) for texts in slices(part) for t in texts]).reshape(-1, N_STATS)
             p = model.probability(x) if len(x) else np.empty(0)
             p[x[:, 0] == 0] = 0.0
             yield pa.array(p)

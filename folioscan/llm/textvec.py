@@ -7,7 +7,11 @@ Hashes have 64 bits and depend on nothing but the bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _WORD = np.zeros(256, dtype=bool)
@@ -103,6 +107,16 @@ def shingle_sets(texts: list[str | None], width: int):
             yield np.empty(0, dtype=_U)
 
 
+def slices(part: pa.Array, limit: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts of an Arrow array, about ``limit`` bytes at a time, so that a worker never holds a whole batch twice; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(part):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield part.slice(at, end - at).to_pylist()
+        at = end
+
+
 def batches(texts: list, limit: int = 8 << 20):
     """Slices of a list of texts of about ``limit`` characters each; a longer text stands alone."""
     at, size = 0, 0
