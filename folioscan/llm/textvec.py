@@ -115,6 +115,7 @@ def slices(part: pa.Array, limit: int = 1 << 20) -> Iterator[list[str | None]]:
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
         yield part.slice(at, end - at).to_pylist()
         at = end
+    pa.default_memory_pool().release_unused()  # of earlier batches; idle workers would keep it
 
 
 def batches(texts: list, limit: int = 8 << 20):
