@@ -45,6 +45,8 @@ from folioscan.llm.common import digest, keep_rows, materialise
 from folioscan.llm.textvec import shingle_sets, slices
 
 WIDTH, K, THRESHOLD, SLACK, BLOCK = 3, 32, 0.5, 0.28, 1500
+#: With the top bit flipped, the signed order of stored values is the unsigned order of the hashes by which the least were taken.
+_TOP = np.uint64(1 << 63)
 
 
 def _sketcher(width: int, k: int):
@@ -56,7 +58,7 @@ def _sketcher(width: int, k: int):
             values, sizes, ns = [], [], []
             for texts in slices(part):
                 for found in shingle_sets(texts, width):
-                    values.append(found[:k].copy().view(np.int64))  # a view would keep all shingles
+                    values.append((found[:k] ^ _TOP).view(np.int64))  # a copy; a view would keep all shingles
                     sizes.append(min(k, len(found)))
                     ns.append(len(found))
             offsets = np.zeros(len(part) + 1, dtype=np.int32)
@@ -71,7 +73,6 @@ def nodes_of(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     """(node, digest, doc_ids, sk, n): one row per distinct text, kept in the shared folder; node is a number of that table alone."""
     rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), digest(F.col("text")).alias("digest"), _sketcher(width, k)("text").alias("s"))
     one = rows.groupBy("digest").agg(F.collect_set("id").alias("doc_ids"), F.max(F.when(F.col("id").isNull(), True).otherwise(False)).alias("nameless"), F.first("s").alias("s"))
-    # unsigned order of the hashes is not the signed one, so that sketches are compared as signed everywhere from here on
     return materialise(one.select(F.monotonically_increasing_id().alias("node"), "digest", F.array_sort("doc_ids").alias("doc_ids"), "nameless", F.array_sort("s.sk").alias("sk"), F.col("s.n").alias("n")), "near-nodes")
 
 

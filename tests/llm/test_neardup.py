@@ -68,6 +68,18 @@ def test_pairs_against_brute_force(docs):
     assert len(want) > 30 and len(got) >= 0.97 * len(want)
 
 
+def test_short_and_long_texts_at_the_threshold_against_brute_force(docs):
+    texts = []
+    for i in range(100):
+        base = [f"p{i}w{j}" for j in range(68)]
+        texts += [" ".join(base[:35]), " ".join(base)]  # 33 and 66 shingles
+    want, _ = brute(list(enumerate(texts)))
+    nodes, pairs = neardup.near_pairs(docs(texts))
+    name = {r["node"]: r["doc_ids"][0] for r in nodes.collect()}
+    got = {frozenset((name[r["a"]], name[r["b"]])) for r in pairs.collect()}
+    assert len(want) == 100 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_groups_against_brute_force_on_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     _, want = brute([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
