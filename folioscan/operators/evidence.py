@@ -28,21 +28,27 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 def find_quotes(quotes: DataFrame, docs: DataFrame, min_words: int = 3) -> DataFrame:
     """(quote_id, doc_id, status) wherever a text of docs (doc_id, text) holds a quote (quote_id, quote) whose page isn't known.
 
-    Candidates share the quote's first ``min_words`` words, so that the join hashes on them;
-    quotes of fewer words are compared by those they have.
+    A quote's words but its first and last stand between spaces in whatever text holds it, so that
+    the join hashes on the first ``min_words`` of those; quotes of one or two words have none and
+    are held against every text.
     """
-    head = lambda c: F.array_join(F.slice(F.split(X.normalise_text(c), " "), 1, min_words), " ")
-    q = quotes.filter(X.normalise_text(F.col("quote")) != "").select("quote_id", "quote", head(F.col("quote")).alias("h"), F.size(F.split(X.normalise_text(F.col("quote")), " ")).alias("n"))
-    lengths = sorted({r["n"] for r in q.select(F.least("n", F.lit(min_words)).alias("n")).distinct().collect()}) or [min_words]  # at most min_words of them
+    flat = X.normalise_text(F.col("quote"))
+    inner = F.least(F.size(F.split(flat, " ")) - 2, F.lit(min_words))
+    q = quotes.filter(flat != "").select("quote_id", "quote", F.greatest(inner, F.lit(0)).alias("n")).distinct()
+    lengths = sorted(r["n"] for r in q.select("n").distinct().collect())  # at most min_words + 1 of them
     words = docs.select("doc_id", F.split(X.normalise_text(F.col("text")), " ").alias("w"))
     starts = None
-    for n in lengths:
+    for n in [n for n in lengths if n] or [min_words]:
         s = words.filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("h"))
         starts = s if starts is None else starts.union(s)
-    pairs = starts.join(q.select("quote_id", "quote", "h"), "h").select("doc_id", "quote_id", "quote")
+    keyed = q.filter("n > 0").select("quote_id", "quote", F.array_join(F.slice(F.split(flat, " "), F.lit(2), F.col("n")), " ").alias("h"))
+    pairs = starts.join(keyed, "h").select("doc_id", "quote_id", "quote")
     j = pairs.distinct().join(docs.select("doc_id", "text"), "doc_id")
-    exact, loose = F.contains("text", "quote"), F.contains(X.normalise_text(F.col("text")), X.normalise_text(F.col("quote")))
-    return j.filter(loose).select("quote_id", "doc_id", F.when(exact, "exact").otherwise("normalised").alias("status"))
+    exact, loose = F.contains("text", "quote"), F.contains(X.normalise_text(F.col("text")), flat)
+    found = j.filter(loose)
+    if 0 in lengths:
+        found = found.unionByName(docs.select("doc_id", "text").join(q.filter("n = 0").select("quote_id", "quote"), loose))
+    return found.select("quote_id", "doc_id", F.when(exact, "exact").otherwise("normalised").alias("status"))
 
 
 def citation_issues(citations: DataFrame, definitions: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
