@@ -1,8 +1,9 @@
 """PII redaction by candidate gradient boosting.
 
 Generators with high recall propose spans that may overlap: runs around an @, runs of digits
-with and without separators, dotted quads, long hexadecimal or mixed strings. Boosted trees
-judge each by its format (length, kinds of signs, groups, checksum, octets, ...) and by its
+with and without separators, dotted quads, hexadecimal groups between colons, long strings of
+letters, digits and the signs of base64, with or without a digit. Boosted trees
+judge each by its format (length, kinds of signs, groups, checksum, octets, case, ...) and by its
 context (words before it, signs around it). A threshold for each kind, calibrated on examples
 held out, selects; of overlapping spans the one with the highest probability is redacted.
 
@@ -10,13 +11,14 @@ The trees are fitted in the driver to ``examples()``, made up from formats, of a
 a parameter. Texts are read whole, row by row; nothing is shuffled.
 
 Defined cases: null texts have null redactions and no spans; the empty text stays empty; texts
-without an @, digit or long string come back unchanged; equal probabilities go to the longer span, then
+without an @, digit, address or long string come back unchanged; equal probabilities go to the longer span, then
 the earlier one; rows that repeat are treated alike; offsets count code points; further
 columns pass unchanged through ``redact``.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import random
 import re
@@ -33,14 +35,15 @@ from folioscan.llm.textvec import slices
 KINDS = ("email", "phone", "ip", "card", "national_id", "iban", "secret")
 EXAMPLES, ROUNDS, DEPTH, PRECISION = 8000, 60, 3, 0.995
 
-_ANY = re.compile(r"[\d@]")
 _NUMBER = re.compile(r"(?<![\w.])[+(]?\d(?:[ ().\-/]{0,2}\d){5,}(?!\w)")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w\-])")
 _RUN = re.compile(r"(?<![A-Za-z0-9])\d{8,19}(?![A-Za-z0-9])")
 _QUAD = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 _IDS = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
-_LONG = re.compile(r"(?<![A-Za-z0-9_\-])(?=[A-Za-z_\-]*\d)[A-Za-z0-9_\-]{20,}(?![A-Za-z0-9_\-])")
+_GROUPS = re.compile(r"(?<!\w)(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:])")
+_LONG = re.compile(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{20,}(?![A-Za-z0-9_\-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9_\-+/])[A-Za-z0-9_\-+/]{20,}={0,2}(?![A-Za-z0-9_\-+/])")
 _LOCAL = re.compile(r"[\w.+\-%']+\Z")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_]{2,}")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -55,8 +58,6 @@ _CUES = (
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all that could be personal; spans may overlap."""
-    if not _ANY.search(text):
-        return []
     out = set()
     at = text.find("@")
     while at >= 0:
@@ -76,7 +77,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
             out.add(("card", *m.span()))
         elif 8 <= len(m.group()) <= 12:
             out.add(("national_id", *m.span()))
-    for kind, pattern in (("ip", _QUAD), ("national_id", _IDS), ("iban", _IBAN), ("secret", _LONG)):
+    for kind, pattern in (("ip", _QUAD), ("ip", _GROUPS), ("national_id", _IDS), ("iban", _IBAN), ("secret", _LONG), ("secret", _BASE64)):
         out.update((kind, *m.span()) for m in pattern.finditer(text))
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
@@ -90,6 +91,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def ipv6(s: str) -> bool:
+    """Whether these groups are an address of 128 bits."""
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of one span."""
     s = text[start:end]
@@ -106,6 +115,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     quad = len(octets) == 4 and s.count(".") == 3
     hexed = sum(c in "0123456789abcdefABCDEF" for c in s) / n
     first = digits[:1]
+    cases = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in s)
     return [
         *(float(kind == k) for k in KINDS),
         n, len(digits), letters, n - len(digits) - letters, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
@@ -113,6 +123,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float("+" in s), float("(" in s), s.count("-"), s.count("."), s.count(" "), s.count("/"), float("@" in s),
         s.rpartition("@")[2].count(".") if "@" in s else -1, len(s.rpartition("@")[0]) if "@" in s else -1, len(s.rpartition(".")[2]) if "@" in s else -1,
         hexed, -sum(f * math.log2(f) for f in freq), sum(a.isupper() for a in s) / n, float(first.isdigit() and int(first or 0) in (3, 4, 5, 6)),
+        s.count(":"), float(kind == "ip" and ":" in s and ipv6(s)), s.count("_"), s.count("="), max(map(len, re.findall("a+", cases)), default=0) / n, sum(a != b for a, b in zip(cases, cases[1:])) / n, sum(c in "aeiouAEIOU" for c in s) / max(1, letters),
         len(set(digits)), float(bool(re.fullmatch(r"(?:19|20)\d\d[ ./\-]\d\d?[ ./\-]\d\d?|\d\d?[ ./\-]\d\d?[ ./\-](?:19|20)\d\d", s))),
         *(float(any(w in cue for w in words)) for cue in _CUES), *(float(bool(words) and words[-1] in cue) for cue in _CUES),
         float(near is not None and near.group(1) == "#"), float(near is not None and near.group(1) in "=:\"'" and near.group(1) != ""), float(near is not None and near.group(1) in "$€£"), float(near is not None and near.group(2) == "" and near.group(1) != ""),
@@ -136,26 +147,35 @@ def _word(r: random.Random) -> str:
     return "".join(r.choice(["an", "the", "er", "on", "la", "ei", "ch", "os", "ción", "re", "é", "st", "in", "ä", "ur"]) for _ in range(r.randint(1, 4)))
 
 
+def _ascii_word(r: random.Random, parts: int = 0) -> str:
+    return "".join(r.choice(["an", "the", "er", "on", "la", "ei", "ch", "os", "re", "st", "in", "ur", "ing", "al", "ver", "con"]) for _ in range(parts or r.randint(2, 4)))
+
+
 def examples(count: int = EXAMPLES, seed: int = 5) -> list[tuple[str, str, int, int, int]]:
     """(text, kind, start, end, personal) from made-up sentences; what the generators propose besides the planted span counts as not personal where it doesn't overlap it."""
     r = random.Random(seed)
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     mixed = lambda n: "".join(r.choice(_LETTERS + _LETTERS.upper() + "0123456789") for _ in range(n - 1)) + r.choice("0123456789")
     sep = lambda *xs: r.choice(" -.").join(xs)
+    base64 = lambda n: "".join(r.choice(_LETTERS + _LETTERS.upper() + "0123456789+/") for _ in range(n)) + r.choice(["", "", "=", "=="])
+    plain = lambda n: "".join(r.choice(_LETTERS + _LETTERS.upper()) for _ in range(n))
+    group = lambda: f"{r.randrange(1 << 16):x}"
+    groups = lambda n: ":".join(group() for _ in range(n))
+    run = lambda sign, n: sign.join(_ascii_word(r) for _ in range(n))
     name = lambda: r.choice([_word(r), _word(r) + r.choice(["", ".", "_", "-"]) + _word(r)])
     octet = lambda: str(r.randint(1, 255))
     yes = {
         "email": lambda: f"{name()}{r.choice(['', '.', ''])}{r.choice(['', _digits(r, r.randint(1, 4))])}@{r.choice(['mail', 'post', 'web', _word(r)])}{r.choice(['', _digits(r, 1)])}.{r.choice(['example.com', 'com', 'org', 'de', 'co.uk', 'example.net'])}",
         "phone": lambda: r.choice([f"+{r.randint(1, 99)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"+{r.randint(30, 99)} {sep(_digits(r, 3), _digits(r, 3), _digits(r, 4))}", sep(_digits(r, 3), _digits(r, 3), _digits(r, 4)), f"+{_digits(r, 11)}", f"0{_digits(r, 3)} {_digits(r, 6)}"]),
-        "ip": lambda: ".".join(octet() for _ in range(4)),
+        "ip": lambda: r.choice([*[".".join(octet() for _ in range(4))] * 4, groups(8), f"2001:db8:{groups(r.randint(0, 2))}::{groups(r.randint(1, 3))}".replace(":::", "::"), f"fe80::{groups(r.randint(1, 4))}", f"::ffff:{'.'.join(octet() for _ in range(4))}"]),
         "card": lambda: (lambda c: r.choice([c, c, c, " ".join(c[i : i + 4] for i in (0, 4, 8, 12)), "-".join(c[i : i + 4] for i in (0, 4, 8, 12))]))(r.choice([_card(r, True), _digits(r, 16)])),
         "national_id": lambda: f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}",
         "iban": lambda: (lambda b: r.choice([b, " ".join(b[i : i + 4] for i in range(0, len(b), 4))]))(r.choice(["DE", "FR", "ES", "GB", "NL"]) + _digits(r, 2) + _digits(r, r.choice([16, 18, 20]))),
-        "secret": lambda: r.choice([hexes(40), hexes(32), hexes(64), mixed(r.randint(24, 48)), "AKIA" + mixed(16).upper(), "ghp_" + mixed(36)]),
+        "secret": lambda: r.choice([hexes(40), hexes(32), hexes(64), mixed(r.randint(24, 48)), "AKIA" + mixed(16).upper(), "AKIA" + "".join(r.choice(_LETTERS.upper() + "0123456789") for _ in range(16)), "ghp_" + mixed(36), base64(r.randint(24, 64)), base64(40), plain(r.randint(20, 48))]),
     }
     lead = {
         "email": ["email ", "contact: ", "mail ", "", "", ""], "phone": ["call ", "tel. ", "phone: ", "", "", ""], "ip": ["from host ", "ip ", "server ", "", "", ""], "card": ["card ", "visa ", "account ", "", "", ""],
-        "national_id": ["ssn ", "social ", "id ", "", ""], "iban": ["iban ", "konto ", "", ""], "secret": ["token = \"", "api_key=\"", "secret: ", "password ", "TOKEN = \"", "key '"],
+        "national_id": ["ssn ", "social ", "id ", "", ""], "iban": ["iban ", "konto ", "", ""], "secret": ["token = \"", "api_key=\"", "secret: ", "password ", "TOKEN = \"", "key '", ""],
     }
     no = [
         lambda: ("version ", f"{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 999)}"), lambda: (r.choice(["order ", "invoice ", "tracking ", "order #", "item id "]), _digits(r, r.randint(8, 16))),
@@ -163,6 +183,9 @@ def examples(count: int = EXAMPLES, seed: int = 5) -> list[tuple[str, str, int,
         lambda: (r.choice(["population ", "total $", "price "]), f"{_digits(r, 3)}.{_digits(r, 3)}.{_digits(r, 3)}"), lambda: (r.choice(["commit ", "sha ", "md5 ", "checksum "]), hexes(r.choice([32, 40, 64]))), lambda: ("", "1 2 3 4 5 6 7 8"), lambda: ("between ", f"19{_digits(r, 2)}-20{_digits(r, 2)}"),
         lambda: ("section ", f"{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)}"), lambda: ("", f"{_digits(r, 1)}.{_digits(r, r.randint(7, 12))}"), lambda: ("part ", f"{r.choice('ABCD')}{_digits(r, 3)}-long-name-of-a-part-{_digits(r, 2)}"), lambda: ("total ", _digits(r, r.randint(8, 12))),
         lambda: ("", _word(r) + "-" + _word(r) + "-of-the-long-url-path-" + _digits(r, r.randint(1, 4))), lambda: ("sku ", mixed(22)), lambda: ("serial ", _digits(r, 16)),
+        lambda: (r.choice(["", "at ", "key ", "see "]), run(r.choice("-_"), r.randint(4, 8))), lambda: (r.choice(["", "the "]), _ascii_word(r, 8)), lambda: (r.choice(["class ", "", "api "]), "".join(_ascii_word(r).title() for _ in range(r.randint(4, 7)))), lambda: (r.choice(["", "in ", "path "]), r.choice(["/", "/usr/", "https://www.site.example/"]) + run("/", r.randint(4, 8))),
+        lambda: ("", r.choice("-_=/+") * r.randint(20, 60)), lambda: ("checksum ", base64(r.choice([24, 43]))), lambda: (r.choice(["at ", "since ", ""]), f"{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}"), lambda: (r.choice(["ratio ", "part "]), ":".join(_digits(r, 1) for _ in range(r.randint(3, 5)))),
+        lambda: (r.choice(["device ", "serial ", ""]), ":".join(hexes(2) for _ in range(6))), lambda: (r.choice(["", "a "]), r.choice(["::", "a::b", "::add"])),
     ]
     out = []
     while len(out) < count:

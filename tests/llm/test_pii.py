@@ -40,6 +40,36 @@ def test_planted_cases(model):
     assert sum(len(pii.spans(model, t)) for t in PLAIN) == 0, [(t, pii.spans(model, t)) for t in PLAIN]
 
 
+FURTHER = [
+    ("secret", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 'key = "{}"'),
+    ("secret", "dGhpcyBpcyBh+IHNlY3Jl/dCB0b2tlbiBmb3I=", "token = \"{}\""),
+    ("secret", "qLmXzRtWvKpYdHsNbGcJfTaQ", 'password "{}"'),
+    ("secret", "qLmXzRtWvKpYdHsNbGcJfTaQ", 'api_key="{}" and no more'),
+    ("ip", "2001:db8:85a3:8d3:1319:8a2e:370:7348", "from host {} at night"),
+    ("ip", "fe80::1ff:fe23:4567:890a", "server {}, again"),
+    ("ip", "2001:db8::1", "login from ip {}."),
+]
+FURTHER_PLAIN = ["at 12:34:56 it began", "see /usr/local/lib/python/packages/numerics", "the internationalisation-of-long-words there", "a" + "-" * 60 + " line", "name std::vector of it", "class AbstractSingletonProxyFactoryBean is", "device 0a:1b:2c:3d:4e:5f there", "f :: g"]
+
+
+def test_long_secrets_of_other_signs_and_longer_addresses(model):
+    for kind, value, text in FURTHER:
+        text = text.format(value)
+        assert [(k, text[a:b]) for k, a, b, _ in pii.spans(model, text)] == [(kind, value)], text
+    for text in FURTHER_PLAIN:
+        assert pii.spans(model, text) == [], text
+
+
+def test_held_out_accuracy_of_each_new_class(model):
+    rows = pii.examples(12000, seed=78)
+    for new in (lambda k, s: k == "ip" and ":" in s, lambda k, s: k == "secret" and ("/" in s or "+" in s), lambda k, s: k == "secret" and s.isalpha()):
+        mine = [x for x in rows if new(x[1], x[0][x[2] : x[3]])]
+        chosen = model.trees.probability(np.array([pii.features(*x[:4]) for x in mine])) >= np.array([model.thresholds[x[1]] for x in mine])
+        y = np.array([x[4] for x in mine])
+        assert y.sum() > 50 and (y == 0).sum() > 20
+        assert y[chosen].mean() > 0.95 and chosen[y == 1].mean() > 0.9
+
+
 def test_spans_do_not_overlap_and_are_best_first(model):
     text = " and ".join(PERSONAL * 5)
     found = pii.spans(model, text)
