@@ -11,7 +11,7 @@ A template becomes an automaton over words: states joined by word edges, by edge
 looked at by an automaton only where it holds every mandatory run of the template (three words, or the
 whole stretch where that is shorter), which one vectorised pass decides; the automaton then starts at each
 word that can come first. Matches of a template are the leftmost, of those the longest, and don't
-overlap.
+overlap. Replaceable words at a template's end go no further than to where it matches anew.
 
 Defined cases: null and empty texts match nothing; a template without mandatory words is an
 error; rows that repeat give their matches each; several templates may match the same words; an
@@ -47,7 +47,7 @@ TEMPLATES: dict[str, str] = {
         "CONDITIONS OF ANY KIND, either express or implied. See the License for the "
         "specific language governing permissions and limitations under the License."
     ),
-    "GPL (notice)": "This <<var:what:1-3>> is licensed under the <<opt>>terms of the<<end>> GNU General Public License<<opt>>, version <<var:version:1-2>><<end>>",
+    "GPL (notice)": "<<opt>>This <<var:what:1-3>> is<<end>> licensed under the <<opt>>terms of the<<end>> GNU General Public License<<opt>>, version <<var:version:1-2>><<end>>",
     "GPL-3.0-or-later (header)": (
         "<<var:program:0-3>> is free software: you can redistribute it and/or modify it under "
         "the terms of the GNU General Public License as published by the Free Software "
@@ -118,6 +118,7 @@ class Automaton:
     free: list[set[int]] = field(default_factory=list)
     final: int = 0
     runs: list[list[int]] = field(default_factory=list)
+    tail: set[int] = field(default_factory=set)
 
     def state(self) -> int:
         self.edges.append({})
@@ -134,18 +135,29 @@ class Automaton:
                     todo.append(t)
         return out
 
-    def step(self, states: set[int], word: int) -> set[int]:
+    def step(self, states: set[int], word: int, tail: bool = True) -> set[int]:
+        """The next states; without ``tail``, replaceable words at the template's end take nothing."""
         nxt: set[int] = set()
         for s in states:
             nxt |= self.edges[s].get(word, set())
-            nxt |= self.wild[s]
+            if tail or s not in self.tail:
+                nxt |= self.wild[s]
         return self.closure(nxt)
 
+    def matches_at(self, words: list[int], start: int) -> bool:
+        states = self.first
+        for i in range(start, len(words)):
+            states = self.step(states, words[i])
+            if not states or self.final in states:
+                return bool(states)
+        return False
+
     def longest(self, words: list[int], start: int) -> int | None:
         """End of the longest match from ``start``, or None."""
         states, end = self.first, None
         for i in range(start, len(words)):
-            states = self.step(states, words[i])
+            anew = i > start and words[i] in self.begin and not self.tail.isdisjoint(states) and self.matches_at(words, i)
+            states = self.step(states, words[i], not anew)
             if not states:
                 break
             if self.final in states:
@@ -155,6 +167,10 @@ class Automaton:
     def seal(self) -> None:
         self.first = self.closure({0})
         self.begin = {w for s in self.first for w in self.edges[s]}
+        ends = {self.final}  # states that need no further word of the template
+        while more := {s for s in range(len(self.edges)) if s not in ends and not ends.isdisjoint(self.free[s] | self.wild[s])}:
+            ends |= more
+        self.tail = {s for s in ends if self.wild[s] and not ends.isdisjoint(self.wild[s])}
         self.any_first = any(self.wild[s] for s in self.first)
 
 

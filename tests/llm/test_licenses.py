@@ -103,3 +103,20 @@ def test_bad_templates_raise():
     for markup in ("<<opt>>only optional<<end>>", "<<opt>>open words here", "<<var:x:1-2>>"):
         with pytest.raises(ValueError):
             licenses.compile_template("bad", markup)
+
+
+def test_tags_and_notices_that_follow_each_other():
+    scan = licenses.scanner(licenses.TEMPLATES)
+    tag = "SPDX-License-Identifier:"
+    assert scan([f"{tag} GPL-2.0\n{tag} MIT\n"])[0] == [("SPDX tag", 0, 6), ("SPDX tag", 6, 10)]
+    assert [m[1:] for m in scan([f"{tag} {tag} MIT {tag} Apache-2.0"])[0]] == [(3, 7), (7, 13)]
+    assert len(scan([f"{tag} MIT " * 2000])[0]) == 2000
+    cc = scan(["Licensed under CC BY-SA Licensed under CC BY 4.0"])[0]
+    assert cc == [("CC (notice)", 0, 5), ("CC (notice)", 5, 11)]
+
+
+def test_gpl_notice_without_lead_in():
+    scan = licenses.scanner(licenses.TEMPLATES)
+    assert scan(["Licensed under the GNU General Public License, version 3"])[0] == [("GPL (notice)", 0, 9)]
+    assert scan(["This small program is licensed under the terms of the GNU General Public License"])[0] == [("GPL (notice)", 0, 14)]
+    assert scan(["Licensed under the GNU Lesser General Public License, version 3"])[0] == [("LGPL (notice)", 0, 10)]
