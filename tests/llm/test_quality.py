@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.llm import quality
+from folioscan.llm import quality, queries
 
 DATA = "/root/testdata/sf0.01"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -95,3 +95,11 @@ def test_further_columns_stay(docs, labels, clashing):
     d = clashing(d)
     kept = quality.quality_filter(d, y.withColumn("text", F.lit("t")))
     assert kept.columns == d.columns and 25 <= kept.count() <= 35
+
+
+def test_query_gives_every_document(spark, sf):
+    got = queries.op3_quality(spark, sf)
+    assert got.columns == ["doc_id", "probability", "accepted"]
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    assert {r["accepted"] for r in rows} >= {True, False}
