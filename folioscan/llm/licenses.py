@@ -9,8 +9,9 @@ and the like) are made equal in template and text.
 A template becomes an automaton over words: states joined by word edges, by edges for any word
 (with counted states for their bounds) and by empty edges past optional regions. A document is
 looked at by an automaton only where it holds every mandatory run of the template (three words, or the
-whole stretch where that is shorter), which one vectorised pass decides; the automaton then starts at each
-word that can come first. Matches of a template are the leftmost, of those the longest, and don't
+whole stretch where that is shorter). One vectorised pass over all words looks for one run of each
+template, that with the longest words; only texts that hold it are searched for the others. The
+automaton then starts at each word that can come first. Matches of a template are the leftmost, of those the longest, and don't
 overlap. Replaceable words at a template's end go no further than to where it matches anew.
 
 Defined cases: null and empty texts match nothing; a template without mandatory words is an
@@ -23,19 +24,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import small_batches
 from folioscan.llm.textvec import batches, shingles, slices, word_hashes
 
 _EQUAL = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "favour": "favor", "organisation": "organization", "whilst": "while", "centre": "center", "merchantibility": "merchantability"}
 _MARK = re.compile(r"<<(opt|end|var:\w+:\d+-\d+)>>")
 
-#: Short notices, and texts in the wording of their publishers.
-TEMPLATES: dict[str, str] = {
+#: Whole licenses, a file each, in the wording of their publishers; only numbering, appendices and the like are optional.
+TEXTS = Path(__file__).with_name("license_texts")
+
+#: Notices and headers that name a license.
+NOTICES: dict[str, str] = {
     "MIT (notice)": "<<opt>>This <<var:what:1-3>> is<<end>> <<opt>>Released<<end>> <<opt>>Licensed<<end>> <<opt>>Distributed<<end>> under the MIT License",
     "Apache-2.0 (notice)": "Licensed under the Apache License<<opt>>,<<end>> Version 2.0",
     "Apache-2.0 (header)": (
@@ -58,49 +64,9 @@ TEMPLATES: dict[str, str] = {
     "CC (notice)": "Licensed under CC BY<<opt>>-NC<<end>><<opt>>-SA<<end>><<opt>>-ND<<end>> <<opt>><<var:version:2-2>><<end>>",
     "CC0 (notice)": "<<opt>>To the extent possible under law,<<end>> <<var:author:1-8>> has waived all copyright and related or neighboring rights to",
     "BSD (notice)": "<<opt>>Released<<end>> <<opt>>Licensed<<end>> under the <<opt>>2<<end>><<opt>>3<<end>><<opt>>new<<end>><<opt>>simplified<<end>> BSD <<opt>>3<<end>> <<opt>>Clause<<end>> License",
-    "ISC": (
-        "Permission to use, copy, modify, and<<opt>>/or<<end>> distribute this software for any "
-        "purpose with or without fee is hereby granted, provided that the above copyright "
-        "notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
-        "\"AS IS\" AND <<var:author:1-12>> DISCLAIMS ALL WARRANTIES"
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met: <<opt>>1<<end>> "
-        "Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer. <<opt>>2<<end>> Redistributions in binary "
-        "form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer in the documentation and/or other materials provided with the "
-        "distribution. <<opt>><<var:third:0-3>> Neither the name of <<var:holder:1-20>> may be "
-        "used to endorse or promote products derived from this software without specific prior "
-        "written permission.<<end>> THIS SOFTWARE IS PROVIDED BY <<var:holders:1-20>> \"AS IS\" AND "
-        "ANY EXPRESS OR IMPLIED WARRANTIES"
-    ),
-    "MIT": (
-        "Permission is hereby granted,"
-        " free of charge, to any person"
-        " obtaining a copy of <<var:what:2-4>>"
-        " and associated documentation files"
-        " (the \"Software\"), to deal in"
-        " the Software without restriction,"
-        " including without limitation the rights"
-        " to use, copy, modify, merge,"
-        " publish, distribute, sublicense,"
-        " and/or sell copies of the"
-        " Software, and to permit persons"
-        " to whom the Software is"
-        " furnished to do so, subject to"
-        " the following conditions: <<opt>>The above"
-        " copyright notice and this permission"
-        " notice <<opt>>(including the next"
-        " paragraph)<<end>> shall be included in"
-        " all copies or substantial"
-        " portions of the Software.<<end>>"
-        " THE SOFTWARE IS PROVIDED"
-        " \"AS IS\", WITHOUT WARRANTY"
-    ),
     "SPDX tag": "SPDX License Identifier <<var:id:1-6>>",
 }
+TEMPLATES = NOTICES | {p.stem: p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
 
 
 def words_of(text: str) -> list[str]:
@@ -118,6 +84,7 @@ class Automaton:
     free: list[set[int]] = field(default_factory=list)
     final: int = 0
     runs: list[list[int]] = field(default_factory=list)
+    signs: list[int] = field(default_factory=list)
     tail: set[int] = field(default_factory=set)
 
     def state(self) -> int:
@@ -183,21 +150,23 @@ def compile_template(name: str, markup: str) -> Automaton:
     a = Automaton(name)
     at = a.state()
     opened: list[int] = []
-    stretch: list[int] = []
+    stretch: list[tuple[int, int]] = []
 
     def close() -> None:
         for i in range(max(1, len(stretch) - 2) if stretch else 0):
-            a.runs.append(stretch[i : i + 3])
+            a.runs.append([h for h, _ in stretch[i : i + 3]])
+            a.signs.append(sum(n for _, n in stretch[i : i + 3]))
         stretch.clear()
 
     for i, piece in enumerate(_MARK.split(markup)):
         if i % 2 == 0:
-            for w in _hash(words_of(piece)):
+            own = words_of(piece)
+            for h, w in zip(_hash(own), own):
                 to = a.state()
-                a.edges[at].setdefault(w, set()).add(to)
+                a.edges[at].setdefault(h, set()).add(to)
                 at = to
                 if not opened:
-                    stretch.append(w)
+                    stretch.append((h, len(w)))
         elif piece == "opt":
             close()
             opened.append(at)
@@ -244,23 +213,25 @@ def scan_words(automata: list[Automaton], words: list[int], chosen: list[int]) -
     return out
 
 
+def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where values stand in the sorted array ``known``."""
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values) if len(known) else np.empty(0, np.int64)
+
+
 def scanner(templates: dict[str, str]):
     """Function of a list of texts: the matches of each."""
     automata = [compile_template(n, m) for n, m in templates.items()]
-    runs: dict[int, list[tuple[int, int]]] = {}  # by length: (hash, automaton)
+    run_hash = lambda r: int(shingles(np.array(r, dtype=np.uint64), len(r))[0])
+    need: list[dict[int, np.ndarray]] = []  # of each automaton, its runs by length
+    first: dict[int, dict[int, list[int]]] = {}  # by length and hash: the automata that this run is looked for
     for i, a in enumerate(automata):
+        by: dict[int, set[int]] = {}
         for r in a.runs:
-            runs.setdefault(len(r), []).append((int(shingles(np.array(r, dtype=np.uint64), len(r))[0]), i))
-    need = np.array([len({tuple(r) for r in a.runs}) for a in automata])
-    known = {n: np.array(sorted({h for h, _ in rs}), dtype=np.uint64) for n, rs in runs.items()}
-    owners: dict[tuple[int, int], set[int]] = {}
-    for n, rs in runs.items():
-        for h, i in rs:
-            owners.setdefault((n, h), set()).add(i)
-    few = {}
-    for n, k in known.items():
-        few[n] = np.zeros(1 << 16, dtype=bool)
-        few[n][(k & np.uint64(65535)).astype(np.int64)] = True
+            by.setdefault(len(r), set()).add(run_hash(r))
+        need.append({n: np.array(sorted(hs), dtype=np.uint64) for n, hs in by.items()})
+        r = a.runs[max(range(len(a.runs)), key=lambda k: (len(a.runs[k]), a.signs[k]))]
+        first.setdefault(len(r), {}).setdefault(run_hash(r), []).append(i)
+    known = {n: np.array(sorted(hs), dtype=np.uint64) for n, hs in first.items()}
     same = {a: b for a, b in zip(_hash(sorted(_EQUAL)), _hash([_EQUAL[w] for w in sorted(_EQUAL)]))}
     odd = np.array(sorted(same), dtype=np.uint64)
     even = np.array([same[int(x)] for x in odd], dtype=np.uint64)
@@ -271,30 +242,38 @@ def scanner(templates: dict[str, str]):
             words, off = word_hashes(texts[s])
             at = np.minimum(np.searchsorted(odd, words), len(odd) - 1)
             words = np.where(odd[at] == words, even[at], words)
-            got: dict[int, set[tuple[int, int]]] = {}
+            maybe: dict[int, set[int]] = {}
             for n, k in known.items():
                 h = shingles(words, n)
-                maybe = np.flatnonzero(few[n][(h & np.uint64(65535)).astype(np.int64)])
-                j = np.minimum(np.searchsorted(k, h[maybe]), len(k) - 1)
-                maybe = maybe[k[j] == h[maybe]]
-                doc = np.searchsorted(off, maybe, side="right") - 1
-                for d, p in zip(doc.tolist(), maybe.tolist()):
+                for p in _in(h, k).tolist():
+                    d = int(np.searchsorted(off, p, side="right")) - 1
                     if p + n <= off[d + 1]:
-                        got.setdefault(d, set()).add((n, int(h[p])))
+                        maybe.setdefault(d, set()).update(first[n][int(h[p])])
             base = len(out)
             out.extend([] for _ in range(len(off) - 1))
-            for d, found in got.items():
-                count = np.zeros(len(automata), dtype=np.int64)
-                for x in found:
-                    count[list(owners[x])] += 1
-                chosen = np.flatnonzero(count == need).tolist()
+            for d, some in maybe.items():
+                own = words[off[d] : off[d + 1]]
+                have = {n: np.unique(shingles(own, n)) for n in {n for i in some for n in need[i]}}
+                chosen = [i for i in sorted(some) if all(len(have[n]) and len(_in(hs, have[n])) == len(hs) for n, hs in need[i].items())]
                 if chosen:
-                    out[base + d] = scan_words(automata, words[off[d] : off[d + 1]].tolist(), chosen)
+                    out[base + d] = scan_words(automata, own.tolist(), chosen)
         return out
 
     return scan
 
 
+_SCANNERS: dict[tuple, object] = {}
+
+
+def _scanner(templates: dict[str, str]):
+    """This process's scanner of these templates."""
+    key = tuple(templates.items())
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = scanner(templates)
+    return _SCANNERS[key]
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, start_word, end_word) of every match; words count from 0, the end is exclusive."""
     templates = TEMPLATES if templates is None else templates
@@ -303,9 +282,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
 
     @F.arrow_udf("array<struct<license:string,start_word:int,end_word:int>>")
     def scan(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        run = scanner(templates)
+        run = _scanner(templates)
         kind = pa.list_(pa.struct([("license", pa.string()), ("start_word", pa.int32()), ("end_word", pa.int32())]))
         for part in parts:
             yield pa.array([[{"license": a, "start_word": b, "end_word": c} for a, b, c in m] for texts in slices(part) for m in run(texts)], type=kind)
 
-    return docs.select("doc_id", F.explode(scan("text")).alias("m")).select("doc_id", "m.license", "m.start_word", "m.end_word")
+    return small_batches(docs).select("doc_id", F.explode(scan("text")).alias("m")).select("doc_id", "m.license", "m.start_word", "m.end_word")

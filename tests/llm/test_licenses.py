@@ -68,8 +68,13 @@ def test_against_backtracking():
     assert hits > 150
 
 
-MIT = licenses.TEMPLATES["MIT"].replace("<<var:what:2-4>>", "this software")
-MIT = re.sub(r"<<(?:opt|end)>>", " ", MIT)
+def plain(name, **said):
+    """A template's text with all of its optional wording."""
+    text = re.sub(r"<<var:(\w+):(\d+)-\d+>>", lambda m: said.get(m.group(1), " ".join(["word"] * max(1, int(m.group(2))))), licenses.TEMPLATES[name])
+    return re.sub(r"<<(?:opt|end)>>", " ", text)
+
+
+MIT = plain("MIT", what="this software and associated documentation files", holders="THE AUTHORS OR COPYRIGHT HOLDERS")
 
 
 def found(df):
@@ -120,3 +125,49 @@ def test_gpl_notice_without_lead_in():
     assert scan(["Licensed under the GNU General Public License, version 3"])[0] == [("GPL (notice)", 0, 9)]
     assert scan(["This small program is licensed under the terms of the GNU General Public License"])[0] == [("GPL (notice)", 0, 14)]
     assert scan(["Licensed under the GNU Lesser General Public License, version 3"])[0] == [("LGPL (notice)", 0, 10)]
+
+
+WHOLE = [p.stem for p in licenses.TEXTS.glob("*.txt")]
+
+
+def test_whole_texts_to_their_last_word(docs):
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(WHOLE)
+    texts = [f"intro. {plain(n)} outro." for n in WHOLE]
+    got = found(licenses.license_matches(docs(texts)))
+    assert [x for x in got if x[1] in WHOLE] == sorted((i, n) for i, n in enumerate(WHOLE))
+
+
+def test_an_altered_text_is_not_accepted(docs):
+    texts = []
+    for n in WHOLE:
+        bare = re.sub(r"(?s)<<opt>>.*?<<end>>", " ", licenses.TEMPLATES[n])
+        words = [w for w in re.sub(r"<<var.*?>>", " variable variable ", bare).split() if re.search("[a-zA-Z]", w)]
+        for at in (len(words) // 4, len(words) // 2, len(words) - 3):
+            at = next(i for i in range(at, -1, -1) if words[i] != "variable")  # what is replaceable may be anything
+            texts.append(" ".join([*words[:at], "zzzz", *words[at + 1 :]]))
+        texts.append(" ".join(words[:-12]) + " But you owe the author ten dollars for each copy.")
+    assert [x for x in found(licenses.license_matches(docs(texts))) if x[1] in WHOLE] == []
+
+
+def test_a_text_without_its_notice_sentence_is_not_mit(docs):
+    cut = re.sub(r"(?s)The above\s+copyright notice.*?portions of the\s+Software\.", "", MIT)
+    assert cut != MIT and found(licenses.license_matches(docs([cut]))) == []
+
+
+def test_bsd_3_is_not_bsd_2(docs):
+    assert found(licenses.license_matches(docs([plain("BSD-3-Clause"), plain("BSD-2-Clause")]))) == [(0, "BSD-3-Clause"), (1, "BSD-2-Clause")]
+
+
+def test_all_templates_against_backtracking_of_short_ones():
+    r = random.Random(3)
+    short = {n: re.sub(r"(?i)[^a-z0-9<>:_\-]+", " ", " ".join(licenses.words_of(" ")) or m).lower() for n, m in licenses.NOTICES.items() if len(m) < 200 and "var" not in m}
+    short = {n: re.sub(r"(?<!:)-(?!\d)", " ", m) for n, m in short.items()}
+    scan = licenses.scanner(short)
+    texts = []
+    for m in short.values():
+        for _ in range(15):
+            words = re.sub(r"<<opt>>(.*?)<<end>>", lambda x: x.group(1) if r.random() < 0.5 else "", m).split()
+            texts.append(" ".join(w for w in r.choices(["a", "under", "the"], k=3) + words + ["end"] if r.random() > 0.02))
+    for t, got in zip(texts, scan(texts)):
+        words = licenses.words_of(t)
+        assert sorted(got) == sorted((n, a, b) for n, m in short.items() for a, b in brute(" ".join(x if x.startswith("<<") else " ".join(licenses.words_of(x)) for x in re.split(r"(<<.*?>>)", m)), words)), t
