@@ -3,7 +3,7 @@
 A text's shingles are its runs of ``width`` words; its sketch is the ``k`` least hashes among
 them. Equal texts count as one node. The plan:
 
-1. Nodes: one row per distinct text with sketch and set size (one read of the texts, which
+1. Nodes: one row per distinct text with sketch, set size and least doc_id (one read of the texts, which
    stay where they are; only sketches move).
 2. Inverted lists: a pair with Jaccard similarity J shares each of the ``k`` least values of
    its union with probability J, so that ``need = floor(slack * size)`` shared values are
@@ -13,12 +13,14 @@ them. Equal texts count as one node. The plan:
    every document that has enough text of its own; no list is ever cut.
 3. Estimate on the union's sketch, then exact Jaccard. For the latter, pairs are gathered into
    tasks by their least neighbour, so that a group's shingle sets travel once, not once per
-   pair; a task beyond ``block`` nodes is split by node hash into pairs of blocks, and small
-   tasks share a bin.
+   pair; a task beyond ``block`` shingles is split by node hash into pairs of blocks, and small
+   tasks share a bin. Texts that are read again for it are picked by a bitmap of bounded size.
 4. Groups: connected components of the verified pairs, by alternating large and small stars.
    A group of m texts has m(m-1)/2 pairs, so for groups steps 2 and 3 run twice: first each
-   text is held against the two ends of its lists, then every pair of a list whose texts are
-   not in one group by then. Both together give the components that all pairs would give.
+   text is held against the two ends of its lists, then every two texts of a list that are
+   not in one group by then. For that the groups of a list meet first and only then their members, so
+   that one stray on a list of a million texts of one group makes a million pairs, not their
+   square. Both together give the components that all pairs would give.
 
 Recall: with k = 32 and slack = 0.28 a pair at the threshold 0.5 passes steps 2 and 3 with a
 probability over 0.99 each; pairs above it with more.
@@ -41,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import digest, keep_rows, materialise
+from folioscan.llm.common import delete_path, digest, keep, keep_rows, materialise, may_hold, row_key, scratch, small_batches
 from folioscan.llm.textvec import shingle_sets, slices
 
-WIDTH, K, THRESHOLD, SLACK, BLOCK = 3, 32, 0.5, 0.28, 1500
+WIDTH, K, THRESHOLD, SLACK, BLOCK = 3, 32, 0.5, 0.28, 500_000
 #: With the top bit flipped, the signed order of stored values is the unsigned order of the hashes by which the least were taken.
 _TOP = np.uint64(1 << 63)
 
@@ -70,10 +72,11 @@ def _sketcher(width: int, k: int):
 
 
 def nodes_of(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """(node, digest, doc_ids, sk, n): one row per distinct text, kept in the shared folder; node is a number of that table alone."""
-    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), digest(F.col("text")).alias("digest"), _sketcher(width, k)("text").alias("s"))
-    one = rows.groupBy("digest").agg(F.collect_set("id").alias("doc_ids"), F.max(F.when(F.col("id").isNull(), True).otherwise(False)).alias("nameless"), F.first("s").alias("s"))
-    return materialise(one.select(F.monotonically_increasing_id().alias("node"), "digest", F.array_sort("doc_ids").alias("doc_ids"), "nameless", F.array_sort("s.sk").alias("sk"), F.col("s.n").alias("n")), "near-nodes")
+    """(node, digest, x, id, rows, sk, n): one row per distinct text, kept in the shared folder; node is a number of that table alone, id the least doc_id, rows the number of its rows."""
+    text = F.col("text")
+    rows = small_batches(docs).filter(text.isNotNull()).select(F.col("doc_id").alias("id"), digest(text).alias("digest"), F.xxhash64(text).alias("x"), _sketcher(width, k)("text").alias("s"))
+    one = rows.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.min("x").alias("x"), F.first("s").alias("s"))
+    return materialise(one.select(F.monotonically_increasing_id().alias("node"), "digest", "x", "id", "rows", F.array_sort("s.sk").alias("sk"), F.col("s.n").alias("n")), "near-nodes")
 
 
 def _need(size, slack: float):
@@ -97,15 +100,22 @@ def _alike(threshold: float):
 
 
 def all_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): every two nodes on a common list whose set sizes allow the threshold; with a column ``label``, only those of different labels."""
-    extra = ["label"] if "label" in lists.columns else []
-    if extra:
-        mixed = lists.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("v")
-        lists = materialise(lists.join(mixed, "v", "left_semi"), "near-mixed")
-    a = lists.select("v", F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(c).alias("la") for c in extra])
-    b = lists.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias("lb") for c in extra])
-    met = a.join(b, "v").filter((F.col("a") < F.col("b")) & _alike(threshold))
-    return (met.filter("la <> lb") if extra else met).select("a", "b").distinct()
+    """(a, b): every two nodes on a common list whose set sizes allow the threshold."""
+    side = lambda c: lists.select("v", F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    return side("a").join(side("b"), "v").filter((F.col("a") < F.col("b")) & _alike(threshold)).select("a", "b").distinct()
+
+
+def cross_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): every two nodes of different ``label`` on a common list whose set sizes allow the threshold; nodes of one label never meet."""
+    groups = lists.groupBy("v", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    mixed = groups.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v")
+    groups = materialise(groups.join(mixed, "v", "left_semi"), "near-mixed")
+    side = lambda c: groups.select("v", F.col("label").alias(f"l{c}"), F.col("lo").alias(f"lo{c}"), F.col("hi").alias(f"hi{c}"))
+    could = (F.col("hia") >= F.col("lob") * F.lit(threshold)) & (F.col("hib") >= F.col("loa") * F.lit(threshold))
+    met = side("a").join(side("b"), "v").filter((F.col("la") < F.col("lb")) & could).select("v", "la", "lb")
+    member = lambda c: lists.select("v", F.col("label").alias(f"l{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    pairs = met.join(member("a"), ["v", "la"]).join(member("b"), ["v", "lb"]).filter(_alike(threshold))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def star_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -117,12 +127,12 @@ def star_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, k: int = K, slack: float = SLACK) -> DataFrame:
-    """The pairs (a, b) that share enough of the sketch of their union."""
-    sk = nodes.select("node", "sk")
-    both = pairs.join(sk.select(F.col("node").alias("a"), F.col("sk").alias("ska")), "a").join(sk.select(F.col("node").alias("b"), F.col("sk").alias("skb")), "b")
+    """(a, b, na, nb): the pairs that share enough of the sketch of their union, with their set sizes."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("sk").alias(f"sk{c}"), F.col("n").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k)
     hit = F.size(F.array_intersect(F.array_intersect("ska", "skb"), union))
-    return materialise(both.filter(hit >= _need(F.size(union), slack)).select("a", "b"), "near-pairs")
+    return materialise(both.filter(hit >= _need(F.size(union), slack)).select("a", "b", "na", "nb"), "near-pairs")
 
 
 def _set_maker(width: int):
@@ -137,50 +147,59 @@ def _set_maker(width: int):
     return sets
 
 
-def _verify(threshold: float):
+def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of the sorted set ``x`` each of the others, none empty, holds."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    sizes = np.array([len(o) for o in others])
+    return np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _verify(threshold: float, together: int = 1 << 19):
     def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         own = {n: np.sort(s) for n, s in zip(sets["node"], sets["shingles"])}
         left, right, found = [], [], []
         for a, part in pairs.groupby("a"):
-            x = own[a]
-            for b in part["b"]:
-                y = own[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                j = both / (len(x) + len(y) - both)
-                if j >= threshold:
-                    left.append(a)
-                    right.append(b)
-                    found.append(j)
-        return pd.DataFrame({"a": np.array(left, dtype="int64"), "b": np.array(right, dtype="int64"), "jaccard": np.array(found, dtype="float64")})
+            x, bs = own[a], part["b"].to_numpy()
+            sizes = np.array([len(own[b]) for b in bs])
+            turn = np.cumsum(sizes) // together  # a partner's whole set, many partners at once
+            for t in np.unique(turn):
+                some, n = bs[turn == t], sizes[turn == t]
+                both = _shared(x, [own[b] for b in some])
+                j = both / (len(x) + n - both)
+                good = j >= threshold
+                left.append(np.full(good.sum(), a))
+                right.append(some[good])
+                found.append(j[good])
+        cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.empty(0, t)
+        return pd.DataFrame({"a": cat(left, "int64"), "b": cat(right, "int64"), "jaccard": cat(found, "float64")})
 
     return run
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block: int = BLOCK, broadcast_rows: int = 500_000) -> DataFrame:
-    """(a, b, jaccard) of the candidate pairs whose exact Jaccard similarity reaches the threshold.
-
-    The ids of texts to be read again are broadcast only where there are at most
-    ``broadcast_rows``; beyond that they are joined by sort-merge.
-    """
-    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b, jaccard) of the candidate pairs (a, b, na, nb) whose exact Jaccard similarity reaches the threshold."""
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("na").alias("n")).union(pairs.select("b", "a", "nb"))
     least = ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least"))
-    put = pairs.join(least.select(F.col("node").alias("a"), F.col("least").alias("la")), "a").join(least.select(F.col("node").alias("b"), F.col("least").alias("lb")), "b").select("a", "b", F.least("la", "lb").alias("task"))
+    put = pairs.join(least.select(F.col("node").alias("a"), F.col("least").alias("la")), "a").join(least.select(F.col("node").alias("b"), F.col("least").alias("lb")), "b").select("a", "b", "na", "nb", F.least("la", "lb").alias("task"))
     put = materialise(put, "near-tasks")
-    members = put.select("task", F.explode(F.array("a", "b")).alias("node")).distinct()
-    blocks = members.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("na").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n")))).alias("e")
+    members = put.select("task", both).select("task", "e.*").distinct()
+    blocks = members.groupBy("task").agg(F.ceil(F.sum("n") / block).alias("parts"))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
-    keyed = put.join(blocks, "task").select("a", "b", F.xxhash64("task", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("h"))
+    keyed = put.join(blocks, "task").select("a", "b", "na", "nb", F.xxhash64("task", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("h"))
     keyed = materialise(keyed, "near-blocks")
-    # small tasks share a bin, so that a bin has about as many sets as one full task
-    bins = keyed.select("h", F.explode(F.array("a", "b")).alias("node")).distinct().count() // block + 1
-    keyed = keyed.select(F.pmod("h", F.lit(bins)).alias("bin"), "a", "b")
+    # small tasks share a bin, so that a bin has about as many shingles as one full task
+    total = keyed.select("h", both).select("h", "e.*").distinct().agg(F.sum("n")).first()[0] or 0
+    keyed = keyed.select(F.pmod("h", F.lit(total // block + 1)).alias("bin"), "a", "b")
     wanted = keyed.select(F.col("bin").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = materialise(wanted.select("node").distinct().join(nodes.select("node", "digest", F.try_element_at("doc_ids", F.lit(1)).alias("id")), "node"), "near-wanted")
-    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    bins = wanted.groupBy("node").agg(F.collect_list("to").alias("to"))  # as many as the node has blocks, each full of shingles
+    ids = materialise(bins.join(nodes.select("node", "digest", "x", "id"), "node"), "near-wanted")
     rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("__fs_id"), "text")
-    again = rows.join(ids.withColumnRenamed("digest", "__fs_d"), rows["__fs_id"].eqNullSafe(F.col("id")) & (digest(rows["text"]) == F.col("__fs_d")))
-    sets = again.select("node", _set_maker(width)("text").alias("shingles"))
-    sent = wanted.join(sets, "node").select("to", "node", "shingles")
+    again = may_hold(rows, row_key(F.xxhash64("text"), F.col("__fs_id")), ids.select(row_key(F.col("x"), F.col("id")).alias("y"))).filter("__fs_may")
+    again = again.select(digest(F.col("text")).alias("digest"), "text").dropDuplicates(["digest"])
+    sets = again.join(ids.hint("merge"), "digest").select("node", "to", _set_maker(width)("text").alias("shingles"))
+    sent = sets.select("node", F.explode("to").alias("to"), "shingles")
     return keyed.groupBy("bin").cogroup(sent.groupBy("to")).applyInPandas(_verify(threshold), "a bigint, b bigint, jaccard double")
 
 
@@ -212,33 +231,48 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_pairs(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: float = THRESHOLD, slack: float = SLACK, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(nodes, pairs): the distinct texts, and all of their pairs (a, b, jaccard) that are near duplicates; equal texts share a node."""
-    nodes = nodes_of(docs, width, k)
-    pairs = estimated(all_pairs(inverted_lists(nodes, slack), threshold), nodes, k, slack)
-    return nodes, materialise(verified(docs, nodes, pairs, width, threshold, block), "near-verified")
+    with scratch(docs.sparkSession):
+        nodes = keep(nodes_of(docs, width, k))
+        pairs = estimated(all_pairs(inverted_lists(nodes, slack), threshold), nodes, k, slack)
+        return nodes, keep(materialise(verified(docs, nodes, pairs, width, threshold, block), "near-verified"))
 
 
 def _grouped(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: float = THRESHOLD, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
-    """Groups without all of their pairs, which are as many as a group's square: first stars, then every pair that stars left apart."""
-    nodes = nodes_of(docs, width, k)
-    lists = inverted_lists(nodes, slack)
-    stars = estimated(star_pairs(lists, threshold), nodes, k, slack)
-    edges = materialise(verified(docs, nodes, stars, width, threshold, block), "near-stars")
-    first = components(edges)
-    apart = lists.join(first, "node", "left").select("v", "node", "n", F.coalesce("label", "node").alias("label"))
-    rest = estimated(all_pairs(apart, threshold).join(stars, ["a", "b"], "left_anti"), nodes, k, slack)
-    more = materialise(verified(docs, nodes, rest, width, threshold, block), "near-rest")
-    labels = components(edges.select("a", "b").union(more.select("a", "b")))
-    return nodes.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), "digest", "doc_ids", "nameless")
+    """(label, digest, x, id, rows) of every distinct text, without all pairs of a group, which are as many as its square: first stars, then every pair that stars left apart."""
+    with scratch(docs.sparkSession):
+        nodes = nodes_of(docs, width, k)
+        lists = inverted_lists(nodes, slack)
+        stars = estimated(star_pairs(lists, threshold), nodes, k, slack)
+        edges = materialise(verified(docs, nodes, stars, width, threshold, block), "near-stars")
+        first = components(edges)
+        apart = materialise(lists.join(first, "node", "left").select("v", "node", "n", F.coalesce("label", "node").alias("label")), "near-apart")
+        rest = estimated(cross_pairs(apart, threshold).join(stars.select("a", "b"), ["a", "b"], "left_anti"), nodes, k, slack)
+        more = materialise(verified(docs, nodes, rest, width, threshold, block), "near-rest")
+        labels = components(edges.select("a", "b").union(more.select("a", "b")))
+        return keep(materialise(nodes.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), "digest", "x", "id", "rows"), "near-grouped"))
 
 
 def near_groups(docs: DataFrame, **how) -> DataFrame:
-    """(keep_id, doc_ids, n_docs): a row for each group of near duplicates with two or more distinct ids; keep_id is the least of them."""
-    found = _grouped(docs, **how).groupBy("label").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("doc_ids")))).alias("doc_ids"))
-    return found.filter(F.size("doc_ids") > 1).select(F.col("doc_ids")[0].alias("keep_id"), "doc_ids", F.size("doc_ids").alias("n_docs"))
+    """(doc_id, keep_id, n_docs): each document that has near duplicates, once, with the least id of its class and the number of ids in that class.
+
+    Copies aren't expanded into pairs and no class is gathered: a class may hold a third of all rows. Rows without an id aren't listed.
+    """
+    grouped = _grouped(docs, **how)
+    ids = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", digest(F.col("text")).alias("digest"))
+    member = materialise(ids.join(grouped.select("digest", "label").hint("merge"), "digest").select("doc_id", "label").distinct(), "near-members")
+    delete_path(docs.sparkSession, grouped._fs_path)
+    classes = member.groupBy("label").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_docs")).filter("n_docs > 1")
+    return member.join(classes, "label").select("doc_id", "keep_id", "n_docs")
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each group stays; see the module for which, and for the defined cases."""
-    first = F.struct(F.try_element_at("doc_ids", F.lit(1)).isNull().alias("none"), F.try_element_at("doc_ids", F.lit(1)).alias("id"), F.col("digest").alias("d"))
-    keep = _grouped(docs, **how).groupBy("label").agg(F.min(first).alias("k")).select(F.col("k.d").alias("__fs_digest"), F.col("k.id").alias("__fs_id"))
-    return keep_rows(docs, keep)
+    grouped = _grouped(docs, **how)
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    classes = grouped.groupBy("label").agg(F.min(first)["digest"].alias("kept"), F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("all"))
+    judged = grouped.join(classes, "label").select(
+        F.col("digest").alias("__fs_digest"), F.col("id").alias("__fs_id"), F.col("x").alias("__fs_x"), (F.col("digest") == F.col("kept")).alias("__fs_keep"), ((F.col("texts") > 1) | (F.col("all") > 1)).alias("__fs_doubt"),
+    )
+    judged = materialise(judged, "near-judged")
+    delete_path(docs.sparkSession, grouped._fs_path)
+    return keep_rows(docs, judged)

@@ -81,7 +81,7 @@ def test_filter_drops_leaks_alone(docs, bench):
     d = docs(["x a b c d e y", "a b", None, "", "something else here", "x a b c d e y"])
     left = decontam.decontaminate(d, bench(["a b c d e", None, "", "..."]))
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 4]
-    assert sorted(r["doc_id"] for r in decontam.decontaminate(d, bench(["a b c d e"]), broadcast_rows=0).collect()) == [1, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(d, bench(["a b c d e"]), broadcast_shingles=0).collect()) == [1, 2, 3, 4]
 
 
 def test_short_items_and_repeats(docs, bench):
@@ -114,3 +114,19 @@ def test_further_columns_stay(docs, bench, clashing):
     assert got(decontam.leaks(d, b)) == {(0, 0): (1.0, 0)}
     left = decontam.decontaminate(d, b)
     assert left.columns == d.columns and [r["doc_id"] for r in left.collect()] == [1]
+
+
+def test_beyond_the_bound_a_bitmap_with_collisions_gives_the_same(docs, bench, monkeypatch):
+    monkeypatch.setattr(decontam, "BITS", 1 << 15)
+    build = decontam._bitmap
+    monkeypatch.setattr(decontam, "_bitmap", lambda vocabulary, n: build(vocabulary, n, 1 << 15))
+    r = random.Random(12)
+    items = [" ".join(f"i{k}w{j}" for j in range(60)) for k in range(40)]
+    texts = [" ".join(r.choices([f"t{j}" for j in range(3000)], k=400)) + (" " + r.choice(items) if k % 3 == 0 else "") for k in range(60)]
+    one, other = got(decontam.leaks(docs(texts), bench(items))), got(decontam.leaks(docs(texts), bench(items), broadcast_shingles=0))
+    assert one == other and len(one) == 20
+
+
+def test_many_copies_of_a_leak_all_go(docs, bench):
+    texts = ["pad a b c d e f"] * 300 + [f"own text number {i} here" for i in range(50)]
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs(texts), bench(["a b c d e f"])).collect()) == list(range(300, 350))

@@ -40,7 +40,12 @@ def brute(rows, threshold=neardup.THRESHOLD):
 
 
 def groups(df):
-    return {frozenset(r["doc_ids"]) for r in df.collect()}
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["keep_id"], set()).add(r["doc_id"])
+        assert r["n_docs"] > 1
+    assert all(k == min(g) for k, g in out.items())
+    return {frozenset(g) for g in out.values()}
 
 
 def noisy(seed=3, n=60):
@@ -62,7 +67,7 @@ def test_pairs_against_brute_force(docs):
     texts = noisy()
     want, _ = brute(list(enumerate(texts)))
     nodes, pairs = neardup.near_pairs(docs(texts))
-    name = {r["node"]: r["doc_ids"][0] for r in nodes.collect()}
+    name = {r["node"]: r["id"] for r in nodes.collect()}
     got = {frozenset((name[r["a"]], name[r["b"]])) for r in pairs.collect()}
     assert got <= want  # verified exactly
     assert len(want) > 30 and len(got) >= 0.97 * len(want)
@@ -75,7 +80,7 @@ def test_short_and_long_texts_at_the_threshold_against_brute_force(docs):
         texts += [" ".join(base[:35]), " ".join(base)]  # 33 and 66 shingles
     want, _ = brute(list(enumerate(texts)))
     nodes, pairs = neardup.near_pairs(docs(texts))
-    name = {r["node"]: r["doc_ids"][0] for r in nodes.collect()}
+    name = {r["node"]: r["id"] for r in nodes.collect()}
     got = {frozenset((name[r["a"]], name[r["b"]])) for r in pairs.collect()}
     assert len(want) == 100 and got <= want and len(got) >= 0.97 * len(want)
 
@@ -128,3 +133,44 @@ def test_further_columns_stay(docs, clashing):
     df = clashing(docs(["a b c d", "a b c d", "e f g h"]))
     got = neardup.near_dedup(df)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [0, 2]
+
+
+def test_short_texts_at_many_sizes_against_brute_force(docs):
+    r = random.Random(21)
+    texts = []
+    for i in range(120):
+        n = r.randint(22, 72)
+        base = [f"s{i}w{j}" for j in range(n)]
+        keep = r.randint(int(0.52 * n), int(0.62 * n))
+        texts += [" ".join(base), " ".join(base[:keep])]
+    want, _ = brute(list(enumerate(texts)))
+    nodes, pairs = neardup.near_pairs(docs(texts))
+    name = {r["node"]: r["id"] for r in nodes.collect()}
+    got = {frozenset((name[r["a"]], name[r["b"]])) for r in pairs.collect()}
+    assert len(want) > 80 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_labels_meet_before_their_members(spark):
+    rows = [(1, n, 10, 0) for n in range(50)] + [(1, 99, 10, 99), (1, 98, 30, 98)] + [(2, n, 10, 5) for n in range(5)]
+    lists = spark.createDataFrame(rows, "v bigint, node bigint, n bigint, label bigint")
+    got = {(r["a"], r["b"]) for r in neardup.cross_pairs(lists).collect()}
+    assert got == {(n, 99) for n in range(50)}  # 98 is too large for any of them
+
+
+def test_one_text_in_most_rows(docs):
+    texts = ["the same text of a few words"] * 400 + [f"text {i} that is quite its own with number {i * 7}" for i in range(40)] + ["the same text of a few words more"]
+    df = docs(texts)
+    assert sorted(r["doc_id"] for r in neardup.near_dedup(df).collect()) == [0, *range(400, 440)]
+    rows = neardup.near_groups(df).collect()
+    assert len(rows) == 401 and {(r["keep_id"], r["n_docs"]) for r in rows} == {(0, 401)}
+
+
+def test_intermediate_tables_are_deleted(spark, docs):
+    import os
+
+    from folioscan.llm.common import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    neardup.near_dedup(docs(["a b c d e", "a b c d e f"])).count()
+    assert sorted(n.rpartition("-")[0] for n in set(os.listdir(root)) - before) == ["near-judged"]
