@@ -4,8 +4,9 @@ Generators with high recall propose spans that may overlap: runs around an @, ru
 with and without separators, dotted quads, hexadecimal groups between colons, long strings of
 letters, digits and the signs of base64, with or without a digit. Boosted trees
 judge each by its format (length, kinds of signs, groups, checksum, octets, case, ...) and by its
-context (words before it, signs around it). A threshold for each kind, calibrated on examples
-held out, selects; of overlapping spans the one with the highest probability is redacted.
+context (words before it, signs around it). A threshold for each kind, calibrated on the spans of
+sentences held out, selects; it is kept between ``FLOOR`` and ``CEILING``, as examples that are easily told
+apart would put it anywhere between 0 and 1. Of overlapping spans the one with the highest probability is redacted.
 
 The trees are fitted in the driver to ``examples()``, made up from formats, of a number that is
 a parameter. Texts are read whole, row by row; nothing is shuffled.
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import small_batches
 from folioscan.llm.textvec import slices
 
 KINDS = ("email", "phone", "ip", "card", "national_id", "iban", "secret")
-EXAMPLES, ROUNDS, DEPTH, PRECISION = 8000, 60, 3, 0.995
+EXAMPLES, ROUNDS, DEPTH, PRECISION, FLOOR, CEILING = 8000, 60, 3, 0.995, 0.05, 0.9
 
 _NUMBER = re.compile(r"(?<![\w.])[+(]?\d(?:[ ().\-/]{0,2}\d){5,}(?!\w)")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w\-])")
@@ -44,8 +46,8 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-
 _GROUPS = re.compile(r"(?<!\w)(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:])")
 _LONG = re.compile(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{20,}(?![A-Za-z0-9_\-])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9_\-+/])[A-Za-z0-9_\-+/]{20,}={0,2}(?![A-Za-z0-9_\-+/])")
-_LOCAL = re.compile(r"[\w.+\-%']+\Z")
-_DOMAIN = re.compile(r"(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_]{2,}")
+_LOCAL = re.compile(r"[\w.+\-%']")
+_DOMAIN = re.compile(r"(?:[^\W_][\w\-]*+(?<![_\-])\.)+[^\W\d_]{2,}")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 _CUES = (
@@ -61,9 +63,11 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     out = set()
     at = text.find("@")
     while at >= 0:
-        a, b = _LOCAL.search(text, max(0, at - 80), at), _DOMAIN.match(text, at + 1, min(len(text), at + 255))
-        if a and b:
-            out.add(("email", a.start(), b.end()))
+        a = at  # no sign of a local part is an @, so that each is looked at once
+        while a and _LOCAL.match(text, a - 1):
+            a -= 1
+        if a < at and (b := _DOMAIN.match(text, at + 1)):
+            out.add(("email", a, b.end()))
         at = text.find("@", at + 1)
     for m in _NUMBER.finditer(text):
         n = sum(map(str.isdigit, m.group()))
@@ -269,10 +273,11 @@ class Model:
 
 
 def fit(rows: list[tuple[str, str, int, int, int]] | None = None, precision: float = PRECISION) -> Model:
-    """Trees from four fifths of the examples; for each kind the lowest threshold with that precision on the last fifth, 0.5 where none has it."""
+    """Trees from four fifths of the sentences; for each kind the lowest threshold with that precision on the last fifth, within bounds, 0.5 where none has it."""
     rows = examples() if rows is None else rows
     x, y = np.array([features(t, k, a, b) for t, k, a, b, _ in rows]), np.array([float(r[4]) for r in rows])
-    held = np.arange(len(rows)) % 5 == 0
+    sentence: dict[str, int] = {}
+    held = np.array([sentence.setdefault(r[0], len(sentence)) % 5 == 0 for r in rows])
     trees = boost(x[~held], y[~held])
     p = trees.probability(x[held])
     thresholds = {}
@@ -280,7 +285,7 @@ def fit(rows: list[tuple[str, str, int, int, int]] | None = None, precision: flo
         mine = x[held][:, i] == 1
         q, t = p[mine], y[held][mine]
         fine = [c for c in np.unique(np.round(q, 3)) if (q >= c).any() and t[q >= c].mean() >= precision]
-        thresholds[kind] = float(min(max(min(fine), 0.05), 0.9)) if fine else 0.5
+        thresholds[kind] = float(min(max(min(fine), FLOOR), CEILING)) if fine else 0.5
     return Model(trees, thresholds)
 
 
@@ -324,10 +329,10 @@ def _column(model: Model):
 
 def redactions(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, redacted, spans, n_spans) of the rows in which something is redacted."""
-    r = docs.select("doc_id", _column(model or fit())("text").alias("r")).filter(F.size("r.spans") > 0)
+    r = small_batches(docs).select("doc_id", _column(model or fit())("text").alias("r")).filter(F.size("r.spans") > 0)
     return r.select("doc_id", F.col("r.text").alias("redacted"), F.col("r.spans").alias("spans"), F.size("r.spans").alias("n_spans"))
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Every row of ``docs``, its text redacted."""
-    return docs.withColumn("text", _column(model or fit())("text")["text"])
+    return small_batches(docs).withColumn("text", _column(model or fit())("text")["text"])

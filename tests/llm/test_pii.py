@@ -1,5 +1,7 @@
 """PII redaction: held-out accuracy of the trees, boosting on a known rule, and the defined cases."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -125,3 +127,68 @@ def test_whole_table(spark, sf, model):
     rows = {r["doc_id"]: r for r in pii.redactions(df, model).collect()}
     for r in df.select("doc_id", "text").collect():
         assert (r["doc_id"] in rows) == bool(pii.spans(model, r["text"]))
+
+
+def test_local_parts_and_domains_of_any_length(model):
+    text = "mail " + "abcdefghij" * 12 + "@" + "longlabel" * 6 + "." + ".".join(["part"] * 60) + ".org now"
+    (kind, a, b, _), = pii.spans(model, text) or [(None, 0, 0, 0)]
+    assert [(k, s, e) for k, s, e in pii.proposals(text) if k == "email"] == [("email", 5, len(text) - 4)]
+    if kind:
+        assert (a, b) == (5, len(text) - 4)
+    assert len(pii.proposals("@".join(["a" * 300] * 2000))) < 5000  # each sign is looked at once
+
+
+def test_short_phones_and_long_runs_are_proposed():
+    assert ("phone", 5, 13) in pii.proposals("call 555-0134 now")
+    assert ("secret", 6, 31) in pii.proposals("token " + "1234567890123456789012345" + " end")
+
+
+def tree_probability(trees, x):
+    """The sum over the trees, each walked from its root."""
+    z = trees.base
+    for feature, bound, leaf in zip(trees.feature, trees.bound, trees.leaf):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + (2 if x[feature[at]] > bound[at] else 1)
+        z += leaf[at - len(feature)]
+    return 1 / (1 + math.exp(-z))
+
+
+def brute_spans(model, text):
+    """All proposals, the best taken again and again until none that is good enough is free."""
+    left = []
+    for kind, a, b in pii.proposals(text):
+        p = tree_probability(model.trees, pii.features(text, kind, a, b))
+        if p >= model.thresholds[kind]:
+            left.append((round(p, 6), b - a, -a, kind))
+    out = []
+    while left:
+        best = max(left, key=lambda s: (s[0], s[1], s[2], [-ord(c) for c in s[3]]))
+        start, end = -best[2], -best[2] + best[1]
+        out.append((best[3], start, end, best[0]))
+        left = [s for s in left if -s[2] >= end or -s[2] + s[1] <= start]
+    return sorted(out, key=lambda s: s[1])
+
+
+def test_query_against_brute_force(spark, sf, model):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.redactions(df, model).collect()}
+    found = 0
+    for i, text in df.select("doc_id", "text").collect():
+        want = brute_spans(model, text) if text else []
+        assert (i in got) == bool(want)
+        if want:
+            assert [(s["kind"], s["start"], s["end"]) for s in got[i]["spans"]] == [s[:3] for s in want]
+            assert [s["probability"] for s in got[i]["spans"]] == pytest.approx([s[3] for s in want], abs=2e-6)
+            redacted = text
+            for kind, a, b, _ in reversed(want):
+                redacted = redacted[:a] + f"[{kind.upper()}]" + redacted[b:]
+            assert got[i]["redacted"] == redacted and got[i]["n_spans"] == len(want)
+            found += len(want)
+    assert found > 5
+
+
+def test_equal_probabilities_go_to_the_longer_then_the_earlier_span(monkeypatch):
+    model = pii.Model(pii.Trees(np.empty((0, 0)), np.empty((0, 0)), np.empty((0, 0)), 3.0), dict.fromkeys(pii.KINDS, 0.5))
+    monkeypatch.setattr(pii, "proposals", lambda t: [("phone", 0, 5), ("card", 3, 9), ("ip", 9, 12), ("iban", 11, 14), ("secret", 9, 12)])
+    assert [(k, a, b) for k, a, b, _ in pii.spans(model, "x" * 20)] == [("card", 3, 9), ("ip", 9, 12)]
