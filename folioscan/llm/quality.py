@@ -1,7 +1,7 @@
 """Quality classifier: a Gaussian kernel over document statistics by random Fourier features.
 
-Statistics of a text (sizes, character classes, repetition) are standardised and mapped to
-``sqrt(2 / D) * cos(W x + b)``; ridge regression on the labels is solved from normal equations
+Statistics of a text (sizes, character classes, repetition) are standardised, held within ``CLIP``
+standard deviations (what lies beyond is as far as the kernel reaches) and mapped to ``sqrt(2 / D) * cos(W x + b)``; ridge regression on the labels is solved from normal equations
 that each partition sums for itself; isotonic regression on rows held out turns scores into
 probabilities. Fitting uses at most ``max_rows`` labelled rows, those with the least hash of
 their id; scoring reads every document whole.
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import small_batches
 from folioscan.llm.textvec import slices
 
-FEATURES, GAMMA, RIDGE, SEED, MAX_ROWS, ACCEPT = 256, 0.05, 1e-3, 7, 20_000, 0.5
+FEATURES, GAMMA, RIDGE, SEED, MAX_ROWS, ACCEPT, CLIP = 256, 0.05, 1e-3, 7, 20_000, 0.5, 8.0
 
 _CLASS = np.full(256, 5, dtype=np.uint8)
 for _chars, _k in ((b"abcdefghijklmnopqrstuvwxyz", 0), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"0123456789", 2), (b" \t\n\r\f\v", 3), (b".,;:'\"-()", 4)):
@@ -80,7 +81,7 @@ class Model:
 
 def fourier(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Random Fourier features and a constant; sums go row by row, so that a row's value doesn't depend on its batch."""
-    z = np.sqrt(2 / w.shape[1]) * np.cos(np.einsum("ij,jk->ik", np.clip(x, -8, 8), w) + b)
+    z = np.sqrt(2 / w.shape[1]) * np.cos(np.einsum("ij,jk->ik", np.clip(x, -CLIP, CLIP), w) + b)
     return np.hstack([z, np.ones((len(x), 1))])
 
 
@@ -107,7 +108,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES, gamma: float = GAMMA, ridge: float = RIDGE, seed: int = SEED) -> Model:
     """Fit on the labelled rows; every fifth id, by hash, is held out for the calibration. The two kinds weigh the same in total."""
-    table = labelled(docs, labels, max_rows).select("doc_id", "y", _stats()("text").alias("x"), (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0).alias("held"))
+    table = labelled(small_batches(docs), labels, max_rows).select("doc_id", "y", _stats()("text").alias("x"), (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0).alias("held"))
     # at most max_rows rows of sixteen numbers: they are gathered in 8 partitions so that what is summed doesn't grow either
     table = table.repartition(8, "doc_id").sortWithinPartitions("doc_id", "x").persist()
     try:
@@ -180,11 +181,11 @@ def scorer(model: Model):
 def quality_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """(doc_id, probability, accepted) for every row."""
     p = scorer(fit(docs, labels, **how))("text")
-    return docs.select("doc_id", p.alias("probability")).withColumn("accepted", F.col("probability") >= ACCEPT)
+    return small_batches(docs).select("doc_id", p.alias("probability")).withColumn("accepted", F.col("probability") >= ACCEPT)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
     p = scorer(fit(docs, labels, **how))("text")
-    return docs.withColumn("__fs_p", p).filter(F.col("__fs_p") >= ACCEPT).select(*cols)
+    return small_batches(docs).withColumn("__fs_p", p).filter(F.col("__fs_p") >= ACCEPT).select(*cols)

@@ -103,3 +103,63 @@ def test_query_gives_every_document(spark, sf):
     rows = got.collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
     assert {r["accepted"] for r in rows} >= {True, False}
+
+
+def brute_statistics(text):
+    """The sixteen statistics, one by one from their description."""
+    words = text.split()
+    if not words:
+        return [0.0] * 16
+    raw, n = text.encode(), len(text.split())
+    share = lambda test: sum(map(test, raw)) / len(raw)
+    lower, upper = share(lambda c: 97 <= c <= 122), share(lambda c: 65 <= c <= 90)
+    digits, space = share(lambda c: 48 <= c <= 57), share(lambda c: c in b" \t\n\r\f\v")
+    points, high = share(lambda c: c in b".,;:'\"-()"), share(lambda c: c >= 0x80)
+    kinds = set(words)
+    lines = [x for x in text.split("\n") if x.strip()]
+    return [
+        np.log(1 + len(text)), np.log(1 + n), len(text) / n, np.log(1 + max(len(w) for w in words)), len(kinds) / n, np.log(1 + len(kinds)) / np.log(1 + n),
+        sum(a == b for a, b in zip(words, words[1:])) / n, max(words.count(w) for w in kinds) / n, upper / (lower + upper + 1e-9), digits, space, points, 1 - lower - upper - digits - space - points - high, high,
+        1 - len(set(lines)) / len(lines), np.log(1 + n / len(lines)),
+    ]
+
+
+def brute_isotonic(score, y, weight):
+    """The monotone fit by its min-max formula, at the distinct scores."""
+    at = np.unique(score)
+    w = np.array([weight[score == s].sum() for s in at])
+    m = np.array([(weight * y)[score == s].sum() for s in at]) / w
+    mean = lambda i, j: (w[i : j + 1] * m[i : j + 1]).sum() / w[i : j + 1].sum()
+    return at, np.array([max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))])
+
+
+def test_query_against_brute_force(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    y = {}
+    for r in labels.collect():
+        if r["quality"] is not None and docs.get(r["doc_id"]) is not None:
+            y[r["doc_id"]] = min(r["quality"], y.get(r["doc_id"], 1))
+    parts = spark.createDataFrame([(i,) for i in y], "doc_id bigint").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED)), F.lit(5)) == 0).alias("held")).collect()
+    held = {r["doc_id"]: r["held"] for r in parts}
+    x = {i: np.array(brute_statistics(t)) if t else np.zeros(16) for i, t in docs.items()}
+    train, test = [i for i in y if not held[i]], [i for i in y if held[i]]
+    m, s = np.mean([x[i] for i in train], 0), np.std([x[i] for i in train], 0)
+    s[s < 1e-9] = 1.0
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0, np.sqrt(2 * quality.GAMMA), (16, quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = {i: np.append(np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((v - m) / s, -quality.CLIP, quality.CLIP) @ w + b), 1.0) for i, v in x.items()}
+    n = len(train)
+    weight = {k: n / (2 * sum(y[i] == k for i in train)) for k in (0, 1)}
+    a, c = np.zeros((quality.FEATURES + 1,) * 2), np.zeros(quality.FEATURES + 1)
+    for i in train:
+        a += weight[y[i]] * np.outer(z[i], z[i])
+        c += weight[y[i]] * y[i] * z[i]
+    ridge = np.diag([quality.RIDGE * n] * quality.FEATURES + [1e-9])
+    beta = np.linalg.solve(a + ridge, c)
+    at, value = brute_isotonic(np.array([z[i] @ beta for i in test]), np.array([float(y[i]) for i in test]), np.array([weight[y[i]] for i in test]))
+    for r in queries.op3_quality(spark, sf).collect():
+        t = docs[r["doc_id"]]
+        p = float(np.interp(z[r["doc_id"]] @ beta, at, value)) if t and t.split() else 0.0
+        assert r["probability"] == pytest.approx(p, abs=1e-4)
+        assert abs(p - quality.ACCEPT) < 1e-3 or r["accepted"] == (p >= quality.ACCEPT)
