@@ -38,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialise
+from folioscan.llm.common import keep, materialise, scratch, small_batches
+from folioscan.llm.textvec import give_back, slices
 
-DEPTH, GROUP_ROWS, BROADCAST_ROWS = 4, 150_000, 8_000_000
+DEPTH, GROUP_ROWS, BROADCAST_ROWS = 4, 150_000, 2_000_000
 _U = np.uint64
-_CHUNK = 4 << 20
 
 
 def _runs(raws: list[bytes], depth: int) -> np.ndarray:
@@ -62,17 +62,10 @@ def _runs(raws: list[bytes], depth: int) -> np.ndarray:
     return key[keep]
 
 
-def _chunks(texts: list[str | None]):
-    """(first index, raw texts) of about _CHUNK bytes each."""
-    at, size, held = 0, 0, []
-    for i, t in enumerate(texts):
-        held.append(b"" if t is None else t.encode("utf-8", "surrogatepass"))
-        size += len(held[-1])
-        if size >= _CHUNK:
-            yield at, held
-            at, size, held = i + 1, 0, []
-    if held:
-        yield at, held
+def _raw(part: pa.Array) -> Iterator[list[bytes]]:
+    """The texts' bytes, a slice of the batch at a time; nothing for null."""
+    for texts in slices(part):
+        yield [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
 def _fold(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +90,7 @@ def _counter(depth: int, weight: int, hold: int = 2_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 500_000].view(np.int64)), pa.array(n[i : i + 500_000])], names=["run", "n"])
 
         for batch in batches:
-            for _, raws in _chunks(batch.column(0).to_pylist()):
+            for raws in _raw(batch.column(0)):
                 k, n = np.unique(_runs(raws, depth), return_counts=True)
                 if not len(k):
                     continue
@@ -119,7 +112,7 @@ def _counter(depth: int, weight: int, hold: int = 2_000_000):
 
 def run_counts(docs: DataFrame, depth: int = DEPTH, weight: int = 1) -> DataFrame:
     """(run, n): how often each run of depth + 1 bytes stands in the texts, times ``weight``."""
-    texts = docs.filter(F.col("text").isNotNull()).select("text")
+    texts = small_batches(docs).filter(F.col("text").isNotNull()).select("text")
     return texts.mapInArrow(_counter(depth, weight), "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
 
 
@@ -241,20 +234,20 @@ def _downward(depth: int, crown: tuple[np.ndarray, np.ndarray, np.ndarray]):
                 p = p + left * x.stop[at] * kt[bit, at]
                 left = left * (1 - x.stop[at])
             bits -= np.log2(p)
-        return pa.table({"run": key[order].view(np.int64), "bits": bits})
+        return pa.table({"run": key[order].view(np.int64), "times": t["n"].to_numpy()[order], "bits": bits})
 
     return run
 
 
 def run_costs(counts: DataFrame, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(run, bits): what the last byte of each run costs after the bytes before it."""
+    """(run, times, bits): how often each run stands in the corpus, and what its last byte costs after the bytes before it."""
     rows = counts.count()
     groups = rows // group_rows + 1
     # the last two bytes of the context
     grouped = counts.withColumn("g", F.pmod(F.xxhash64(F.shiftright("run", 8).bitwiseAND(F.lit(65535))), F.lit(groups)))
     up = grouped.groupBy("g").applyInArrow(_upward(depth), "node bigint, zeros bigint, ones bigint, pw double")
     crown = _crown(up.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("pw").alias("pw")).collect())
-    return materialise(grouped.groupBy("g").applyInArrow(_downward(depth, crown), "run bigint, bits double"), "ctw-costs")
+    return materialise(grouped.groupBy("g").applyInArrow(_downward(depth, crown), "run bigint, times bigint, bits double"), "ctw-costs")
 
 
 class Table:
@@ -280,20 +273,30 @@ class Table:
     def _slot(self, run: np.ndarray) -> np.ndarray:
         return ((run * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def get(self, run: np.ndarray) -> np.ndarray:
+    def get(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs, and where the table has none."""
         at = self._slot(run)
         left = np.flatnonzero(self.key[at] != run)
+        gone = []
         while len(left):
+            none = self.key[at[left]] == np.iinfo(np.uint64).max
+            gone.append(left[none])
+            left = left[~none]
             at[left] = (at[left] + 1) & self.mask
             left = left[self.key[at[left]] != run[left]]
-        return self.bits[at]
+        lost = np.concatenate(gone) if gone else left
+        bits = self.bits[at]
+        bits[lost] = 0.0
+        return bits, np.sort(lost)
 
 
 _TABLES: dict[int, Table] = {}
 
 
 def _lookup(shared, depth: int):
-    @F.arrow_udf("struct<n:bigint,bits:double>")
+    kind = pa.list_(pa.struct([("run", pa.int64()), ("n", pa.int64())]))
+
+    @F.arrow_udf("struct<n:bigint,bits:double,rare:array<struct<run:bigint,n:bigint>>>")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if shared.id not in _TABLES:
             _TABLES.clear()
@@ -301,17 +304,30 @@ def _lookup(shared, depth: int):
             _TABLES[shared.id] = Table(run, bits)
         table = _TABLES[shared.id]
         for part in parts:
-            texts = part.to_pylist()
-            n, bits = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-            for at, raws in _chunks(texts):
+            sizes, sums, rare, counts, ends = [], [], [], [], [0]
+            for raws in _raw(part):
                 size = np.array([len(r) for r in raws])
-                cost = table.get(_runs(raws, depth))
+                runs = _runs(raws, depth)
+                cost, lost = table.get(runs)
+                total = np.zeros(len(raws))
                 full = np.flatnonzero(size)
-                n[at : at + len(raws)] = size
                 if len(full):
-                    bits[at + full] = np.add.reduceat(cost, (np.cumsum(size) - size)[full])
-            none = np.array([t is None for t in texts], dtype=bool)
-            yield pa.StructArray.from_arrays([pa.array(n, mask=none), pa.array(bits, mask=none)], names=["n", "bits"])
+                    total[full] = np.add.reduceat(cost, (np.cumsum(size) - size)[full])
+                sizes.append(size)
+                sums.append(total)
+                cuts = np.searchsorted(lost, np.cumsum(size))
+                for a, b in zip([0, *cuts[:-1]], cuts):
+                    if b > a:
+                        k, n = np.unique(runs[lost[a:b]], return_counts=True)
+                        rare.append(k)
+                        counts.append(n)
+                    ends.append(ends[-1] + (len(rare[-1]) if b > a else 0))
+            cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
+            items = pa.StructArray.from_arrays([pa.array(cat(rare, _U).view(np.int64)), pa.array(cat(counts, np.int64))], names=["run", "n"])
+            none = part.is_null().to_numpy(zero_copy_only=False)
+            lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), items).cast(kind)
+            yield pa.StructArray.from_arrays([pa.array(cat(sizes, np.int64).astype(np.int64), mask=none), pa.array(cat(sums, np.float64), mask=none), lists], names=["n", "bits", "rare"])
+            give_back()
 
     return score
 
@@ -329,37 +345,40 @@ class _Shared:
         return self._b.value
 
 
-def _expander(depth: int):
-    """(row, doc_id, size, run, n): the runs of each text; for the joined way."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, t in enumerate(b.column(1).to_pylist()):
-                k, n = np.unique(_runs([t.encode("utf-8", "surrogatepass")], depth), return_counts=True)
-                for j in range(0, len(k), 200_000):
-                    m = len(k[j : j + 200_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, b.column(0)[i].as_py())), pa.array(k[j : j + m].view(np.int64)), pa.array(n[j : j + m].astype(np.int64))], names=["row", "run", "n"])
-
-    return run
+def _common(costs: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(the commonest runs, ``most`` of them at most; the others, None where there are none)."""
+    if costs.count() <= most:
+        return costs, None
+    # how many runs occur as often: as many rows as there are different numbers
+    levels = costs.groupBy("times").count().orderBy(F.desc("times"))
+    room, least = most, None
+    for r in levels.toLocalIterator():
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["times"]
+    if least is None:
+        return costs.limit(0), costs
+    return costs.filter(F.col("times") >= least), costs.filter(F.col("times") < least)
 
 
 def ctw_scores(docs: DataFrame, corpus: DataFrame | None = None, depth: int = DEPTH, group_rows: int = GROUP_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) of every row, under the tree of ``corpus`` (``docs`` itself where none is given); depth 2 to 6."""
     spark = docs.sparkSession
-    counts = run_counts(docs if corpus is None else corpus, depth)
-    if corpus is not None:
-        counts = counts.union(run_counts(docs, depth, 0)).groupBy("run").agg(F.sum("n").alias("n"))
-    counts = materialise(counts, "ctw-counts")
-    costs = run_costs(counts, depth, group_rows)
-    if costs.count() <= broadcast_rows:
-        table = costs.toArrow()
+    with scratch(spark):
+        counts = run_counts(docs if corpus is None else corpus, depth)
+        if corpus is not None:
+            counts = counts.union(run_counts(docs, depth, 0)).groupBy("run").agg(F.sum("n").alias("n"))
+        counts = materialise(counts, "ctw-counts")
+        costs = run_costs(counts, depth, group_rows)
+        common, rare = _common(costs, broadcast_rows)
+        table = common.select("run", "bits").toArrow()
         shared = _Shared(spark, (table["run"].to_numpy().view(_U), table["bits"].to_numpy()))
-        s = docs.select("doc_id", _lookup(shared, depth)("text").alias("s"))
-        out = s.select("doc_id", F.col("s.n").alias("n_bytes"), F.col("s.bits").alias("bits"))
-    else:
-        rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "ctw-rows")
-        runs = rows.filter(F.col("text").isNotNull()).select("row", "text").mapInArrow(_expander(depth), "row bigint, run bigint, n bigint")
-        summed = runs.join(costs, "run").groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("b"))
-        out = rows.select("row", "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes")).join(summed, "row", "left")
-        out = out.select("doc_id", "n_bytes", F.when(F.col("n_bytes") >= 0, F.coalesce("b", F.lit(0.0))).alias("bits"))
-    return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")))
+        s = small_batches(docs).select("doc_id", _lookup(shared, depth)("text").alias("s"))
+        out = s.select("doc_id", F.col("s.n").alias("n_bytes"), F.col("s.bits").alias("bits"), F.col("s.rare").alias("rare"))
+        if rare is not None:
+            rows = keep(materialise(out.select(F.monotonically_increasing_id().alias("row"), "*"), "ctw-rows"))
+            runs = rows.select("row", F.explode("rare").alias("x")).select("row", "x.run", "x.n")
+            summed = materialise(runs.join(rare.select("run", F.col("bits").alias("each")), "run").groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more")), "ctw-rare")
+            out = rows.join(keep(summed), "row", "left").withColumn("bits", F.col("bits") + F.coalesce("more", F.lit(0.0)))
+    bits = F.round("bits", 9)
+    return out.select("doc_id", "n_bytes", bits.alias("bits"), F.when(F.col("n_bytes") > 0, bits / F.col("n_bytes")).alias("bits_per_byte"))

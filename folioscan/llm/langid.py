@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import small_batches
 from folioscan.llm.textvec import slices
 
-TOP, PER_LANGUAGE, LONGEST = 300, 900, 3
+TOP, PER_LANGUAGE, LONGEST, BROADCAST_ROWS = 300, 900, 3, 500_000
 _LETTER: np.ndarray | None = None
 
 
@@ -82,7 +83,8 @@ def profiles(docs: DataFrame, top: int = TOP, per_language: int = PER_LANGUAGE)
     order = W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     chosen = docs.filter("lang is not null and doc_id is not null and text is not null").select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
     chosen = chosen.select(F.col("lang").alias("__fs_lang"), F.col("doc_id").alias("__fs_id")).distinct()
-    texts = docs.filter("text is not null").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__fs_id")) & (F.col("lang") == F.col("__fs_lang")), "left_semi")
+    few = chosen.count() <= BROADCAST_ROWS  # with more, by sort-merge
+    texts = docs.filter("text is not null").join(F.broadcast(chosen) if few else chosen.hint("merge"), (F.col("doc_id") == F.col("__fs_id")) & (F.col("lang") == F.col("__fs_lang")), "left_semi")
     n = texts.select("lang", "text").mapInArrow(_counter(), "lang string, g bigint, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     best = n.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "g"))).filter(F.col("k") <= top).orderBy("lang", "k")
     out: dict[str, list[int]] = {}
@@ -122,4 +124,4 @@ def _identifier(known: dict[str, np.ndarray], top: int):
 def identify(docs: DataFrame, training: DataFrame | None = None, top: int = TOP, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, language, distance) of every row; ``training`` (doc_id, text, lang) is ``docs`` itself where none is given."""
     known = profiles(docs if training is None else training, top, per_language)
-    return docs.select("doc_id", _identifier(known, top)("text").alias("r")).select("doc_id", "r.language", "r.distance")
+    return small_batches(docs).select("doc_id", _identifier(known, top)("text").alias("r")).select("doc_id", "r.language", "r.distance")

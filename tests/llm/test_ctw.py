@@ -119,3 +119,18 @@ def test_what_is_gathered_follows_the_corpus(spark, sf):
     full = ctw.run_counts(d).agg(F.sum("n"), F.count("run")).first()
     assert full[0] > 1.2 * half[0] and full[1] > half[1]
     assert full[0] == d.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_some_runs_common_and_some_rare_give_the_same(docs):
+    texts = [*TEXTS, None, "the cat", "q" * 50 + "rare"]
+    one = scores(ctw.ctw_scores(docs(texts)))
+    for most in (1, 7, 30, 60):
+        other = scores(ctw.ctw_scores(docs(texts), broadcast_rows=most))
+        assert {i: r["bits"] for i, r in other.items()} == pytest.approx({i: r["bits"] for i, r in one.items()}, abs=1e-8)
+
+
+def test_the_commonest_are_taken(spark):
+    costs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate([9, 5, 5, 2, 2, 2, 1])], "run bigint, times bigint, bits double")
+    for most, want in ((0, 0), (1, 1), (2, 1), (3, 3), (5, 3), (6, 6), (7, 7)):
+        common, rare = ctw._common(costs, most)
+        assert common.count() == want and (0 if rare is None else rare.count()) == 7 - want
