@@ -4,8 +4,9 @@ A text is cut into pieces by the vocabulary's pattern. For each new piece the lo
 that fits is taken from the left; such a sequence is the BPE encoding exactly if each adjacent
 pair of tokens is one that BPE leaves apart, which is tested for all distinct pairs at once by
 undoing merges on both sides of the boundary in step. Only pieces with a failing pair are
-merged token by token. Pieces recur, so a worker keeps those it has seen (``MEMORY`` at most;
-then it starts anew).
+merged token by token. Pieces recur, so a worker keeps those it has seen, up to ``MEMORY`` bytes of them;
+then it starts anew. Pieces of more than ``KEPT`` signs are never kept. A long text is cut into pieces
+part by part, at white space after another sign, where pieces end whatever stands around.
 
 Decoding concatenates the tokens' bytes.
 
@@ -30,12 +31,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import small_batches
 from folioscan.llm.textvec import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, letters, numbers and other signs, each with a space before it, and white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY = 400_000
+MEMORY, KEPT, PART = 16 << 20, 64, 1 << 18
+_CUT = regex.compile(r"(?<=\S)\s")
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -54,22 +57,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             if i < len(at):
                 at[i] = get(both + parts[i + 1], none)
         return [ranks[p] for p in parts]
-    import heapq  # long pieces: the same order of merges from a heap over a linked list
+    import heapq  # long pieces: the same order of merges from a heap over a linked list, in flat arrays
+    from array import array
 
     n = len(parts)
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+    after, before, alive = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), bytearray(b"\x01") * n
+    heap = [r << 40 | i for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, both = heapq.heappop(heap)
-        if not alive[i] or (j := after[i]) >= n or len(parts[i]) + len(parts[j]) != len(both) or parts[i] + parts[j] != both:
+        x = heapq.heappop(heap)
+        rank, i = x >> 40, x & 0xFFFFFFFFFF
+        if not alive[i] or (j := after[i]) >= n or ranks.get(both := parts[i] + parts[j]) != rank:
             continue
-        parts[i], alive[j], after[i] = both, False, after[j]
+        parts[i], parts[j], alive[j], after[i] = both, b"", 0, after[j]
         if after[j] < n:
             before[after[j]] = i
         for a, b in ((before[i], i), (i, after[i])):
             if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
-                heapq.heappush(heap, (r, a, parts[a] + parts[b]))
+                heapq.heappush(heap, r << 40 | a)
     return [ranks[p] for p, x in zip(parts, alive) if x]
 
 
@@ -95,7 +100,8 @@ class Codec:
         order = np.argsort(np.array(keys, dtype=np.int64))
         self.keys, self.made = np.array(keys, dtype=np.int64)[order], np.array(made, dtype=np.int64)[order]
         self.longest = max(map(len, self.offered))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
         self.counts = [0, 0]
 
     @classmethod
@@ -160,7 +166,7 @@ class Codec:
         return good
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces together."""
+        """Encode new pieces together; ``known`` has the ids of each as the bytes of int32."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         guess = [self.greedy(b) for b in raw]
         size = np.array([len(g) for g in guess], dtype=np.int64)
@@ -175,17 +181,54 @@ class Codec:
         self.counts[0] += len(pieces) - len(failed)
         self.counts[1] += len(failed)
         for i, p in enumerate(pieces):
-            self.known[p] = tuple(merge(raw[i], self.ranks) if i in failed else guess[i])
+            self.known[p] = np.array(merge(raw[i], self.ranks) if i in failed else guess[i], dtype=np.int32).tobytes()
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text in parts that no piece of the usual pattern crosses; with another pattern it stays whole."""
+        at = 0
+        while self.pattern.pattern == PATTERN and len(text) - at > PART and (m := _CUT.search(text, at + PART)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def _group(self, parts: list[str]) -> list[bytes]:
+        """Ids of these parts, their new pieces learnt together; long pieces are known for as long as this takes."""
+        cut = [self.pattern.findall(p) for p in parts]
+        if self.held > MEMORY:
+            self.known.clear()
+            self.held = 0
+        known = self.known
+        new = list(set().union(*cut).difference(known))
+        if new:
+            self.learn(new)
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for p in new:
+            if len(p) > KEPT:
+                del known[p]
+            else:
+                self.held += len(p) + len(known[p]) + 200  # what Python needs beside
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        cut = [self.pattern.findall(t) for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        if new := list(set().union(*cut) - self.known.keys()):
-            self.learn(new)
-        get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, c)), dtype=np.int32) for c in cut]
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(group, self._group([p for _, p in group])):
+                out[i].append(ids)
+            group.clear()
+
+        for i, t in enumerate(texts):
+            for part in self._parts(t):
+                group.append((i, part))
+                size += len(part)
+                if size >= PART:
+                    flush()
+                    size = 0
+        flush()
+        return [np.frombuffer(b"".join(ids), dtype=np.int32) for ids in out]
 
     def decode(self, ids) -> bytes:
         """The bytes of token ids."""
@@ -202,6 +245,12 @@ def codec(path: str = VOCABULARY, pattern: str = PATTERN) -> Codec:
     return _CODECS[path, pattern]
 
 
+def _lists(ids: list[np.ndarray], mask: pa.Array) -> pa.ListArray:
+    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)), mask=mask)
+
+
 def encoded(text: str, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
     """Column of array<int>: the token ids of a text column."""
 
@@ -209,13 +258,7 @@ def encoded(text: str, path: str = VOCABULARY, pattern: str = PATTERN) -> Column
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for part in parts:
-            ids: list[np.ndarray] = []
-            for texts in slices(part):
-                ids.extend(c.encode([t or "" for t in texts]))
-            offsets = np.zeros(len(part) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            mask = part.is_null()
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)), mask=mask)
+            yield _lists([x for texts in slices(part) for x in c.encode([t or "" for t in texts])], part.is_null())
 
     return run(text)
 
@@ -227,14 +270,14 @@ def decoded(tokens: str, path: str = VOCABULARY, pattern: str = PATTERN) -> Colu
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for part in parts:
-            yield pa.array([None if t is None else c.decode(t).decode("utf-8", "replace") for t in part.to_pylist()], type=pa.string())
+            yield pa.array([None if t is None else c.decode(t).decode("utf-8", "replace") for t in (part[i].as_py() for i in range(len(part)))], type=pa.string())
 
     return run(tokens)
 
 
 def tokenize(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, tokens) of every row."""
-    return docs.select("doc_id", encoded("text", path, pattern).alias("tokens")).select("doc_id", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"), "tokens")
+    return small_batches(docs).select("doc_id", encoded("text", path, pattern).alias("tokens")).select("doc_id", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"), "tokens")
 
 
 def detokenize(rows: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -255,11 +298,7 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN)
                 got = c.encode([t or "" for t in texts])
                 intact.extend(None if t is None else c.decode(x.tolist()) == t.encode("utf-8", "surrogatepass") for t, x in zip(texts, got))
                 ids.extend(got)
-            offsets = np.zeros(len(part) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            none = part.is_null()
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)), mask=none)
-            yield pa.StructArray.from_arrays([lists, pa.array(intact, type=pa.bool_())], names=["tokens", "intact"])
+            yield pa.StructArray.from_arrays([_lists(ids, part.is_null()), pa.array(intact, type=pa.bool_())], names=["tokens", "intact"])
 
-    r = docs.select("doc_id", run("text").alias("r"))
+    r = small_batches(docs).select("doc_id", run("text").alias("r"))
     return r.select("doc_id", F.when(F.col("r.tokens").isNotNull(), F.size("r.tokens")).alias("n_tokens"), F.col("r.tokens").alias("tokens"), F.col("r.intact").alias("intact"))

@@ -7,12 +7,18 @@ Hashes have 64 bits and depend on nothing but the bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library than glibc
+    _TRIM = None
+
 _U = np.uint64
 _WORD = np.zeros(256, dtype=bool)
 _WORD[ord("0") : ord("9") + 1] = True
@@ -44,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[str | None], segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], segment: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and offsets: the words of text i are ``h[off[i]:off[i+1]]``. None has no words.
 
     Work goes on in segments of about ``segment`` bytes cut between words, so that a very long
@@ -107,7 +113,14 @@ def shingle_sets(texts: list[str | None], width: int):
             yield np.empty(0, dtype=_U)
 
 
-def slices(part: pa.Array, limit: int = 1 << 20) -> Iterator[list[str | None]]:
+def give_back() -> None:
+    """Hand freed memory to the system: workers live on between stages, and what their heaps hold counts."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(part: pa.Array, limit: int = 1 << 19) -> Iterator[list[str | None]]:
     """The texts of an Arrow array, about ``limit`` bytes at a time, so that a worker never holds a whole batch twice; a longer text stands alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -115,7 +128,7 @@ def slices(part: pa.Array, limit: int = 1 << 20) -> Iterator[list[str | None]]:
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
         yield part.slice(at, end - at).to_pylist()
         at = end
-    pa.default_memory_pool().release_unused()  # of earlier batches; idle workers would keep it
+    give_back()
 
 
 def batches(texts: list, limit: int = 8 << 20):

@@ -4,6 +4,7 @@ import base64
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,7 +54,7 @@ def test_verification_finds_each_wrong_proposal(codec):
     fresh = bpe.Codec(codec.ranks)
     fresh.learn(pieces)
     wrong = sum(tuple(fresh.greedy(p.encode())) != tuple(bpe.merge(p.encode(), fresh.ranks)) for p in pieces)
-    assert all(fresh.known[p] == tuple(bpe.merge(p.encode(), fresh.ranks)) for p in pieces)
+    assert all(np.frombuffer(fresh.known[p], np.int32).tolist() == bpe.merge(p.encode(), fresh.ranks) for p in pieces)
     assert 0 < wrong == fresh.counts[1]  # just the failing ones were merged
 
 
@@ -86,3 +87,21 @@ def test_a_small_vocabulary():
 def test_unknown_ids_raise(codec):
     with pytest.raises(KeyError):
         codec.decode([10**7])
+
+
+def test_long_texts_in_parts(codec, reference, monkeypatch):
+    r = random.Random(9)
+    words = ["the", "don't", "Größe", "12345", "...", "\n\n", " ", "\t \t", "日本", "x" * 90, "a_b", "'s", "  z"]
+    monkeypatch.setattr(bpe, "PART", 50)
+    for _ in range(40):
+        text = "".join(r.choice(words) + r.choice(["", " ", "  ", "\n"]) for _ in range(r.randint(1, 120)))
+        assert codec.encode([text, text[:7]])[0].tolist() == reference.encode_ordinary(text)
+    assert "".join(codec._parts("word " * 1000)) == "word " * 1000 and len(list(codec._parts("word " * 1000))) > 20
+
+
+def test_memory_is_bounded_and_long_pieces_are_not_kept(codec, monkeypatch):
+    c = bpe.Codec(codec.ranks)
+    monkeypatch.setattr(bpe, "MEMORY", 50_000)
+    for i in range(40):
+        c.encode([" ".join(f"w{i}x{j}" for j in range(100)) + " " + "q" * 500])
+        assert c.held <= 50_000 + 100 * 2 * 250 and not any(len(p) > bpe.KEPT for p in c.known)
