@@ -4,8 +4,8 @@ A text is cut into pieces by the vocabulary's pattern. For each new piece the lo
 that fits is taken from the left; such a sequence is the BPE encoding exactly if each adjacent
 pair of tokens is one that BPE leaves apart, which is tested for all distinct pairs at once by
 undoing merges on both sides of the boundary in step. Only pieces with a failing pair are
-merged token by token. Pieces recur, so a worker keeps those it has seen, up to ``MEMORY`` bytes of them;
-then it starts anew. Pieces of more than ``KEPT`` signs are never kept. A long text is cut into pieces
+merged token by token. Pieces recur, so a worker keeps those it has seen in two halves of ``MEMORY`` bytes together:
+when the younger is full it becomes the older, and what is met again moves to the new one. Pieces of more than ``KEPT`` signs are never kept. A long text is cut into pieces
 part by part, at white space after another sign, where pieces end whatever stands around.
 
 Decoding concatenates the tokens' bytes.
@@ -37,7 +37,7 @@ from folioscan.llm.textvec import slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, letters, numbers and other signs, each with a space before it, and white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY, KEPT, PART = 16 << 20, 64, 1 << 18
+MEMORY, KEPT, PART = 16 << 20, 64, 1 << 17
 _CUT = regex.compile(r"(?<=\S)\s")
 
 
@@ -83,8 +83,10 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.bytes = {i: b for b, i in ranks.items()}
         size = max(ranks.values()) + 1
+        self.bytes: list[bytes | None] = [None] * size
+        for b, i in ranks.items():
+            self.bytes[i] = b
         self.left, self.right = np.arange(size, dtype=np.int64), np.arange(size, dtype=np.int64)
         keys, made = [], []
         self.offered: dict[bytes, int] = {}
@@ -101,6 +103,7 @@ class Codec:
         self.keys, self.made = np.array(keys, dtype=np.int64)[order], np.array(made, dtype=np.int64)[order]
         self.longest = max(map(len, self.offered))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.counts = [0, 0]
 
@@ -194,19 +197,20 @@ class Codec:
     def _group(self, parts: list[str]) -> list[bytes]:
         """Ids of these parts, their new pieces learnt together; long pieces are known for as long as this takes."""
         cut = [self.pattern.findall(p) for p in parts]
-        if self.held > MEMORY:
-            self.known.clear()
-            self.held = 0
-        known = self.known
-        new = list(set().union(*cut).difference(known))
-        if new:
+        if self.held > MEMORY // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        known, older = self.known, self.older
+        fresh = list(set().union(*cut).difference(known))
+        if new := [p for p in fresh if p not in older]:
             self.learn(new)
+        for p in fresh:
+            if p in older:
+                known[p] = older[p]
+            self.held += len(p) + len(known[p]) + 200  # what Python needs beside
         out = [b"".join(map(known.__getitem__, c)) for c in cut]
         for p in new:
             if len(p) > KEPT:
-                del known[p]
-            else:
-                self.held += len(p) + len(known[p]) + 200  # what Python needs beside
+                self.held -= len(p) + len(known.pop(p)) + 200
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -232,7 +236,10 @@ class Codec:
 
     def decode(self, ids) -> bytes:
         """The bytes of token ids."""
-        return b"".join(map(self.bytes.__getitem__, ids))
+        try:
+            return b"".join([self.bytes[i] for i in ids])
+        except (IndexError, TypeError) as e:
+            raise KeyError(f"an id that the vocabulary lacks: {e}") from e
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}

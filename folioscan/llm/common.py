@@ -39,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
-    """``df``; texts go to Python in batches of 4 MB from now on, unless the session has a size of its own."""
+def small_batches(df: DataFrame, size: str = "2m") -> DataFrame:
+    """``df``; texts go to Python in batches of 2 MB from now on, unless the session has a size of its own."""
     spark = df.sparkSession
     if not spark.sparkContext.getConf().contains(_BATCH) and spark.conf.get(_BATCH, "64m") in ("64m", "67108864b", "67108864"):
         spark.conf.set(_BATCH, size)

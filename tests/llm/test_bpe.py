@@ -104,4 +104,5 @@ def test_memory_is_bounded_and_long_pieces_are_not_kept(codec, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 50_000)
     for i in range(40):
         c.encode([" ".join(f"w{i}x{j}" for j in range(100)) + " " + "q" * 500])
-        assert c.held <= 50_000 + 100 * 2 * 250 and not any(len(p) > bpe.KEPT for p in c.known)
+        assert c.held <= 25_000 + 100 * 2 * 250 and not any(len(p) > bpe.KEPT for p in [*c.known, *c.older])
+    assert len(c.older) < 600
