@@ -27,7 +27,7 @@ def _table(a) -> int:
     text = Path(a.input).read_text(encoding="utf-8")
     context = Context(a.document_path or a.input, tuple(a.section or ()), None, a.table_id, a.caption, a.ordering)
     try:
-        t = normalise_table(text, context, a.strict)
+        t = normalise_table(text, context, a.strict, a.kind, a.allow_pipe_fallback)
     except TableError as e:
         print(e, file=sys.stderr)
         return 1
@@ -55,14 +55,21 @@ def _document(a) -> int:
 
 
 def _check(a) -> int:
-    root, bad = Path(a.path), 0
-    for p in [root] if root.is_file() else sorted(x for x in root.rglob("*") if x.suffix.lower() in (".md", ".markdown", ".qmd", ".html") and x.is_file()):
-        for t in document_tables(p.read_text(encoding="utf-8"), str(p)):
-            for d in t.diagnostics:
-                if d.severity == "error":
-                    bad += 1
-                    print(f"{p}: {t.table_id}: {d.code}: {d.message}")
-    return int(bad > 0)
+    root = Path(a.path)
+    if root.is_file():
+        found = [(str(root), t.table_id, d.code, d.message) for t in document_tables(root.read_text(encoding="utf-8"), str(root)) for d in t.diagnostics if d.severity == "error"]
+    else:  # a tree is read by the tasks that hold its files
+        from pyspark.sql import functions as F
+
+        from folioscan.operators.normalise import documents_tables
+
+        files = _spark().read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).filter(F.lower("path").rlike("\\.(md|markdown|qmd|html)$"))
+        tables = documents_tables(files.select("path", F.col("content").cast("string").alias("text")), "path", path="path")
+        rows = tables.select("path", "table_id", F.explode("diagnostics").alias("d")).filter("d.severity = 'error'").select("path", "table_id", "d.code", "d.message").orderBy("path", "table_id", "code")
+        found = [tuple(r) for r in rows.toLocalIterator()]
+    for f in found:
+        print("{}: {}: {}: {}".format(*f))
+    return int(bool(found))
 
 
 def _store(a, create: bool = False):
@@ -141,6 +148,68 @@ def _verify(a) -> int:
     return int(bool(i) or any(x["status"] not in ("exact", "normalised") for x in q))
 
 
+def _source(a, s):
+    """(path, source type) of a source of the store, or None."""
+    from folioscan.sources.manifest import ManifestError, relative
+
+    try:
+        path = relative(a.source)
+    except ManifestError as e:
+        print(json.dumps({"error": "path-error", "detail": str(e)}), file=sys.stderr)
+        raise SystemExit(2) from e
+    row = s.sources().filter(s.sources()["path"] == path).select("path", "source_type").first()
+    return path, None if row is None else row["source_type"]
+
+
+def _page(a) -> int:
+    from folioscan.operators.pages import PageSelectionSyntaxError, PageSelectionUnavailableError, parse_selector, resolve
+    from folioscan.operators.pageview import page_rows, page_text
+
+    s = _store(a)
+    path, kind = _source(a, s)
+    if kind == "workbook":
+        print(f"{path} has no pages", file=sys.stderr)
+        return 2
+    pages = s.pages().filter(s.pages()["path"] == path).select("path", "page", "text")
+    try:
+        wanted = resolve(a.pages, [r["page"] for r in pages.select("page").collect()])  # of one source
+    except PageSelectionSyntaxError as e:
+        print(e, file=sys.stderr)
+        return 2
+    except PageSelectionUnavailableError as e:
+        print(f"not found: {path} page {e.page}", file=sys.stderr)
+        return 1
+    if a.format == "json":
+        rows = page_rows(pages.filter(pages["page"].isin(wanted)), s.sources()).orderBy("physical_page")
+        _print([r.asDict(recursive=True) for r in rows.collect()])
+    else:
+        print(page_text(pages, parse_selector(a.pages)).first()["text"])
+    return 0
+
+
+def _quote(a) -> int:
+    from folioscan.operators.evidence import verify_quotes
+
+    s = _store(a)
+    path, _ = _source(a, s)
+    quote = s.spark.createDataFrame([(0, path, a.page, a.quote)], "quote_id int, source string, page int, quote string")
+    pages = s.pages().filter(s.pages()["path"] == path).selectExpr("path as source", "page", "text")
+    status = verify_quotes(quote, pages).first()["status"]
+    _print({"status": status, "page": a.page, "quote": a.quote, "source_path": path})
+    return int(status not in ("exact", "normalised"))
+
+
+def _diagnose(a) -> int:
+    from folioscan.operators import maintenance as M
+
+    s = _store(a)
+    tables = {"chunks": s.chunks(), "sources": s.sources(), "pages": s.pages(), "postings": s.postings(), "embeddings": s.embeddings()}
+    counts = {r["name"]: r["n_rows"] for r in M.row_counts(tables).collect()}
+    sizes = {r["name"]: r["n_chars"] for r in M.text_sizes({"chunks": (tables["chunks"], "body"), "pages": (tables["pages"], "text")}).collect()}
+    _print({"version": s.state["version"], "rows": counts, "characters": sizes})
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="folioscan", description=__doc__)
     c = p.add_subparsers(dest="command", required=True)
@@ -151,6 +220,8 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument(f"--{name}")
     t.add_argument("--section", action="append")
     t.add_argument("--strict", action="store_true")
+    t.add_argument("--from", dest="kind", default="auto", choices="auto markdown html".split())
+    t.add_argument("--allow-pipe-fallback", action="store_true")
     t.set_defaults(run=_table)
     d = c.add_parser("document", help="normalise every table of a document")
     d.add_argument("input")
@@ -160,7 +231,7 @@ def parser() -> argparse.ArgumentParser:
     k = c.add_parser("check", help="report tables with errors in a file or tree")
     k.add_argument("path")
     k.set_defaults(run=_check)
-    for name, run, about in (("sync", _sync, "bring a store up to its files"), ("search", _search, "hybrid search"), ("prune", _prune, "list or drop sources that no rule selects"), ("doctor", _doctor, "list what is wrong"), ("compact", _compact, "rewrite live rows"), ("verify", _verify, "check a report's citations and quotes")):
+    for name, run, about in (("sync", _sync, "bring a store up to its files"), ("search", _search, "hybrid search"), ("prune", _prune, "list or drop sources that no rule selects"), ("doctor", _doctor, "list what is wrong"), ("compact", _compact, "rewrite live rows"), ("verify", _verify, "check a report's citations and quotes"), ("page", _page, "pages of a source"), ("quote", _quote, "check a quote on a page"), ("diagnose", _diagnose, "counts and sizes of a store")):
         s = c.add_parser(name, help=about)
         s.add_argument("--store", required=True)
         s.set_defaults(run=run)
@@ -178,6 +249,14 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--source-type", action="append")
         elif name == "prune":
             s.add_argument("--apply", action="store_true")
+        elif name == "page":
+            s.add_argument("source")
+            s.add_argument("pages", nargs="?")
+            s.add_argument("--format", default="text", choices=("text", "json"))
+        elif name == "quote":
+            s.add_argument("source")
+            s.add_argument("page", type=int)
+            s.add_argument("quote")
         elif name == "compact":
             s.add_argument("--vacuum", action="store_true")
         elif name == "verify":

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,11 +14,15 @@ from folioscan.functions import text as X
 MAX_CHARS = 1200
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text that aren't blank, each with its number from 1."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    return F.filter(lines, lambda x: X.collapse_space(x["text"]) != "")
+
+
 def line_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ordinal, line, text): the lines of each text that aren't blank; ordinal counts them, line counts all, from 1."""
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("at", "text")).filter(X.collapse_space(F.col("text")) != "")
-    order = W.partitionBy(key).orderBy("at")
-    return lines.select(key, F.row_number().over(order).alias("ordinal"), (F.col("at") + 1).alias("line"), "text")
+    """(key, ordinal, line, text): the lines of each text that aren't blank; ordinal counts them, line counts all, from 1. Nothing is shuffled."""
+    return docs.select(key, F.posexplode(_lines(F.col(text))).alias("at", "u")).select(key, (F.col("at") + 1).alias("ordinal"), "u.line", "u.text")
 
 
 def unit_offsets(units: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -25,20 +32,51 @@ def unit_offsets(units: DataFrame, key: str = "doc_id") -> DataFrame:
     return units.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
-def group_numbers(sizes: Column, sections: Column, max_chars: int = MAX_CHARS) -> Column:
-    """Array of group numbers for arrays of unit sizes and section keys.
+def fold(sizes: Sequence[int], sections: Sequence[str | None], max_chars: int = MAX_CHARS) -> list[dict[str, int]]:
+    """Groups of units: where each begins, how many units it has, the offset it begins at and the signs it spans.
 
     A group ends where the next unit would exceed the budget or begins another section; each
     unit costs its size and two, after it has been added. No unit is split.
     """
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("g"), F.lit(None).cast("string").alias("s"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, x):
-        cut = (F.size(a["out"]) > 0) & ((a["used"] + x["n"] > max_chars) | ~x["s"].eqNullSafe(a["s"]))
-        g = a["g"] + F.when(cut, 1).otherwise(0)
-        return F.struct((F.when(cut, 0).otherwise(a["used"]) + x["n"] + 2).alias("used"), g.alias("g"), x["s"].alias("s"), F.concat(a["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(F.arrays_zip(sizes.alias("n"), sections.alias("s")), start, step, lambda a: a["out"])
+    out: list[dict[str, int]] = []
+    used = at = 0
+    for i, (n, s) in enumerate(zip(sizes, sections)):
+        if not out or used + n > max_chars or s != sections[i - 1]:
+            out.append({"start": i, "n": 0, "at": at, "span": -2})
+            used = 0
+        out[-1]["n"] += 1
+        out[-1]["span"] += n + 2
+        used += n + 2
+        at += n + 2
+    return out
+
+
+def groups(sizes: Column, sections: Column, max_chars: int = MAX_CHARS) -> Column:
+    """``fold`` of arrays of unit sizes and section keys, as an array; one pass over each source's units."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("at", pa.int64()), ("span", pa.int64())]))
+
+    @F.arrow_udf("array<struct<start:int,n:int,at:bigint,span:bigint>>")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ns, ss in parts:
+            yield pa.array([fold(n or [], s or [], max_chars) for n, s in zip(ns.to_pylist(), ss.to_pylist())], type=kind)
+
+    return run(sizes, sections)
+
+
+def _chunked(rows: DataFrame, key: str, section: bool, max_chars: int) -> DataFrame:
+    """Chunks of (key, us): each joined out of its slice of the units, where they are."""
+    part = lambda f: F.transform("us", f)
+    g = groups(part(lambda u: F.length(u["text"])), part(lambda u: u["s"]) if section else part(lambda u: F.lit("")), max_chars)
+
+    def chunk(x, i):
+        us = F.slice(F.col("us"), x["start"] + 1, x["n"])
+        return F.struct(
+            i.alias("chunk"), F.array_join(F.transform(us, lambda u: u["text"]), "\n\n").alias("body"), x["n"].cast("bigint").alias("n_units"), F.element_at(us, 1)["line"].alias("line_start"),
+            F.element_at(us, -1)["line"].alias("line_end"), x["at"].alias("start"), (x["at"] + x["span"]).alias("end"),
+        )
+
+    got = rows.withColumn("__g", g).select(key, F.explode(F.transform("__g", chunk)).alias("c")).select(key, "c.*")
+    return got.withColumn("n_chars", F.length("body")).withColumn("lexical_hash", X.lexical_hash(F.col("body")))
 
 
 def chunks(units: DataFrame, key: str = "doc_id", max_chars: int = MAX_CHARS, section: str | None = None) -> DataFrame:
@@ -49,14 +87,20 @@ def chunks(units: DataFrame, key: str = "doc_id", max_chars: int = MAX_CHARS, se
     """
     s = F.col(section).cast("string") if section else F.lit("")
     rows = units.select(key, F.struct("ordinal", "line", "text", s.alias("s")).alias("u")).groupBy(key).agg(F.array_sort(F.collect_list("u")).alias("us"))
-    numbered = rows.withColumn("g", group_numbers(F.transform("us", lambda u: F.length(u["text"])), F.transform("us", lambda u: u["s"]), max_chars))
-    flat = numbered.select(key, F.explode(F.arrays_zip("us", "g")).alias("x")).select(key, F.col("x.g").alias("chunk"), "x.us.ordinal", "x.us.line", "x.us.text")
-    flat = unit_offsets(flat, key)
-    got = flat.groupBy(key, "chunk").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda u: u["text"]), "\n\n").alias("body"),
-        F.count(F.lit(1)).alias("n_units"), F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.min("start").alias("start"), F.max("end").alias("end"),
-    )
-    return got.withColumn("n_chars", F.length("body")).withColumn("lexical_hash", X.lexical_hash(F.col("body")))
+    return _chunked(rows, key, section is not None, max_chars)
+
+
+def document_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
+    """``chunks`` of the lines of each text, which never leave their row: no shuffle."""
+    return _chunked(docs.select(key, _lines(F.col(text)).alias("us")), key, False, max_chars)
+
+
+def sections(units: DataFrame, heading: Column, key: str = "doc_id") -> DataFrame:
+    """(key, ordinal, section, occurrence): the latest heading at or before each unit, and for a heading how many equal ones went before."""
+    h = units.withColumn("__h", heading)
+    so_far = W.partitionBy(key).orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
+    times = F.row_number().over(W.partitionBy(key, "__h").orderBy("ordinal")) - 1
+    return h.select(key, "ordinal", F.last("__h", True).over(so_far).alias("section"), F.when(F.col("__h").isNotNull(), times).alias("occurrence"))
 
 
 def excel_bounds(cells: DataFrame, by: list[str], ref: str = "ref") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,30 +28,60 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return j.select("quote_id", "source", "page", status.alias("status"))
 
 
-def find_quotes(quotes: DataFrame, docs: DataFrame, min_words: int = 3) -> DataFrame:
+QUOTE_BYTES = 32 << 20
+
+
+def _quote_finder(quotes: list[tuple[int, str, str]]):
+    """Array of (number, exact) of the quotes (number, quote, flat quote) that a text holds.
+
+    A quote's words but its first and last stand between spaces in whatever text holds it: of those, the one
+    with most letters names the quotes that a text is searched for. Quotes without such a word are searched for in every text.
+    """
+    by: dict[str, list[tuple[int, str, str]]] = {}
+    always = []
+    for q in quotes:
+        inner = q[2].split(" ")[1:-1]
+        if inner:
+            by.setdefault(max(inner, key=lambda w: (len(w), w)), []).append(q)
+        else:
+            always.append(q)
+    kind = pa.list_(pa.struct([("k", pa.int64()), ("exact", pa.bool_())]))
+
+    @F.arrow_udf("array<struct<k:bigint,exact:boolean>>")
+    def find(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, flats in parts:
+            out = []
+            for text, flat in zip(texts, flats):
+                text, flat = text.as_py(), flat.as_py()
+                if text is None:
+                    out.append([])
+                    continue
+                some = [q for w in by.keys() & set(flat.split(" ")) for q in by[w]] + always
+                out.append([{"k": k, "exact": quote in text} for k, quote, own in some if own in flat])
+            yield pa.array(out, type=kind)
+
+    return find
+
+
+def find_quotes(quotes: DataFrame, docs: DataFrame, most_bytes: int = QUOTE_BYTES) -> DataFrame:
     """(quote_id, doc_id, status) wherever a text of docs (doc_id, text) holds a quote (quote_id, quote) whose page isn't known.
 
-    A quote's words but its first and last stand between spaces in whatever text holds it, so that
-    the join hashes on the first ``min_words`` of those; quotes of one or two words have none and
-    are held against every text.
+    Quotes are sent to the texts, which stay where they are: all at once up to ``most_bytes``, beyond that in as many blocks as
+    are needed, each of which reads the texts anew.
     """
     flat = X.normalise_text(F.col("quote"))
-    inner = F.least(F.size(F.split(flat, " ")) - 2, F.lit(min_words))
-    q = quotes.filter(flat != "").select("quote_id", "quote", F.greatest(inner, F.lit(0)).alias("n")).distinct()
-    lengths = sorted(r["n"] for r in q.select("n").distinct().collect())  # at most min_words + 1 of them
-    words = docs.select("doc_id", F.split(X.normalise_text(F.col("text")), " ").alias("w"))
-    starts = None
-    for n in [n for n in lengths if n] or [min_words]:
-        s = words.filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("h"))
-        starts = s if starts is None else starts.union(s)
-    keyed = q.filter("n > 0").select("quote_id", "quote", F.array_join(F.slice(F.split(flat, " "), F.lit(2), F.col("n")), " ").alias("h"))
-    pairs = starts.join(keyed, "h").select("doc_id", "quote_id", "quote")
-    j = pairs.distinct().join(docs.select("doc_id", "text"), "doc_id")
-    exact, loose = F.contains("text", "quote"), F.contains(X.normalise_text(F.col("text")), flat)
-    found = j.filter(loose)
-    if 0 in lengths:
-        found = found.unionByName(docs.select("doc_id", "text").join(q.filter("n = 0").select("quote_id", "quote"), loose))
-    return found.select("quote_id", "doc_id", F.when(exact, "exact").otherwise("normalised").alias("status"))
+    q = quotes.filter(flat != "").select("quote_id", "quote", flat.alias("flat")).distinct()
+    size = q.agg(F.coalesce(F.sum(F.octet_length("quote") + F.octet_length("flat")), F.lit(0))).first()[0]
+    blocks = int(size // most_bytes) + 1
+    found = None
+    for b in range(blocks):
+        mine = q.filter(F.pmod(F.xxhash64("quote"), F.lit(blocks)) == b).collect()
+        ids = docs.sparkSession.createDataFrame([(k, r["quote_id"]) for k, r in enumerate(mine)], q.select(F.lit(0).cast("bigint").alias("k"), "quote_id").schema)
+        find = _quote_finder([(k, r["quote"], r["flat"]) for k, r in enumerate(mine)])
+        hits = docs.select("doc_id", F.explode(find("text", X.normalise_text(F.col("text")))).alias("h")).select("doc_id", "h.k", "h.exact")
+        part = hits.join(F.broadcast(ids), "k").select("quote_id", "doc_id", F.when(F.col("exact"), "exact").otherwise("normalised").alias("status"))
+        found = part if found is None else found.union(part)
+    return found
 
 
 def citation_issues(citations: DataFrame, definitions: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:

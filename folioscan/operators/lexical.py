@@ -62,6 +62,7 @@ def _words(s: str) -> list[str]:
 def parse(text: str) -> Query:
     """Words (all must match), "phrases", prefix*, ^first, AND, OR, NOT, NEAR(a b, n) and brackets.
 
+    NEAR counts the places of its words that begin a stretch of n + 2 tokens in which they all stand.
     Words with other signs raise QuerySyntaxError, which ``parse_or_phrase`` takes as a wish for
     the quoted phrase; that holds for hyphens and colons too.
     """
@@ -180,9 +181,9 @@ def _frequency(leaf: Query) -> Column:
         return F.when(F.slice(t, 1, n) == F.array(*map(F.lit, leaf.words)), 1).otherwise(0)
     if leaf.kind == "phrase":  # every token with a space on either side, so that matches may overlap
         return F.regexp_count(F.concat(F.lit(" "), F.array_join(t, "  "), F.lit(" ")), F.lit("(?= " + "  ".join(leaf.words) + " )"))
-    starts = F.sequence(F.lit(0), F.size(t))
-    span = leaf.gap + n
-    return F.when(F.size(F.array_except(F.array(*map(F.lit, leaf.words)), t)) == 0, F.size(F.filter(starts, lambda i: (F.get(t, i) == leaf.words[0]) & (F.size(F.array_except(F.array(*map(F.lit, leaf.words)), F.slice(t, F.greatest(F.lit(1), i + 1 - leaf.gap), span + leaf.gap))) == 0)))).otherwise(0)
+    words = F.array(*map(F.lit, dict.fromkeys(leaf.words)))
+    holds = lambda i: F.size(F.array_except(words, F.slice(t, i + 1, leaf.gap + 2))) == 0
+    return F.size(F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: F.array_contains(words, F.get(t, i)) & holds(i)))
 
 
 def _holds(q: Query, names: dict[int, str]) -> Column:
@@ -214,7 +215,8 @@ def bm25(docs: DataFrame, query: Query | str, key: str = "doc_id", text: str = "
         idf = F.greatest(F.ln((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-    positive = [names[id(x)] for x in leaves if x not in [y for p in _negated(q) for y in p.leaves()]]
+    negated = {id(y) for p in _negated(q) for y in p.leaves()}  # by identity: the same words may stand on both sides
+    positive = [names[id(x)] for x in leaves if id(x) not in negated]
     return scored.select(key, (-reduce(lambda a, b: a + b, map(part, positive))).alias("score"))
 
 

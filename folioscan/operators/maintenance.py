@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,28 @@ def text_sizes(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.union, [df.agg(F.lit(name).alias("name"), F.coalesce(F.sum(F.length(c)), F.lit(0)).alias("n_chars")).select("name", "n_chars") for name, (df, c) in sorted(tables.items())])
 
 
-def ordered_fingerprint(df: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """(by, fingerprint): SHA-256 over a group's rows, each hashed, in the order of their hashes; for groups that fit a task."""
-    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]), 256)
-    return df.select(by, row.alias("h")).groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("fingerprint"))
+def row_digest(columns: list[Column | str]) -> Column:
+    """SHA-256 of a row's values as text; null is a value of its own."""
+    as_text = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\u0000"))
+    return F.sha2(F.concat_ws("\u001f", *map(as_text, columns)), 256)
+
+
+def fingerprints(df: DataFrame, columns: list[Column | str], by: str) -> DataFrame:
+    """(by, n_rows, xor_hash, sum_hash): the same for the same rows in any order; two numbers are summed up of 60 bits of each row's digest, and no group is gathered."""
+    h = F.conv(F.substring(row_digest(columns), 1, 15), 16, 10).cast("bigint")
+    return df.select(by, h.alias("h")).groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor("h").alias("xor_hash"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("sum_hash"))
+
+
+def vector_digests(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, size, digest): a vector's size and the SHA-256 of its values, as whole multiples of 10^-6."""
+    whole = F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+    return vectors.select(key, F.size(vector).alias("size"), F.sha2(whole, 256).alias("digest"))
+
+
+def pair_counts(left: DataFrame, right: DataFrame, on: str, name: str) -> DataFrame:
+    """(pair, chunks, vectors, orphans, lacking): rows on either side, those on the right without the left and the other way round."""
+    j = left.select(on, F.lit(1).alias("d")).join(right.select(on, F.lit(1).alias("e")), on, "full_outer")
+    return j.agg(F.lit(name).alias("pair"), F.count("d").alias("chunks"), F.count("e").alias("vectors"), F.count_if(F.col("d").isNull()).alias("orphans"), F.count_if(F.col("e").isNull()).alias("lacking"))
 
 
 def fingerprint(df: DataFrame) -> tuple[int, int]:

@@ -297,10 +297,18 @@ def _strictly(table: Table, strict: bool) -> Table:
     return table
 
 
-def normalise_table(source: str, context: Context | None = None, strict: bool = False) -> Table:
-    """Exactly one table, Markdown or HTML; with ``strict`` an error among the findings raises TableError."""
+def normalise_table(source: str, context: Context | None = None, strict: bool = False, kind: str = "auto", pipe_fallback: bool = False) -> Table:
+    """Exactly one table, Markdown or HTML; with ``strict`` an error among the findings raises TableError.
+
+    ``kind`` restricts what is looked for: markdown, html or, as found, auto. With ``pipe_fallback`` a source in which no table is found by
+    its surroundings is read as a bare pipe table from its first line that looks like one, and the table says so.
+    """
     context = context or Context()
-    found = list(D.scan(source))
+    found = [f for f in D.scan(source) if kind == "auto" or (f.kind == "html") == (kind == "html")]
+    if not found and pipe_fallback and kind != "html":
+        parsed = D.read_pipe("\n".join(x.strip().strip("`~").strip() if set(x.strip()) <= set("`~") else x.strip() for x in source.splitlines()))
+        parsed.diagnostics.append(warning("pipe-fallback", "Read by the reduced reader of pipe tables."))
+        return _strictly(build(parsed, source, "markdown", context, _commented(source) | dict(context.metadata)), strict)
     if len(found) != 1:
         raise TableError(f"one table is wanted; the source has {len(found)}")
     f = found[0]

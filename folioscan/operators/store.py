@@ -1,10 +1,12 @@
 """A corpus store of Parquet files: versions, incremental sync, prune, checks and compaction.
 
 A version is one JSON file that names everything readers need: a table of sources (a row per
-file) and the segments of chunks and embeddings. A sync writes what changed into a new segment,
-a new table of sources (small beside the text) and, last of all, the pointer to the new version;
-until then readers see the old one. A chunk is live if its source's row names its segment, so
-that replacing or dropping a source rewrites no chunk.
+file) and the segments of chunks, pages, postings and embeddings. A sync writes what changed into a new
+segment, a new table of sources (small beside the text) and, last of all, the version's file; until
+then readers see the old one. Versions are numbered, and a version's file is created only where there is
+none: of two writers that began from the same version the later one fails and has changed nothing. A
+chunk is live if its source's row names its segment, so that replacing or dropping a source rewrites no
+chunk. Postings are written once for each segment, and search reads those of its terms.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as X
-from folioscan.operators import chunking, diff, maintenance, vectors
+from folioscan.operators import chunking, diff, maintenance, postings, vectors
 from folioscan.sources import units as U
 
 SCHEMAS = {
     "sources": "source_id string, path string, source_type string, sha256 string, versions string, segment string",
     "chunks": "chunk_id string, source_id string, segment string, ordinal int, logical_key string, content_type string, heading_path array<string>, body string, line_start int, line_end int, locator array<string>, lexical_hash string, semantic_hash string",
     "embeddings": "semantic_hash string, model string, vector array<float>",
+    "pages": "source_id string, segment string, page int, text string",
+    "postings": "chunk_id string, term string, tf bigint, positions array<int>, length int, source_id string, segment string",
+    "failures": "path string, error string",
 }
 VERSION = 1
 CHUNKER = "chunks-1"
@@ -69,7 +74,9 @@ class Report:
     chunks_deleted: int = 0
     embedded: int = 0
     version: str | None = None
+    #: A few of the files that failed, for people; ``failures`` names the table of all.
     errors: list[str] = field(default_factory=list)
+    failures: str | None = None
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -84,7 +91,7 @@ class Store:
         if self.state is None:
             if not create:
                 raise StoreError(f"no store at {root}")
-            self.state = {"store": VERSION, "version": None, "sources": None, "chunks": [], "embeddings": [], "models": {}, "active": None}
+            self.state = {"store": VERSION, "number": 0, "version": None, "sources": None, "chunks": [], "pages": [], "postings": [], "embeddings": [], "models": {}, "active": None}
         elif self.state.get("store") != VERSION:
             raise StoreError(f"store format {self.state.get('store')} isn't known")
 
@@ -95,22 +102,31 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _load(self) -> dict | None:
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+        """The newest version. ``CURRENT`` is only a hint where to begin; the numbered files decide."""
+        fs, folder = self._fs(f"{self.root}/versions")
+        if not fs.exists(folder):
+            hint, p = self._fs(f"{self.root}/CURRENT")
+            return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0]) if hint.exists(p) else None
+        names = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+        return json.loads(self.spark.read.text(f"{self.root}/versions/{names[-1]}", wholetext=True).first()[0]) if names else None
 
     def _publish(self, state: dict) -> None:
-        """Flip the pointer: the new file is complete before it takes the old one's place."""
-        fs, tmp = self._fs(f"{self.root}/CURRENT-{state['version']}")
-        out = fs.create(tmp, True)
+        """Add the next version's file, complete from the moment that it has its name; fail where another writer was first."""
+        state = state | {"number": self.state.get("number", 0) + 1}
+        fs, final = self._fs(f"{self.root}/versions/{state['number']:012d}.json")
+        _, tmp = self._fs(f"{self.root}/versions/.{uuid.uuid4().hex}")
+        out = fs.create(tmp, False)
         out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         out.close()
         jvm = self.spark.sparkContext._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT"), options)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE  # never over a file that is there
+        try:
+            context.rename(tmp, final, options)
+        except Exception as e:
+            fs.delete(tmp, False)
+            raise StoreError(f"version {state['number']} was published by another writer meanwhile; nothing was changed") from e
         self.state = state
 
     def _segment(self, name: str, paths: list[str]) -> DataFrame:
@@ -128,6 +144,15 @@ class Store:
         live = self.sources().select("source_id", "segment", "path", "source_type")
         return self._segment("chunks", self.state["chunks"]).join(live, ["source_id", "segment"])
 
+    def pages(self) -> DataFrame:
+        """(source_id, segment, page, text, path, source_type) of live sources."""
+        return self._segment("pages", self.state.get("pages", [])).join(self.sources().select("source_id", "segment", "path", "source_type"), ["source_id", "segment"])
+
+    def postings(self) -> DataFrame:
+        """Postings of live chunks."""
+        live = self.sources().select("source_id", "segment")
+        return self._segment("postings", self.state.get("postings", [])).join(live, ["source_id", "segment"], "left_semi")
+
     def embeddings(self, model: str | None = None) -> DataFrame:
         e = self._segment("embeddings", self.state["embeddings"])
         return e if model is None else e.filter(F.col("model") == model)
@@ -139,7 +164,8 @@ class Store:
 
         Files that vanished are reported as missing and stay until pruned. A file whose content
         turns up under one new path is renamed: neither parsed nor embedded again. A file that
-        can't be parsed keeps what the store has of it and is reported.
+        can't be parsed, or that changes while it is read, keeps what the store has of it and is reported. With nothing
+        to take in, no chunk is read. Where another writer publishes meanwhile, StoreError is raised and nothing has changed.
         """
         options, r = options or Options(), Report()
         version = uuid.uuid4().hex
@@ -161,11 +187,18 @@ class Store:
                 setattr(r, row["state"], row["count"])
 
         todo = plan.filter("state in ('added', 'changed')")
-        U.parse_files(files.join(todo.select("path"), "path", "left_semi")).write.parquet(f"{base}/parsed")
-        parsed = spark.read.parquet(f"{base}/parsed")
+        wanted = files.join(todo.select("path"), "path", "left_semi").select("path", "content")
+        pages = U.pages_of(wanted).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
+        U.parse_files(wanted).join(pages, "path", "left").write.parquet(f"{base}/parsed")
+        # a file that changed between its hash and its reading is not taken in with either
+        parsed = spark.read.parquet(f"{base}/parsed").join(seen.select("path", F.col("sha256").alias("seen_sha")), "path")
+        parsed = parsed.withColumn("error", F.when(F.col("sha256") != F.col("seen_sha"), "changed while it was read").otherwise(F.col("error")))
         bad = parsed.filter("error is not null")
         r.failed = bad.count()
-        r.errors = [f"{x['path']}: {x['error']}" for x in bad.orderBy("path").limit(20).collect()]
+        if r.failed:
+            r.failures = f"v={version}/failures"
+            bad.select("path", "error").write.parquet(f"{self.root}/{r.failures}")
+        r.errors = [f"{x['path']}: {x['error'][:500]}" for x in bad.orderBy("path").limit(20).collect()]
         good = parsed.filter("error is null").join(todo.select("path", F.coalesce("source_id", F.sha2(F.concat_ws("\u001f", F.lit(version), "path"), 256)).alias("source_id")), "path")
 
         fresh = _chunked(good, options.max_chars)
@@ -182,10 +215,12 @@ class Store:
         written = fresh.join(kept, ["source_id", "ordinal"], "left").withColumn("chunk_id", F.coalesce("old_id", new_id)).withColumn("segment", F.lit(version))
         columns = [c.split()[0] for c in SCHEMAS["chunks"].split(", ")]
         touched = r.added + r.changed > 0
-        chunk_paths = list(self.state["chunks"])
+        add = lambda name: [*self.state.get(name, []), *([f"v={version}/{name}"] if touched else [])]
         if touched:
             written.select(*columns).write.parquet(f"{base}/chunks")
-            chunk_paths.append(f"v={version}/chunks")
+            fresh_chunks = spark.read.schema(SCHEMAS["chunks"]).parquet(f"{base}/chunks")
+            self._index(fresh_chunks, f"{base}/postings")
+            good.select("source_id", F.lit(version).alias("segment"), F.explode("pages").alias("p")).select("source_id", "segment", "p.page", "p.text").write.parquet(f"{base}/pages")
 
         ok = good.select("source_id", F.lit(version).alias("fresh_segment"), F.col("source_type").alias("fresh_type"))
         source_id = F.coalesce("source_id", F.sha2(F.concat_ws("\u001f", F.lit(version), "path"), 256))
@@ -197,13 +232,18 @@ class Store:
         ).filter("segment is not null")
         after.write.parquet(f"{base}/sources")
 
-        draft = dict(self.state) | {"version": version, "sources": f"v={version}/sources", "chunks": chunk_paths, "active": options.model}
-        before, self.state = self.state, draft  # the draft is read below, and published only when all of it is there
+        draft = dict(self.state) | {"version": version, "sources": f"v={version}/sources", "chunks": add("chunks"), "pages": add("pages"), "postings": add("postings"), "active": options.model}
+        before = self.state
+        # what other segments need was embedded when they were written, unless the model is another one
+        whole = options.reembed or before["active"] != options.model
+        self.state = draft  # read below, and published only when all of it is there
         try:
-            live = self.chunks().select("semantic_hash", "body").dropDuplicates(["semantic_hash"])
-            lack = live if options.reembed else live.join(self.embeddings(options.model).select("semantic_hash"), "semantic_hash", "left_anti")
-            lack.select("semantic_hash", F.lit(options.model).alias("model"), embed("body").alias("vector")).write.parquet(f"{base}/embeddings")
-            r.embedded = spark.read.parquet(f"{base}/embeddings").count()
+            live = self.chunks() if whole else fresh_chunks if touched else None
+            if live is not None:
+                need = live.select("semantic_hash", "body").dropDuplicates(["semantic_hash"])
+                lack = need if options.reembed else need.join(self.embeddings(options.model).select("semantic_hash"), "semantic_hash", "left_anti")
+                lack.select("semantic_hash", F.lit(options.model).alias("model"), embed("body").alias("vector")).write.parquet(f"{base}/embeddings")
+                r.embedded = spark.read.parquet(f"{base}/embeddings").count()
         finally:
             self.state = before
         embeddings = list(self.state["embeddings"])
@@ -219,6 +259,21 @@ class Store:
         self._publish(draft | {"embeddings": embeddings})
         return r
 
+    def _index(self, chunks: DataFrame, path: str) -> None:
+        """Postings of chunks, over body and headings."""
+        text = chunks.select("chunk_id", F.concat_ws(" ", "body", F.array_join("heading_path", " ")).alias("text"))
+        whose = chunks.select("chunk_id", "source_id", "segment")
+        postings.write(postings.build(text, "chunk_id").join(whose, "chunk_id").select(*[c.split()[0] for c in SCHEMAS["postings"].split(", ")]), path, "chunk_id")
+
+    def failures(self, report: Report) -> DataFrame:
+        """(path, error) of every file that a sync could not take in."""
+        return self._segment("failures", [report.failures] if report.failures else [])
+
+    def statistics(self) -> DataFrame:
+        """(n, tokens) of live chunks, from their postings' lengths; chunks without any token count too."""
+        lengths = self.postings().groupBy("chunk_id").agg(F.first("length").alias("length"))
+        return self.chunks().agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")))
+
     def prune_plan(self, keep: Column) -> DataFrame:
         """(source_id, path) of the sources that ``keep``, an expression on path, doesn't select."""
         return self.sources().filter(~F.coalesce(keep, F.lit(False))).select("source_id", "path")
@@ -244,30 +299,42 @@ class Store:
         out = out.union(of(c.filter(X.lexical_hash(F.col("body")) != F.col("lexical_hash")), "changed-body", "chunk_id"))
         return out.union(of(e.filter(F.exists("vector", lambda x: F.isnan(x)) | (F.size("vector") == 0)), "bad-vector", "semantic_hash"))
 
+    def _prints(self) -> dict[str, tuple[int, int]]:
+        """Rows and fingerprint of each table that readers see."""
+        used = self.embeddings().join(self.chunks().select("semantic_hash").distinct(), "semantic_hash", "left_semi")
+        tables = {
+            "chunks": self.chunks().select("chunk_id", "path", "lexical_hash", "semantic_hash"), "sources": self.sources().drop("segment"), "embeddings": used.select("semantic_hash", "model", F.xxhash64("vector")),
+            "pages": self.pages().select("path", "page", "text"), "postings": self.postings().select("chunk_id", "term", "tf", F.xxhash64("positions"), "length"),
+        }
+        return {k: maintenance.fingerprint(v) for k, v in tables.items()}
+
     def compact(self) -> dict[str, int]:
-        """Rewrite live rows into one segment, without embeddings that no chunk has; published only if counts and fingerprints agree."""
+        """Rewrite live rows into one segment, without embeddings that no chunk has; published only if counts and fingerprints of all tables agree."""
         version = uuid.uuid4().hex
         base = f"{self.root}/v={version}"
-        columns = [c.split()[0] for c in SCHEMAS["chunks"].split(", ")]
-        chunks = self.chunks().select(*columns).withColumn("segment", F.lit(version))
-        chunks.write.parquet(f"{base}/chunks")
-        self.sources().withColumn("segment", F.lit(version)).write.parquet(f"{base}/sources")
+        of = lambda name, df: df.withColumn("segment", F.lit(version)).select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]) if "segment" in SCHEMAS[name] else df
+        of("chunks", self.chunks()).write.parquet(f"{base}/chunks")
+        of("pages", self.pages()).write.parquet(f"{base}/pages")
+        of("sources", self.sources()).write.parquet(f"{base}/sources")
+        postings.write(of("postings", self.postings()), f"{base}/postings", "chunk_id")
         used = self.chunks().select("semantic_hash").distinct()
         self.embeddings().join(used, "semantic_hash", "left_semi").write.parquet(f"{base}/embeddings")
-        before = {"chunks": maintenance.fingerprint(self.chunks().drop("segment").select("chunk_id", "path", "lexical_hash", "semantic_hash")), "sources": maintenance.fingerprint(self.sources().drop("segment"))}
-        old, draft = self.state, dict(self.state) | {"version": version, "sources": f"v={version}/sources", "chunks": [f"v={version}/chunks"], "embeddings": [f"v={version}/embeddings"]}
+        before = self._prints()
+        old, draft = self.state, dict(self.state) | {"version": version, "sources": f"v={version}/sources"} | {k: [f"v={version}/{k}"] for k in ("chunks", "pages", "postings", "embeddings")}
         self.state = draft
-        after = {"chunks": maintenance.fingerprint(self.chunks().drop("segment").select("chunk_id", "path", "lexical_hash", "semantic_hash")), "sources": maintenance.fingerprint(self.sources().drop("segment"))}
-        self.state = old
+        try:
+            after = self._prints()
+        finally:
+            self.state = old
         if before != after:
             raise StoreError("the compacted copy differs; the store stays as it is")
         self._publish(draft)
-        return {k: v[0] for k, v in after.items()}
+        return {k: after[k][0] for k in ("chunks", "sources")}
 
     def vacuum(self) -> int:
         """Delete the version folders that the present version doesn't name; for when no reader has an older one open."""
         fs, root = self._fs(self.root)
-        named = {p.split("/")[0] for p in [self.state["sources"], *self.state["chunks"], *self.state["embeddings"]] if p}
+        named = {p.split("/")[0] for p in [self.state["sources"], *[x for k in ("chunks", "pages", "postings", "embeddings") for x in self.state.get(k, [])]] if p}
         gone = 0
         for f in fs.listStatus(root):
             name = f.getPath().getName()
@@ -278,18 +345,21 @@ class Store:
 
 
 def _chunked(parsed: DataFrame, max_chars: int) -> DataFrame:
-    """Chunks of (source_id, source_type, units): units in order, folded under the budget; a heading path of its own begins a chunk."""
-    section = lambda u: F.array_join(u["heading_path"], "\u001f")
-    g = chunking.group_numbers(F.transform("units", lambda u: F.length(u["text"])), F.transform("units", section), max_chars)
-    flat = parsed.select("source_id", "source_type", F.posexplode(F.arrays_zip(F.col("units").alias("u"), g.alias("g"))).alias("at", "z"))
-    u = flat.select("source_id", "source_type", "at", F.col("z.g").alias("ordinal"), F.col("z.u").alias("u"))
-    kinds = F.collect_set("u.content_type")
-    got = u.groupBy("source_id", "source_type", "ordinal").agg(
-        F.min_by("u.logical_key", "at").alias("logical_key"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("content_type"), F.min_by("u.heading_path", "at").alias("heading_path"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("u.text").alias("t")))), lambda x: x["t"]), "\n\n").alias("body"),
-        F.min("u.line_start").alias("line_start"), F.max("u.line_end").alias("line_end"), F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("u.locator").alias("l")))), lambda x: x["l"]).alias("ls"),
-    )
-    return got.select(
-        "source_id", "ordinal", "logical_key", "content_type", "heading_path", "body", "line_start", "line_end", F.filter("ls", lambda x: x.isNotNull()).alias("locator"),
+    """Chunks of (source_id, source_type, units): units in order, folded under the budget; a heading path of its own begins a chunk. Nothing is shuffled."""
+    sizes, paths = F.transform("units", lambda u: F.length(u["text"])), F.transform("units", lambda u: F.array_join(u["heading_path"], "\u001f"))
+
+    def chunk(x, i):
+        us = F.slice(F.col("units"), x["start"] + 1, x["n"])
+        kinds = F.array_distinct(F.transform(us, lambda u: u["content_type"]))
+        return F.struct(
+            i.alias("ordinal"), us[0]["logical_key"].alias("logical_key"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("content_type"), us[0]["heading_path"].alias("heading_path"),
+            F.array_join(F.transform(us, lambda u: u["text"]), "\n\n").alias("body"), F.array_min(F.transform(us, lambda u: u["line_start"])).alias("line_start"), F.array_max(F.transform(us, lambda u: u["line_end"])).alias("line_end"),
+            F.filter(F.transform(us, lambda u: u["locator"]), lambda x: x.isNotNull()).alias("locator"),
+        )
+
+    g = parsed.withColumn("__g", chunking.groups(sizes, paths, max_chars))
+    c = g.select("source_id", "source_type", F.explode(F.transform("__g", chunk)).alias("c")).select("source_id", "source_type", "c.*")
+    return c.select(
+        "source_id", "ordinal", "logical_key", "content_type", "heading_path", "body", "line_start", "line_end", "locator",
         X.lexical_hash(F.col("body")).alias("lexical_hash"), X.semantic_hash(CHUNKER, F.col("source_type"), F.to_json("heading_path"), F.col("body")).alias("semantic_hash"),
     )

@@ -52,42 +52,48 @@ def knn_by(vectors: DataFrame, query: Sequence[float], k: int, group: str, key:
     return d.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy("distance", key))).filter(F.col("rank") <= k)
 
 
+def _seed(t: str) -> int:
+    c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return int((c * np.arange(1, len(c) + 1)).sum())
+
+
 def stub_seed(text: str) -> Column:
     """Sum of position (from 1) times code point: the seed of the deterministic embedder."""
 
     @F.arrow_udf("bigint")
     def seed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            out = []
-            for t in part.to_pylist():
-                if t is None:
-                    out.append(None)
-                else:
-                    c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-                    out.append(int((c * np.arange(1, len(c) + 1)).sum()))
-            yield pa.array(out, type=pa.int64())
+            yield pa.array([None if t is None else _seed(t) for t in (x.as_py() for x in part)], type=pa.int64())
 
     return seed(text)
 
 
 def embed_stub(text: str, size: int = 384) -> Column:
-    """The deterministic embedder in one step, from text to vector."""
+    """The deterministic embedder in one step, from text to vector; null counts as empty."""
 
     @F.arrow_udf("array<float>")
     def embed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            out = []
-            for t in part.to_pylist():
-                seed = sum(i * ord(c) for i, c in enumerate(t or "", 1))
-                v = [0.0] * size
-                v[seed % size] = 1.0
-                v[seed // 7 % size] = 0.5
-                out.append(v)
-            yield pa.array(out, type=pa.list_(pa.float32()))
+            seeds = np.array([_seed(t or "") for t in (x.as_py() for x in part)], dtype=np.int64)
+            out = np.zeros((len(seeds), size), dtype=np.float32)
+            rows = np.arange(len(seeds))
+            out[rows, seeds % size] = 1.0
+            out[rows, seeds // 7 % size] = 0.5
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(seeds) + 1, dtype=np.int32) * size), pa.array(out.ravel()))
 
     return embed(text)
 
 
+def needed(texts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(hash, first_doc, shared): the embeddings that texts need, one for each content, with its least key and how many share it."""
+    return texts.groupBy(F.sha2(text, 256).alias("hash")).agg(F.min(key).alias("first_doc"), F.count(F.lit(1)).alias("shared"))
+
+
+def shards(vectors: DataFrame, key: str = "vec_id", size: int = 4096) -> DataFrame:
+    """(shard, n, first, last): how ids are spread over blocks of ``size``."""
+    return vectors.groupBy(F.floor(F.col(key) / size).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+
+
 def stub_embedding(seed: Column, size: int = 384) -> Column:
     """The deterministic embedder's vector: 1.0 at seed mod size, then 0.5 at (seed div 7) mod size."""
     a, b = seed % size, F.floor(seed / 7) % size

@@ -26,7 +26,11 @@ def _collapse(c: str) -> str:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of a few large row groups, which would keep most cores idle, is spread over them first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if (8 << 20) <= size < cores * (4 << 20) else df
 
 
 def query(*tables_: str, sql: str | None = None):
@@ -229,7 +233,7 @@ _CHUNKS = f"""WITH RECURSIVE {_UNITS}, {_OFFSETS},
 
 @query("documents", sql=_CHUNKS)
 def greedy_chunks(docs):
-    return chunking.chunks(chunking.line_units(docs))
+    return chunking.document_chunks(docs)
 
 
 @query("supplier", sql="""
@@ -246,12 +250,8 @@ def excel_bounds(supplier):
     SELECT doc_id, ordinal, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section,
       CASE WHEN heading IS NOT NULL THEN row_number() OVER (PARTITION BY doc_id, heading ORDER BY ordinal) - 1 END AS occurrence FROM h""")
 def section_asof(docs):
-    u = chunking.line_units(docs)
     heading = F.when((F.length("text") <= 70) & ~F.col("text").rlike("[.,;]$"), F.col("text"))
-    h = u.withColumn("heading", heading)
-    so_far = W.partitionBy("doc_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
-    times = F.row_number().over(W.partitionBy("doc_id", "heading").orderBy("ordinal")) - 1
-    return h.select("doc_id", "ordinal", F.last("heading", True).over(so_far).alias("section"), F.when(F.col("heading").isNotNull(), times).alias("occurrence"))
+    return chunking.sections(chunking.line_units(docs), heading)
 
 
 # --- lexical search
@@ -377,7 +377,7 @@ def stub_embeddings(docs):
 
 @query("documents", sql="SELECT sha256(text) AS hash, min(doc_id) AS first_doc, count(*) AS shared FROM documents GROUP BY ALL")
 def embedding_dedupe(docs):
-    return docs.groupBy(X.lexical_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("shared"))
+    return vectors.needed(docs)
 
 
 _LEX = "SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS rank FROM (" + _bm25_sql([_term("the"), _term("of")], "tf0 > 0 AND tf1 > 0") + ") ORDER BY rank LIMIT 50"
@@ -463,9 +463,9 @@ def chunk_diff_actions(docs):
     return diff.chunk_diff(shape(u), shape(n.withColumn("text", body)))
 
 
-@query("embeddings", "documents", sql="SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
-def orphan_embeddings(embeddings, docs):
-    return diff.lacking(embeddings.select("vec_id"), docs.select(F.col("doc_id").alias("vec_id")), "vec_id")
+@query("embeddings", "labels", sql="SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def orphan_embeddings(embeddings, labels):
+    return diff.lacking(embeddings.select("vec_id"), labels.filter("quality = 1").select(F.col("doc_id").alias("vec_id")), "vec_id")
 
 
 @query("documents", "embeddings", sql="SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label >= 0)")
@@ -494,14 +494,14 @@ def text_sizes(docs, pages_, conversations, benchmark):
 
 @query("documents", "embeddings", sql="SELECT 'embeddings' AS pair, (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS orphans, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS lacking")
 def doctor_counts(docs, embeddings):
-    j = docs.select("doc_id", F.lit(1).alias("d")).join(embeddings.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("e")), "doc_id", "full_outer")
-    return j.agg(F.lit("embeddings").alias("pair"), F.count("d").alias("chunks"), F.count("e").alias("vectors"), F.count_if(F.col("d").isNull()).alias("orphans"), F.count_if(F.col("e").isNull()).alias("lacking"))
+    return maintenance.pair_counts(docs.select("doc_id"), embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "embeddings")
 
 
 @query("documents", sql="""
-    WITH h AS (SELECT source, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, chr(0)), coalesce(lang, chr(0)))) AS h FROM documents) SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM h GROUP BY ALL""")
+    WITH h AS (SELECT source, ('0x' || substr(sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, chr(0)), coalesce(lang, chr(0)))), 1, 15))::BIGINT AS h FROM documents)
+    SELECT source, count(*) AS n_rows, bit_xor(h) AS xor_hash, sum(h)::VARCHAR AS sum_hash FROM h GROUP BY ALL""")
 def table_fingerprint(docs):
-    return maintenance.ordered_fingerprint(docs, ["doc_id", "text", "lang"], "source")
+    return maintenance.fingerprints(docs, ["doc_id", "text", "lang"], "source")
 
 
 @query("documents", "labels", sql="SELECT coalesce(sum(n_chars) FILTER (doc_id IN (SELECT doc_id FROM labels)), 0)::BIGINT AS used, coalesce(sum(n_chars) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)), 0)::BIGINT AS reclaimable, round(100 * coalesce(sum(n_chars) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)), 0) / sum(n_chars), 2) AS reclaimable_pct FROM documents")
@@ -644,9 +644,14 @@ def markdown_units(region, nation):
     return u.select(F.regexp_replace("path", "\\.md$", "").cast("int").alias("r_regionkey"), "ordinal", "content_type", "logical_key", "line_start", "line_end")
 
 
-@query("supplier", sql="SELECT '| ' || s_suppkey || ' | ' || replace(s_name, '#', '#') || ' | ' || printf('%.2f', s_acctbal) || ' |' AS line FROM supplier")
-def published_lines(supplier):
-    return publish.table_lines(supplier, ["s_suppkey"], ["s_suppkey", "s_name", "s_acctbal"], {"s_acctbal": ".2f"})
+@query("orders", sql=r"""
+    SELECT '| ' || o_orderkey || ' | ' || replace(replace(regexp_replace(o_orderpriority || ' <a|b> *x*', '([|*])', '\\\1', 'g'), '<', '&lt;'), '>', '&gt;') || ' | ' || printf('%.2f', o_totalprice) || ' | ' || format('{:,}', o_totalprice::BIGINT) || ' | ' || strftime(o_orderdate, '%Y-%m-%d') || ' | ' ||
+      CASE WHEN o_orderkey % 3 = 0 THEN 'not available' ELSE printf('%.1f', o_custkey * 100.0) || '%' END || ' |' AS line FROM orders""")
+def published_lines(orders):
+    """Formats, escapes, dates and missing values."""
+    share = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey").cast("double"))
+    shown = orders.select("o_orderkey", F.concat("o_orderpriority", F.lit(" <a|b> *x*")).alias("priority"), "o_totalprice", F.rint("o_totalprice").alias("whole"), F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), share.alias("share"))
+    return publish.table_lines(shown, ["o_orderkey"], shown.columns, {"o_totalprice": ".2f", "whole": ",.0f", "share": ".1%"})
 
 
 @query("conversations", sql="""

@@ -258,31 +258,73 @@ def read_pipe(source: str) -> Parsed:
     return Parsed(_headed([inline_text(c) for c in raw], width, d), rows, [_alignment(c) for c in pipe_cells(lines[i + 1])], caption, table_id, d)
 
 
+def _grid_cells(lines: list[str], top: int, bottom: int) -> list[tuple[int, int, int, int]]:
+    """Boxes (top, left, bottom, right) of the cells of a grid, in order, traced from corner to corner."""
+    at = lambda y, x: lines[y][x] if 0 <= y <= bottom and x < len(lines[y]) else " "
+    found: list[tuple[int, int, int, int]] = []
+    corners = [(top, 0)]
+    seen = set()
+    while corners:
+        corners.sort()
+        y, x = corners.pop(0)
+        if (y, x) in seen or y >= bottom or at(y, x) != "+":
+            continue
+        seen.add((y, x))
+        box = None
+        right = x + 1
+        while right < len(lines[y]) and at(y, right) in "-=+:":
+            if at(y, right) == "+":
+                down = y + 1
+                while down <= bottom and at(down, right) in "|+":
+                    if at(down, right) == "+" and all(at(down, k) in "-=+:" for k in range(x, right + 1)) and at(down, x) == "+" and all(at(k, x) in "|+" for k in range(y, down + 1)):
+                        box = (y, x, down, right)
+                        break
+                    down += 1
+                if box:
+                    break
+            right += 1
+        if box:
+            found.append(box)
+            corners += [(y, box[3]), (box[2], x)]
+    return sorted(found)
+
+
 def read_grid(source: str) -> Parsed:
-    """A grid table without spans; a rule of equals signs parts the headers from the body."""
-    lines = [x.strip() for x in source.splitlines()]
+    """A grid table; rules of equals signs part headers, body and footers. A cell that spans places repeats its value in each."""
+    lines = [x.rstrip() for x in source.splitlines()]
     edges = [k for k, x in enumerate(lines) if _GRID_EDGE.match(x)]
     if len(edges) < 2:
         raise TableError("a grid table needs two rules")
-    cuts = [k for k, c in enumerate(lines[edges[0]]) if c == "+"]
+    top, bottom = edges[0], edges[-1]
+    indent = len(lines[top]) - len(lines[top].lstrip())
+    lines = [x[indent:] for x in lines]
+    width = len(lines[top])
+    boxes = _grid_cells(lines, top, bottom)
+    area = sum((b[2] - b[0]) * (b[3] - b[1]) for b in boxes)
+    if not boxes or any(len(lines[k]) != width for k in range(top, bottom + 1)) or area != (bottom - top) * (width - 1):
+        raise TableError("the cells of a grid table don't fill it")
     d: list[Diagnostic] = []
-    blocks, header_end = [], None
-    for a, b in zip(edges, edges[1:]):
-        cells = [[] for _ in cuts[1:]]
-        for x in lines[a + 1 : b]:
-            if len(x) <= cuts[-1] or any(x[c] not in "|+" for c in cuts):
-                raise TableError("cells that span columns or rows of a grid table")
-            for k, (l, r) in enumerate(zip(cuts, cuts[1:])):
-                cells[k].append(x[l + 1 : r].strip())
-        blocks.append([inline_text(" ".join(filter(None, c))) for c in cells])
-        if "=" in lines[b] and header_end is None:
-            header_end = len(blocks)
-    rule = lines[edges[header_end] if header_end else edges[0]]
-    alignments = [_alignment(rule[l + 1 : r]) for l, r in zip(cuts, cuts[1:])]
-    heads = blocks[: header_end or 0]
-    headers = [" / ".join(dict.fromkeys(filter(None, col))) for col in zip(*heads)] if heads else [""] * (len(cuts) - 1)
-    caption, table_id = _caption_of(lines[edges[-1] + 1 :])
-    return Parsed(_headed(headers, len(headers), d), blocks[header_end or 0 :], alignments, caption, table_id, d)
+    ys, xs = sorted({y for b in boxes for y in (b[0], b[2])}), sorted({x for b in boxes for x in (b[1], b[3])})
+    grid = [[""] * (len(xs) - 1) for _ in ys[1:]]
+    strong = [k for k in ys[:-1] if k > top and "=" in lines[k] and "-" not in lines[k]]
+    for y, x, down, right in boxes:
+        text = inline_text(" ".join(filter(None, (lines[k][x + 1 : right].strip() for k in range(y + 1, down)))))
+        rows, cols = range(ys.index(y), ys.index(down)), range(xs.index(x), xs.index(right))
+        if len(rows) * len(cols) > 1:
+            d.append(warning("span-expanded", f"A cell of {len(rows)}x{len(cols)} places repeats its value in each.", row=rows[0] + 1, column=cols[0] + 1))
+        for r in rows:
+            for c in cols:
+                grid[r][c] = text
+    closed = "=" in lines[bottom] and "-" not in lines[bottom]
+    head = ys.index(strong[0]) if strong and not (closed and len(strong) == 1 and strong[0] != ys[1]) else 0
+    foot = ys.index(strong[-1]) if closed and strong and ys.index(strong[-1]) > head else len(grid)
+    if foot < len(grid):
+        d.append(warning("footer-rows", f"{len(grid) - foot} footer row(s) are kept as the last rows."))
+    rule = lines[ys[head]]
+    alignments = [_alignment(rule[l + 1 : r]) for l, r in zip(xs, xs[1:])]
+    headers = [" / ".join(dict.fromkeys(filter(None, col))) for col in zip(*grid[:head])] if head else [""] * (len(xs) - 1)
+    caption, table_id = _caption_of(lines[bottom + 1 :])
+    return Parsed(_headed(headers, len(headers), d), grid[head:], alignments, caption, table_id, d)
 
 
 def read_simple(source: str) -> Parsed:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import posixpath
 import re
 import tomllib
@@ -121,12 +122,36 @@ def merge(rules: list[Rules]) -> Rules:
     return out
 
 
+def report(paths: DataFrame, rules: Rules) -> DataFrame:
+    """(kind, value) of discovered paths (path) by rules: available, excluded (found, but excluded), missing (explicit, not found) and unmatched (a glob that fits nothing)."""
+    spark = paths.sparkSession
+    p = paths.select("path").distinct()
+    out = p.filter(rules.column(F.col("path"))).select(F.lit("available").alias("kind"), F.col("path").alias("value"))
+    gone = F.lit(False)
+    for g in rules.exclude:
+        gone = gone | glob_column(F.col("path"), g)
+    out = out.union(p.filter(gone).select(F.lit("excluded"), "path"))
+    named = spark.createDataFrame([(x,) for x in rules.explicit], "path string")
+    out = out.union(named.join(p, "path", "left_anti").select(F.lit("missing"), "path"))
+    # one pass over the paths for all globs
+    fits = p.agg(*[F.coalesce(F.bool_or(glob_column(F.col("path"), g)), F.lit(False)).alias(f"g{i}") for i, g in enumerate(rules.include)] or [F.lit(True).alias("none")])
+    globs = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(f"g{i}").alias("fits")) for i, g in enumerate(rules.include)])).alias("x") if rules.include else None
+    return out if globs is None else out.union(fits.select(globs).filter("not x.fits").select(F.lit("unmatched"), "x.g"))
+
+
 def discover(spark: SparkSession, root: str, rules: Rules) -> DataFrame:
-    """(path, source_type, sha256, size_bytes, mtime, content) of the selected files below ``root``; content is read where a query needs it."""
+    """(path, source_type, sha256, size_bytes, mtime, content) of the selected files below ``root``; content is read where a query needs it. Links in a local tree aren't followed."""
+    if "://" not in root:  # of a local tree, what a link leads to may stand outside it
+        root = os.path.realpath(root)
+        links = [os.path.relpath(os.path.join(d, n), root) for d, ds, fs in os.walk(root) for n in [*ds, *fs] if os.path.islink(os.path.join(d, n))]
+    else:
+        links = []
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root if "://" in root else "file:" + str(Path(root).resolve())
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:/+", "file:/"), "^" + re.escape(re.sub(r"^file:/+", "file:/", base.rstrip("/"))) + "/", "")
     f = files.select(rel.alias("path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
     suffix = F.lower(F.regexp_extract("path", "(\\.[^./]+)$", 1))
     kind = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[suffix]
+    for link in links:
+        f = f.filter((F.col("path") != link) & ~F.col("path").startswith(link + "/"))
     return f.filter(kind.isNotNull() & rules.column(F.col("path"))).select("path", kind.alias("source_type"), F.sha2("content", 256).alias("sha256"), "size_bytes", "mtime", "content")

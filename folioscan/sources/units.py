@@ -192,18 +192,24 @@ def parse_files(files: DataFrame, parsers: dict | None = None) -> DataFrame:
                     if kind not in chosen:
                         raise ValueError(f"no parser for {kind}")
                     out.append({"error": None, "units": chosen[kind](content)})
-                except (ValueError, KeyError, ET.ParseError) as e:
-                    out.append({"error": str(e)[:500], "units": []})
+                except Exception as e:  # whatever one damaged file raises (zlib, zipfile, encryption, ...) must not end the job
+                    out.append({"error": f"{type(e).__name__}: {e}", "units": []})
             yield pa.array(out, type=pa.struct([("error", pa.string()), ("units", pa.list_(_UNIT))]))
 
     kind = F.when(F.lower("path").rlike("\\.(md|markdown|qmd)$"), "markdown").when(F.lower("path").rlike("\\.xls[xm]$"), "workbook").when(F.lower("path").rlike("\\.pdf$"), "pdf").otherwise("unknown")
     return files.select("path", kind.alias("source_type"), F.sha2("content", 256).alias("sha256"), run(kind, F.col("content")).alias("p")).select("path", "source_type", "sha256", "p.error", "p.units")
 
 
+def pages_of(files: DataFrame) -> DataFrame:
+    """(path, page, text) of files (path, content): a Markdown file is one page, its whole text; what isn't UTF-8 has none. Workbooks have no pages."""
+    text = F.expr("try_validate_utf8(cast(content as string))")
+    return files.filter(F.lower("path").rlike("\\.(md|markdown|qmd)$")).select("path", F.lit(1).alias("page"), text.alias("text")).filter("text is not null")
+
+
 def units_of(parsed: DataFrame) -> DataFrame:
     """(path, source_type, ordinal, line, text and the other fields of a unit) of ``parse_files``."""
     u = parsed.select("path", "source_type", F.posexplode("units").alias("ordinal", "u"))
     return u.select("path", "source_type", "ordinal", F.col("u.line_start").alias("line"), "u.*")
 
 
-__all__ = ["MAX_UNIT", "PARSERS", "WorkbookError", "markdown_units", "parse_files", "source_type", "split_words", "units_of", "workbook_units"]
+__all__ = ["MAX_UNIT", "PARSERS", "WorkbookError", "markdown_units", "pages_of", "parse_files", "source_type", "split_words", "units_of", "workbook_units"]
