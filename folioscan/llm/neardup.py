@@ -106,16 +106,24 @@ def all_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): every two nodes of different ``label`` on a common list whose set sizes allow the threshold; nodes of one label never meet."""
-    groups = lists.groupBy("v", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    mixed = groups.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v")
-    groups = materialise(groups.join(mixed, "v", "left_semi"), "near-mixed")
-    side = lambda c: groups.select("v", F.col("label").alias(f"l{c}"), F.col("lo").alias(f"lo{c}"), F.col("hi").alias(f"hi{c}"))
+    """(a, b): every two nodes of different ``label`` on a common list whose set sizes allow the threshold.
+
+    On long lists with few labels, labels meet first, so that nodes of one label never do; on the others, where most
+    pairs are of different labels anyway, nodes meet at once.
+    """
+    groups = lists.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m"))
+    kinds = groups.groupBy("v").agg(F.count(F.lit(1)).alias("labels"), F.sum("m").alias("m")).filter("labels > 1")
+    kinds = kinds.select("v", ((F.col("m") > 64) & (4 * F.col("labels") < F.col("m"))).alias("few"))
+    mixed = materialise(lists.join(kinds, "v"), "near-mixed")
+    loose, dense = mixed.filter("not few"), mixed.filter("few")
+    member = lambda df, c: df.select("v", F.col("label").alias(f"l{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    met = member(loose, "a").join(member(loose, "b"), "v").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike(threshold)).select("a", "b")
+    own = dense.groupBy("v", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    side = lambda c: own.select("v", F.col("label").alias(f"l{c}"), F.col("lo").alias(f"lo{c}"), F.col("hi").alias(f"hi{c}"))
     could = (F.col("hia") >= F.col("lob") * F.lit(threshold)) & (F.col("hib") >= F.col("loa") * F.lit(threshold))
-    met = side("a").join(side("b"), "v").filter((F.col("la") < F.col("lb")) & could).select("v", "la", "lb")
-    member = lambda c: lists.select("v", F.col("label").alias(f"l{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    pairs = met.join(member("a"), ["v", "la"]).join(member("b"), ["v", "lb"]).filter(_alike(threshold))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = side("a").join(side("b"), "v").filter((F.col("la") < F.col("lb")) & could).select("v", "la", "lb")
+    pairs = pairs.join(member(dense, "a"), ["v", "la"]).join(member(dense, "b"), ["v", "lb"]).filter(_alike(threshold))
+    return met.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def star_pairs(lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

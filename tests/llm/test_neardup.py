@@ -151,10 +151,11 @@ def test_short_texts_at_many_sizes_against_brute_force(docs):
 
 
 def test_labels_meet_before_their_members(spark):
-    rows = [(1, n, 10, 0) for n in range(50)] + [(1, 99, 10, 99), (1, 98, 30, 98)] + [(2, n, 10, 5) for n in range(5)]
+    rows = [(1, n, 10, 0) for n in range(80)] + [(1, 99, 10, 99), (1, 98, 30, 98)] + [(2, n, 10, 5) for n in range(5)] + [(3, n, 10, n % 3) for n in range(200, 206)]
     lists = spark.createDataFrame(rows, "v bigint, node bigint, n bigint, label bigint")
     got = {(r["a"], r["b"]) for r in neardup.cross_pairs(lists).collect()}
-    assert got == {(n, 99) for n in range(50)}  # 98 is too large for any of them
+    want = {(n, 99) for n in range(80)} | {(a, b) for a in range(200, 206) for b in range(a, 206) if a % 3 != b % 3}
+    assert got == want and neardup.cross_pairs(lists.filter("v = 2")).count() == 0  # 98 is too large for any of them
 
 
 def test_one_text_in_most_rows(docs):
