@@ -150,6 +150,8 @@ def _verify(a) -> int:
 
 def _source(a, s):
     """(path, source type) of a source of the store, or None."""
+    from pyspark.sql import functions as F
+
     from folioscan.sources.manifest import ManifestError, relative
 
     try:
@@ -157,11 +159,13 @@ def _source(a, s):
     except ManifestError as e:
         print(json.dumps({"error": "path-error", "detail": str(e)}), file=sys.stderr)
         raise SystemExit(2) from e
-    row = s.sources().filter(s.sources()["path"] == path).select("path", "source_type").first()
+    row = s.sources().filter(F.col("path") == path).select("path", "source_type").first()
     return path, None if row is None else row["source_type"]
 
 
 def _page(a) -> int:
+    from pyspark.sql import functions as F
+
     from folioscan.operators.pages import PageSelectionSyntaxError, PageSelectionUnavailableError, parse_selector, resolve
     from folioscan.operators.pageview import page_rows, page_text
 
@@ -170,7 +174,7 @@ def _page(a) -> int:
     if kind == "workbook":
         print(f"{path} has no pages", file=sys.stderr)
         return 2
-    pages = s.pages().filter(s.pages()["path"] == path).select("path", "page", "text")
+    pages = s.pages().filter(F.col("path") == path).select("path", "page", "text")
     try:
         wanted = resolve(a.pages, [r["page"] for r in pages.select("page").collect()])  # of one source
     except PageSelectionSyntaxError as e:
@@ -180,7 +184,7 @@ def _page(a) -> int:
         print(f"not found: {path} page {e.page}", file=sys.stderr)
         return 1
     if a.format == "json":
-        rows = page_rows(pages.filter(pages["page"].isin(wanted)), s.sources()).orderBy("physical_page")
+        rows = page_rows(pages.filter(F.col("page").isin(wanted)), s.sources()).orderBy("physical_page")
         _print([r.asDict(recursive=True) for r in rows.collect()])
     else:
         print(page_text(pages, parse_selector(a.pages)).first()["text"])
@@ -188,12 +192,14 @@ def _page(a) -> int:
 
 
 def _quote(a) -> int:
+    from pyspark.sql import functions as F
+
     from folioscan.operators.evidence import verify_quotes
 
     s = _store(a)
     path, _ = _source(a, s)
     quote = s.spark.createDataFrame([(0, path, a.page, a.quote)], "quote_id int, source string, page int, quote string")
-    pages = s.pages().filter(s.pages()["path"] == path).selectExpr("path as source", "page", "text")
+    pages = s.pages().filter(F.col("path") == path).selectExpr("path as source", "page", "text")
     status = verify_quotes(quote, pages).first()["status"]
     _print({"status": status, "page": a.page, "quote": a.quote, "source_path": path})
     return int(status not in ("exact", "normalised"))
