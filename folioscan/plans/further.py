@@ -53,15 +53,21 @@ def indexed_phrase_or_prefix(docs):
     return _indexed(docs, '"of the" OR et OR keit*')
 
 
-_NEAR = "len(list_filter(range(1, len(t) + 1), lambda i: (t[i] = 'the' OR t[i] = 'of') AND list_contains(t[i:i + 3], 'the') AND list_contains(t[i:i + 3], 'of')))"
+_NEAR = "len(list_filter(pt, lambda i: list_has_any(po, [i, i + 1, i + 2, i + 3]))) + len(list_filter(po, lambda i: list_has_any(pt, [i, i + 1, i + 2, i + 3])))"
 
 
-@query("documents", sql=C._r(C._bm25_sql([_NEAR], "tf0 > 0")))
+def _placed(sql: str) -> str:
+    """The same with the places of both words found once for each text."""
+    at = lambda w: f"list_filter(range(1, len(t) + 1), lambda i: t[i] = '{w}')"
+    return sql.replace("WITH t AS (", "WITH t0 AS (", 1).replace("FROM documents), b AS", f"FROM documents), t AS (SELECT *, {at('the')} AS pt, {at('of')} AS po FROM t0), b AS", 1)
+
+
+@query("documents", sql=_placed(C._r(C._bm25_sql([_NEAR], "tf0 > 0"))))
 def near_match(docs):
     return C._rounded(lexical.bm25(docs, "NEAR(the of, 2)"))
 
 
-@query("documents", sql=C._r(C._bm25_sql([_NEAR, "CASE WHEN t[1] = 'the' THEN 1 ELSE 0 END"], "tf0 > 0 AND NOT tf1 > 0").replace(" + greatest(ln((n - df1 + 0.5) / (df1 + 0.5)), 1e-6) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl))", "")))
+@query("documents", sql=_placed(C._r(C._bm25_sql([_NEAR, "CASE WHEN t[1] = 'the' THEN 1 ELSE 0 END"], "tf0 > 0 AND NOT tf1 > 0").replace(" + greatest(ln((n - df1 + 0.5) / (df1 + 0.5)), 1e-6) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl))", ""))))
 def indexed_near_not_first(docs):
     return _indexed(docs, "NEAR(the of, 2) NOT ^the")
 
