@@ -181,9 +181,18 @@ def _frequency(leaf: Query) -> Column:
         return F.when(F.slice(t, 1, n) == F.array(*map(F.lit, leaf.words)), 1).otherwise(0)
     if leaf.kind == "phrase":  # every token with a space on either side, so that matches may overlap
         return F.regexp_count(F.concat(F.lit(" "), F.array_join(t, "  "), F.lit(" ")), F.lit("(?= " + "  ".join(leaf.words) + " )"))
-    words = F.array(*map(F.lit, dict.fromkeys(leaf.words)))
-    holds = lambda i: F.size(F.array_except(words, F.slice(t, i + 1, leaf.gap + 2))) == 0
-    return F.size(F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: F.array_contains(words, F.get(t, i)) & holds(i)))
+    words = list(dict.fromkeys(leaf.words))  # one pass from the end; the state has the latest place of each word
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("count"), *[F.lit(None).cast("int").alias(f"p{k}") for k in range(len(words))])
+
+    def step(a, x):
+        i = a["i"] + 1
+        at = [F.when(x == w, i).otherwise(a[f"p{k}"]) for k, w in enumerate(words)]
+        all_there = reduce(lambda u, v: u & v, [p.isNotNull() for p in at])
+        first = F.array_min(F.array(*at))
+        hit = x.isin(words) & all_there & (i - first <= leaf.gap + 1)
+        return F.struct(i.alias("i"), (a["count"] + F.when(hit, 1).otherwise(0)).alias("count"), *[p.alias(f"p{k}") for k, p in enumerate(at)])
+
+    return F.aggregate(F.reverse(t), start, step, lambda a: a["count"])
 
 
 def _holds(q: Query, names: dict[int, str]) -> Column:
