@@ -7,6 +7,9 @@ then readers see the old one. Versions are numbered, and a version's file is cre
 none: of two writers that began from the same version the later one fails and has changed nothing. A
 chunk is live if its source's row names its segment, so that replacing or dropping a source rewrites no
 chunk. Postings are written once for each segment, and search reads those of its terms.
+
+A sync takes files in with one pass that writes chunks and pages side by side (``taken``). Texts are shuffled only
+where more than ``FEW`` rows have to be found among them, which are broadcast otherwise, or for sources that changed.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as X
@@ -31,6 +35,10 @@ SCHEMAS = {
     "postings": "chunk_id string, term string, tf bigint, positions array<int>, length int, source_id string, segment string",
     "failures": "path string, error string",
 }
+TAKEN = f"{SCHEMAS['chunks']}, path string, source_type string, sha256 string, error string, page int, text string"
+#: So many rows of a source's or chunk's id (some 100 MB) are sent to where the texts are.
+FEW = 600_000
+_CHUNK = "struct<ordinal:int,logical_key:string,content_type:string,heading_path:array<string>,body:string,line_start:int,line_end:int,locator:array<string>>"
 VERSION = 1
 CHUNKER = "chunks-1"
 
@@ -134,6 +142,21 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{p}" for p in paths])
 
+    def _write(self, df: DataFrame, path: str) -> None:
+        df.write.option("compression", "zstd").parquet(path)
+
+    def _drop(self, *paths: str) -> None:
+        for path in paths:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
+    def _alive(self, name: str, *columns: str) -> DataFrame:
+        """Rows of a table whose source's row names their segment, with these columns of the source."""
+        live = self.sources().select("source_id", "segment", *columns)
+        few = live.limit(FEW + 1).count() <= FEW
+        how = "inner" if columns else "left_semi"
+        return self._segment(name, self.state.get(name, [])).join(F.broadcast(live) if few else live, ["source_id", "segment"], how)
+
     # tables ------------------------------------------------------------------------------
 
     def sources(self) -> DataFrame:
@@ -141,17 +164,15 @@ class Store:
 
     def chunks(self) -> DataFrame:
         """Live chunks with the path and type of their source."""
-        live = self.sources().select("source_id", "segment", "path", "source_type")
-        return self._segment("chunks", self.state["chunks"]).join(live, ["source_id", "segment"])
+        return self._alive("chunks", "path", "source_type").filter("chunk_id is not null")
 
     def pages(self) -> DataFrame:
         """(source_id, segment, page, text, path, source_type) of live sources."""
-        return self._segment("pages", self.state.get("pages", [])).join(self.sources().select("source_id", "segment", "path", "source_type"), ["source_id", "segment"])
+        return self._alive("pages", "path", "source_type").filter("page is not null")
 
     def postings(self) -> DataFrame:
         """Postings of live chunks."""
-        live = self.sources().select("source_id", "segment")
-        return self._segment("postings", self.state.get("postings", [])).join(live, ["source_id", "segment"], "left_semi")
+        return self._alive("postings")
 
     def embeddings(self, model: str | None = None) -> DataFrame:
         e = self._segment("embeddings", self.state["embeddings"])
@@ -186,44 +207,58 @@ class Store:
             if hasattr(r, row["state"]):
                 setattr(r, row["state"], row["count"])
 
-        todo = plan.filter("state in ('added', 'changed')")
-        wanted = files.join(todo.select("path"), "path", "left_semi").select("path", "content")
-        pages = U.pages_of(wanted).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
-        U.parse_files(wanted).join(pages, "path", "left").write.parquet(f"{base}/parsed")
+        source_id = F.coalesce("source_id", F.sha2(F.concat_ws("\u001f", F.lit(version), "path"), 256))
+        todo = plan.filter("state in ('added', 'changed')").select("path", source_id.alias("source_id"), "state")
+        n_todo, touched = r.added + r.changed, r.added + r.changed > 0
+        few = lambda df, n: F.broadcast(df) if n <= FEW else df
+        wanted = files.select("path", "content")
+        if r.changed or n_todo < r.added + r.changed + r.renamed + r.unchanged:
+            wanted = wanted.join(few(todo.select("path", "source_id"), n_todo), "path")
+        else:  # all are new
+            wanted = wanted.withColumn("source_id", F.sha2(F.concat_ws("\u001f", F.lit(version), "path"), 256))
+        old = self.chunks().join(todo.filter("state = 'changed'").select("source_id"), "source_id", "left_semi")
+        if touched:
+            self._write(_taken(U.parse_files(wanted.withColumn("pages", U.page_texts())), options.max_chars, version), f"{base}/taken")
+        taken = spark.read.schema(TAKEN).parquet(f"{base}/taken") if touched else spark.createDataFrame([], TAKEN)
         # a file that changed between its hash and its reading is not taken in with either
-        parsed = spark.read.parquet(f"{base}/parsed").join(seen.select("path", F.col("sha256").alias("seen_sha")), "path")
-        parsed = parsed.withColumn("error", F.when(F.col("sha256") != F.col("seen_sha"), "changed while it was read").otherwise(F.col("error")))
-        bad = parsed.filter("error is not null")
-        r.failed = bad.count()
+        read = taken.filter("sha256 is not null").select("path", "source_id", "source_type", "sha256", "error").join(seen.select("path", F.col("sha256").alias("seen_sha")), "path")
+        read = read.withColumn("error", F.when(F.col("sha256") != F.col("seen_sha"), "changed while it was read").otherwise(F.col("error")))
+        bad, good = read.filter("error is not null"), read.filter("error is null")
+        r.failed, torn = bad.agg(F.count(F.lit(1)), F.count_if(F.col("sha256") != F.col("seen_sha"))).first()
         if r.failed:
             r.failures = f"v={version}/failures"
             bad.select("path", "error").write.parquet(f"{self.root}/{r.failures}")
-        r.errors = [f"{x['path']}: {x['error'][:500]}" for x in bad.orderBy("path").limit(20).collect()]
-        good = parsed.filter("error is null").join(todo.select("path", F.coalesce("source_id", F.sha2(F.concat_ws("\u001f", F.lit(version), "path"), 256)).alias("source_id")), "path")
-
-        fresh = _chunked(good, options.max_chars)
-        old = self.chunks().join(todo.filter("state = 'changed'").select("source_id"), "source_id", "left_semi").join(good.select("source_id"), "source_id", "left_semi")
-        side = lambda df: df.select(F.col("source_id").alias("source"), "logical_key", "ordinal", "semantic_hash")
-        diff.chunk_diff(side(old), side(fresh)).write.parquet(f"{base}/diff")
-        actions = spark.read.parquet(f"{base}/diff")
-        for row in actions.groupBy("action").count().collect():
-            name = {"insert": "chunks_inserted", "update": "chunks_updated", "keep": "chunks_kept", "move": "chunks_kept", "delete": "chunks_deleted"}[row["action"]]
-            setattr(r, name, getattr(r, name) + row["count"])
-        kept = actions.filter("old_ordinal is not null and new_ordinal is not null").select(F.col("source").alias("source_id"), "old_ordinal", F.col("new_ordinal").alias("ordinal"))
-        kept = kept.join(old.select("source_id", F.col("ordinal").alias("old_ordinal"), F.col("chunk_id").alias("old_id")), ["source_id", "old_ordinal"]).select("source_id", "ordinal", "old_id")
-        new_id = F.sha2(F.concat_ws("\u001f", "source_id", "logical_key", F.col("ordinal").cast("string"), F.lit(version)), 256)
-        written = fresh.join(kept, ["source_id", "ordinal"], "left").withColumn("chunk_id", F.coalesce("old_id", new_id)).withColumn("segment", F.lit(version))
-        columns = [c.split()[0] for c in SCHEMAS["chunks"].split(", ")]
-        touched = r.added + r.changed > 0
-        add = lambda name: [*self.state.get(name, []), *([f"v={version}/{name}"] if touched else [])]
+        r.errors = [f"{x['path']}: {x['error'][:500]}" for x in bad.orderBy("path").limit(20).collect()] if r.failed else []
+
+        columns = lambda name: [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        fresh, whole = taken.filter("chunk_id is not null").select(*columns("chunks")), taken.filter("page is not null").select(*columns("pages"))
+        if torn:
+            torn_ids = few(bad.select("source_id"), r.failed)
+            fresh, whole = fresh.join(torn_ids, "source_id", "left_anti"), whole.join(torn_ids, "source_id", "left_anti")
+        parts = {"chunks": "taken", "pages": "taken"}
+        if r.changed:
+            side = lambda df: df.select(F.col("source_id").alias("source"), "logical_key", "ordinal", "semantic_hash")
+            old = old.join(good.select("source_id"), "source_id", "left_semi")
+            diff.chunk_diff(side(old), side(fresh)).write.parquet(f"{base}/diff")
+            actions = spark.read.parquet(f"{base}/diff")
+            for row in actions.groupBy("action").count().collect():
+                name = {"insert": "chunks_inserted", "update": "chunks_updated", "keep": "chunks_kept", "move": "chunks_kept", "delete": "chunks_deleted"}[row["action"]]
+                setattr(r, name, getattr(r, name) + row["count"])
+            kept = actions.filter("old_ordinal is not null and new_ordinal is not null").select(F.col("source").alias("source_id"), "old_ordinal", F.col("new_ordinal").alias("ordinal"))
+            kept = kept.join(old.select("source_id", F.col("ordinal").alias("old_ordinal"), F.col("chunk_id").alias("old_id")), ["source_id", "old_ordinal"]).select("source_id", "ordinal", "old_id")
+            fresh = fresh.join(few(kept, r.chunks_kept + r.chunks_updated), ["source_id", "ordinal"], "left").withColumn("chunk_id", F.coalesce("old_id", "chunk_id")).select(*columns("chunks"))
+        elif touched:
+            r.chunks_inserted = fresh.count()
+        if r.changed or torn:
+            self._write(fresh, f"{base}/chunks")
+            self._write(whole, f"{base}/pages")
+            parts = {"chunks": "chunks", "pages": "pages"}
+        add = lambda name: [*self.state.get(name, []), *([f"v={version}/{parts.get(name, name)}"] if touched else [])]
         if touched:
-            written.select(*columns).write.parquet(f"{base}/chunks")
-            fresh_chunks = spark.read.schema(SCHEMAS["chunks"]).parquet(f"{base}/chunks")
+            fresh_chunks = self._segment("chunks", [f"v={version}/{parts['chunks']}"]).filter("chunk_id is not null")
             self._index(fresh_chunks, f"{base}/postings")
-            good.select("source_id", F.lit(version).alias("segment"), F.explode("pages").alias("p")).select("source_id", "segment", "p.page", "p.text").write.parquet(f"{base}/pages")
 
         ok = good.select("source_id", F.lit(version).alias("fresh_segment"), F.col("source_type").alias("fresh_type"))
-        source_id = F.coalesce("source_id", F.sha2(F.concat_ws("\u001f", F.lit(version), "path"), 256))
         after = plan.withColumn("source_id", source_id).join(ok, "source_id", "left")
         renewed = F.col("fresh_segment").isNotNull()
         after = after.select(
@@ -240,12 +275,18 @@ class Store:
         try:
             live = self.chunks() if whole else fresh_chunks if touched else None
             if live is not None:
-                need = live.select("semantic_hash", "body").dropDuplicates(["semantic_hash"])
-                lack = need if options.reembed else need.join(self.embeddings(options.model).select("semantic_hash"), "semantic_hash", "left_anti")
-                lack.select("semantic_hash", F.lit(options.model).alias("model"), embed("body").alias("vector")).write.parquet(f"{base}/embeddings")
+                ids = live.select("semantic_hash", "chunk_id")
+                spare = ids.withColumn("k", F.row_number().over(W.partitionBy("semantic_hash").orderBy("chunk_id"))).filter("k > 1")  # the first embeds for all that share the hash
+                if not options.reembed and self.state["embeddings"]:
+                    spare = spare.select("chunk_id").union(ids.join(self.embeddings(options.model).select("semantic_hash"), "semantic_hash", "left_semi").select("chunk_id"))
+                self._write(spare.select("chunk_id").distinct(), f"{base}/spare")
+                spare = spark.read.parquet(f"{base}/spare")
+                lack = live.select("chunk_id", "semantic_hash", "body").join(few(spare, spare.count()), "chunk_id", "left_anti")
+                lack.select("semantic_hash", F.lit(options.model).alias("model"), embed("body").alias("vector")).write.option("compression", "zstd").parquet(f"{base}/embeddings")
                 r.embedded = spark.read.parquet(f"{base}/embeddings").count()
         finally:
             self.state = before
+        self._drop(*[f"{base}/{x}" for x in ("seen", "plan", "diff", "spare", *(["taken"] if parts["chunks"] != "taken" else []))])
         embeddings = list(self.state["embeddings"])
         if options.reembed and r.embedded:
             self._segment("embeddings", embeddings).filter(F.col("model") != options.model).write.parquet(f"{base}/others")
@@ -261,9 +302,8 @@ class Store:
 
     def _index(self, chunks: DataFrame, path: str) -> None:
         """Postings of chunks, over body and headings."""
-        text = chunks.select("chunk_id", F.concat_ws(" ", "body", F.array_join("heading_path", " ")).alias("text"))
-        whose = chunks.select("chunk_id", "source_id", "segment")
-        postings.write(postings.build(text, "chunk_id").join(whose, "chunk_id").select(*[c.split()[0] for c in SCHEMAS["postings"].split(", ")]), path, "chunk_id")
+        text = chunks.select("chunk_id", "source_id", "segment", F.concat_ws(" ", "body", F.array_join("heading_path", " ")).alias("text"))
+        postings.write(postings.build(text, "chunk_id", keep=("source_id", "segment")).select(*[c.split()[0] for c in SCHEMAS["postings"].split(", ")]), path)
 
     def failures(self, report: Report) -> DataFrame:
         """(path, error) of every file that a sync could not take in."""
@@ -299,26 +339,33 @@ class Store:
         out = out.union(of(c.filter(X.lexical_hash(F.col("body")) != F.col("lexical_hash")), "changed-body", "chunk_id"))
         return out.union(of(e.filter(F.exists("vector", lambda x: F.isnan(x)) | (F.size("vector") == 0)), "bad-vector", "semantic_hash"))
 
-    def _prints(self) -> dict[str, tuple[int, int]]:
-        """Rows and fingerprint of each table that readers see."""
-        used = self.embeddings().join(self.chunks().select("semantic_hash").distinct(), "semantic_hash", "left_semi")
-        tables = {
-            "chunks": self.chunks().select("chunk_id", "path", "lexical_hash", "semantic_hash"), "sources": self.sources().drop("segment"), "embeddings": used.select("semantic_hash", "model", F.xxhash64("vector")),
-            "pages": self.pages().select("path", "page", "text"), "postings": self.postings().select("chunk_id", "term", "tf", F.xxhash64("positions"), "length"),
+    def _prints(self) -> dict[str, tuple[int, ...]]:
+        """Rows and fingerprint of each table that readers see. Where rows belong to sources, each task sums up its own by source before the live ones are chosen."""
+        live, h = self.sources().select("source_id", "segment"), F.col("h")
+
+        def of_live(name: str, *values: str | Column) -> tuple[int, ...]:
+            rows = self._segment(name, self.state.get(name, [])).filter(F.col("page" if name == "pages" else "chunk_id").isNotNull()).select("source_id", "segment", F.xxhash64("source_id", *values).alias("h"))
+            low, high = F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))
+            sums = rows.groupBy("source_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), low.alias("low"), high.alias("high")).join(live, ["source_id", "segment"], "left_semi")
+            return tuple(sums.agg(*[F.coalesce(c, F.lit(0)) for c in (F.sum("n"), F.bit_xor("x"), F.sum("low"), F.sum("high"))]).first())
+
+        vectors_ = self.embeddings().select("semantic_hash", "model", F.xxhash64("vector").alias("h"))
+        return {
+            "chunks": of_live("chunks", "chunk_id", "lexical_hash", "semantic_hash"), "pages": of_live("pages", "page", "text"), "postings": of_live("postings", "chunk_id", "term", "tf", F.xxhash64("positions"), "length"),
+            "sources": maintenance.fingerprint(self.sources().drop("segment")), "embeddings": maintenance.fingerprint(vectors_.join(self.chunks().select("semantic_hash").distinct(), "semantic_hash", "left_semi")),
         }
-        return {k: maintenance.fingerprint(v) for k, v in tables.items()}
 
     def compact(self) -> dict[str, int]:
         """Rewrite live rows into one segment, without embeddings that no chunk has; published only if counts and fingerprints of all tables agree."""
         version = uuid.uuid4().hex
         base = f"{self.root}/v={version}"
-        of = lambda name, df: df.withColumn("segment", F.lit(version)).select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]) if "segment" in SCHEMAS[name] else df
-        of("chunks", self.chunks()).write.parquet(f"{base}/chunks")
-        of("pages", self.pages()).write.parquet(f"{base}/pages")
-        of("sources", self.sources()).write.parquet(f"{base}/sources")
-        postings.write(of("postings", self.postings()), f"{base}/postings", "chunk_id")
+        of = lambda name, df: df.withColumn("segment", F.lit(version)).select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])
+        self._write(of("chunks", self.chunks()), f"{base}/chunks")
+        self._write(of("pages", self.pages()), f"{base}/pages")
+        self._write(of("sources", self.sources()), f"{base}/sources")
+        self._index(self._segment("chunks", [f"v={version}/chunks"]), f"{base}/postings")
         used = self.chunks().select("semantic_hash").distinct()
-        self.embeddings().join(used, "semantic_hash", "left_semi").write.parquet(f"{base}/embeddings")
+        self._write(self.embeddings().join(used, "semantic_hash", "left_semi"), f"{base}/embeddings")
         before = self._prints()
         old, draft = self.state, dict(self.state) | {"version": version, "sources": f"v={version}/sources"} | {k: [f"v={version}/{k}"] for k in ("chunks", "pages", "postings", "embeddings")}
         self.state = draft
@@ -344,22 +391,33 @@ class Store:
         return gone
 
 
-def _chunked(parsed: DataFrame, max_chars: int) -> DataFrame:
-    """Chunks of (source_id, source_type, units): units in order, folded under the budget; a heading path of its own begins a chunk. Nothing is shuffled."""
+def _taken(parsed: DataFrame, max_chars: int, version: str) -> DataFrame:
+    """``TAKEN`` of (source_id, path, source_type, sha256, error, units, pages): a row for each chunk, for each page and for the file itself, which has its hash and error.
+
+    Units go in order and are folded under the budget; a heading path of its own begins a chunk. Nothing is shuffled.
+    """
     sizes, paths = F.transform("units", lambda u: F.length(u["text"])), F.transform("units", lambda u: F.array_join(u["heading_path"], "\u001f"))
 
     def chunk(x, i):
         us = F.slice(F.col("units"), x["start"] + 1, x["n"])
         kinds = F.array_distinct(F.transform(us, lambda u: u["content_type"]))
+        body = F.array_join(F.transform(us, lambda u: u["text"]), "\n\n")
         return F.struct(
-            i.alias("ordinal"), us[0]["logical_key"].alias("logical_key"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("content_type"), us[0]["heading_path"].alias("heading_path"),
-            F.array_join(F.transform(us, lambda u: u["text"]), "\n\n").alias("body"), F.array_min(F.transform(us, lambda u: u["line_start"])).alias("line_start"), F.array_max(F.transform(us, lambda u: u["line_end"])).alias("line_end"),
-            F.filter(F.transform(us, lambda u: u["locator"]), lambda x: x.isNotNull()).alias("locator"),
+            i.alias("ordinal"), us[0]["logical_key"].alias("logical_key"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("content_type"), us[0]["heading_path"].alias("heading_path"), body.alias("body"),
+            F.array_min(F.transform(us, lambda u: u["line_start"])).alias("line_start"), F.array_max(F.transform(us, lambda u: u["line_end"])).alias("line_end"), F.filter(F.transform(us, lambda u: u["locator"]), lambda x: x.isNotNull()).alias("locator"),
         )
 
+    rows = F.struct
+    chunk_rows = F.transform(F.transform("__g", chunk), lambda c: rows(c.alias("c"), F.lit(None).cast("struct<page:int,text:string>").alias("p")))
+    page_rows = F.transform("pages", lambda p: rows(F.lit(None).cast(_CHUNK).alias("c"), p.alias("p")))
+    file_row = F.array(rows(F.lit(None).cast(_CHUNK).alias("c"), F.lit(None).cast("struct<page:int,text:string>").alias("p")))
     g = parsed.withColumn("__g", chunking.groups(sizes, paths, max_chars))
-    c = g.select("source_id", "source_type", F.explode(F.transform("__g", chunk)).alias("c")).select("source_id", "source_type", "c.*")
-    return c.select(
-        "source_id", "ordinal", "logical_key", "content_type", "heading_path", "body", "line_start", "line_end", "locator",
-        X.lexical_hash(F.col("body")).alias("lexical_hash"), X.semantic_hash(CHUNKER, F.col("source_type"), F.to_json("heading_path"), F.col("body")).alias("semantic_hash"),
+    x = g.select("source_id", "path", "source_type", "sha256", "error", F.explode(F.concat(chunk_rows, page_rows, file_row)).alias("x")).select("source_id", "path", "source_type", "sha256", "error", "x.c.*", "x.p.*")
+    is_chunk, is_file = F.col("ordinal").isNotNull(), F.col("ordinal").isNull() & F.col("page").isNull()
+    only = lambda when, c: F.when(when, c)
+    x = x.select(
+        "*", only(is_chunk, F.sha2(F.concat_ws("\u001f", "source_id", "logical_key", F.col("ordinal").cast("string"), F.lit(version)), 256)).alias("chunk_id"), F.lit(version).alias("segment"),
+        only(is_chunk, X.lexical_hash(F.col("body"))).alias("lexical_hash"), only(is_chunk, X.semantic_hash(CHUNKER, F.col("source_type"), F.to_json("heading_path"), F.col("body"))).alias("semantic_hash"),
     )
+    alone = {c: only(is_file, F.col(c)) for c in ("path", "sha256", "error")}
+    return x.withColumns(alone).select(*[c.split()[0] for c in TAKEN.split(", ")])
