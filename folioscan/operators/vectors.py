@@ -95,6 +95,6 @@ def shards(vectors: DataFrame, key: str = "vec_id", size: int = 4096) -> DataFra
 
 
 def stub_embedding(seed: Column, size: int = 384) -> Column:
-    """The deterministic embedder's vector: 1.0 at seed mod size, then 0.5 at (seed div 7) mod size."""
-    a, b = seed % size, F.floor(seed / 7) % size
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == b, 0.5).when(i == a, 1.0).otherwise(0.0).cast("float"))
+    """The deterministic embedder's vector: 1.0 at seed mod size, then 0.5 at (seed div 7) mod size; none without a seed."""
+    a, b = seed % size, F.call_function("div", seed, F.lit(7).cast("bigint")) % size
+    return F.when(seed.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == b, 0.5).when(i == a, 1.0).otherwise(0.0).cast("float")))
