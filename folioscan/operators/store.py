@@ -310,9 +310,8 @@ class Store:
         return self._segment("failures", [report.failures] if report.failures else [])
 
     def statistics(self) -> DataFrame:
-        """(n, tokens) of live chunks, from their postings' lengths; chunks without any token count too."""
-        lengths = self.postings().groupBy("chunk_id").agg(F.first("length").alias("length"))
-        return self.chunks().agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")))
+        """(n, tokens) of live chunks; chunks without any token count too."""
+        return postings.totals(self.chunks(), self.postings())
 
     def prune_plan(self, keep: Column) -> DataFrame:
         """(source_id, path) of the sources that ``keep``, an expression on path, doesn't select."""
