@@ -8,7 +8,9 @@ none: of two writers that began from the same version the later one fails and ha
 chunk is live if its source's row names its segment, so that replacing or dropping a source rewrites no
 chunk. Postings are written once for each segment, and search reads those of its terms.
 
-A sync takes files in with one pass that writes chunks and pages side by side (``taken``). Texts are shuffled only
+A sync takes files in with one pass that writes chunks and pages side by side (``taken``). A page's text stands there in the
+column of bodies, right after those of its source, so that compression finds it again; a posting names its chunk, the chunk's
+source and its length in one string (``doc``). Texts are shuffled only
 where more than ``FEW`` rows have to be found among them, which are broadcast otherwise, or for sources that changed.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as X
-from folioscan.operators import chunking, diff, maintenance, postings, vectors
+from folioscan.operators import chunking, diff, lexical, maintenance, postings, vectors
 from folioscan.sources import units as U
 
 SCHEMAS = {
@@ -35,11 +37,13 @@ SCHEMAS = {
     "postings": "chunk_id string, term string, tf bigint, positions array<int>, length int, source_id string, segment string",
     "failures": "path string, error string",
 }
-TAKEN = f"{SCHEMAS['chunks']}, path string, source_type string, sha256 string, error string, page int, text string"
+TAKEN = f"{SCHEMAS['chunks']}, path string, source_type string, sha256 string, error string, page int"
+#: Further columns of the files of a table, of which ``_segment`` makes its own; files of version 1 have its own ones.
+STORED = {"pages": "body string", "postings": "doc string"}
 #: So many rows of a source's or chunk's id (some 100 MB) are sent to where the texts are.
 FEW = 600_000
 _CHUNK = "struct<ordinal:int,logical_key:string,content_type:string,heading_path:array<string>,body:string,line_start:int,line_end:int,locator:array<string>>"
-VERSION = 1
+VERSION, READ = 2, (1, 2)
 CHUNKER = "chunks-1"
 
 
@@ -100,7 +104,7 @@ class Store:
             if not create:
                 raise StoreError(f"no store at {root}")
             self.state = {"store": VERSION, "number": 0, "version": None, "sources": None, "chunks": [], "pages": [], "postings": [], "embeddings": [], "models": {}, "active": None}
-        elif self.state.get("store") != VERSION:
+        elif self.state.get("store") not in READ:
             raise StoreError(f"store format {self.state.get('store')} isn't known")
 
     # files ------------------------------------------------------------------------------
@@ -120,7 +124,7 @@ class Store:
 
     def _publish(self, state: dict) -> None:
         """Add the next version's file, complete from the moment that it has its name; fail where another writer was first."""
-        state = state | {"number": self.state.get("number", 0) + 1}
+        state = state | {"store": VERSION, "number": self.state.get("number", 0) + 1}
         fs, final = self._fs(f"{self.root}/versions/{state['number']:012d}.json")
         _, tmp = self._fs(f"{self.root}/versions/.{uuid.uuid4().hex}")
         out = fs.create(tmp, False)
@@ -140,7 +144,14 @@ class Store:
     def _segment(self, name: str, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{p}" for p in paths])
+        schema = ", ".join([SCHEMAS[name], *([STORED[name]] if name in STORED else [])])
+        df = self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths])
+        if name == "pages":
+            return df.withColumn("text", F.coalesce("text", "body")).drop("body")
+        if name == "postings":
+            part = F.split("doc", "\u001f")
+            return df.withColumns({"chunk_id": F.coalesce("chunk_id", part[0]), "source_id": F.coalesce("source_id", part[1]), "length": F.coalesce("length", part[2].cast("int"))}).drop("doc")
+        return df
 
     def _write(self, df: DataFrame, path: str) -> None:
         df.write.option("compression", "zstd").parquet(path)
@@ -231,7 +242,7 @@ class Store:
         r.errors = [f"{x['path']}: {x['error'][:500]}" for x in bad.orderBy("path").limit(20).collect()] if r.failed else []
 
         columns = lambda name: [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        fresh, whole = taken.filter("chunk_id is not null").select(*columns("chunks")), taken.filter("page is not null").select(*columns("pages"))
+        fresh, whole = taken.filter("chunk_id is not null").select(*columns("chunks")), taken.filter("page is not null").withColumn("text", F.col("body")).select(*columns("pages"))
         if torn:
             torn_ids = few(bad.select("source_id"), r.failed)
             fresh, whole = fresh.join(torn_ids, "source_id", "left_anti"), whole.join(torn_ids, "source_id", "left_anti")
@@ -256,7 +267,7 @@ class Store:
         add = lambda name: [*self.state.get(name, []), *([f"v={version}/{parts.get(name, name)}"] if touched else [])]
         if touched:
             fresh_chunks = self._segment("chunks", [f"v={version}/{parts['chunks']}"]).filter("chunk_id is not null")
-            self._index(fresh_chunks, f"{base}/postings")
+            self._index(fresh_chunks, f"{base}/postings", version)
 
         ok = good.select("source_id", F.lit(version).alias("fresh_segment"), F.col("source_type").alias("fresh_type"))
         after = plan.withColumn("source_id", source_id).join(ok, "source_id", "left")
@@ -300,10 +311,11 @@ class Store:
         self._publish(draft | {"embeddings": embeddings})
         return r
 
-    def _index(self, chunks: DataFrame, path: str) -> None:
-        """Postings of chunks, over body and headings."""
-        text = chunks.select("chunk_id", "source_id", "segment", F.concat_ws(" ", "body", F.array_join("heading_path", " ")).alias("text"))
-        postings.write(postings.build(text, "chunk_id", keep=("source_id", "segment")).select(*[c.split()[0] for c in SCHEMAS["postings"].split(", ")]), path)
+    def _index(self, chunks: DataFrame, path: str, segment: str) -> None:
+        """Postings of the chunks of a segment, over body and headings."""
+        t = chunks.select("chunk_id", "source_id", lexical.tokens(F.concat_ws(" ", "body", F.array_join("heading_path", " "))).alias("t"))
+        doc = F.concat_ws("\u001f", "chunk_id", "source_id", F.size("t").cast("string"))
+        postings.write(postings.inverted(t.select(doc.alias("doc"), "t")).select("doc", "term", "tf", "positions", F.lit(segment).alias("segment")), path)
 
     def failures(self, report: Report) -> DataFrame:
         """(path, error) of every file that a sync could not take in."""
@@ -362,7 +374,7 @@ class Store:
         self._write(of("chunks", self.chunks()), f"{base}/chunks")
         self._write(of("pages", self.pages()), f"{base}/pages")
         self._write(of("sources", self.sources()), f"{base}/sources")
-        self._index(self._segment("chunks", [f"v={version}/chunks"]), f"{base}/postings")
+        self._index(self._segment("chunks", [f"v={version}/chunks"]), f"{base}/postings", version)
         used = self.chunks().select("semantic_hash").distinct()
         self._write(self.embeddings().join(used, "semantic_hash", "left_semi"), f"{base}/embeddings")
         before = self._prints()
@@ -412,6 +424,7 @@ def _taken(parsed: DataFrame, max_chars: int, version: str) -> DataFrame:
     file_row = F.array(rows(F.lit(None).cast(_CHUNK).alias("c"), F.lit(None).cast("struct<page:int,text:string>").alias("p")))
     g = parsed.withColumn("__g", chunking.groups(sizes, paths, max_chars))
     x = g.select("source_id", "path", "source_type", "sha256", "error", F.explode(F.concat(chunk_rows, page_rows, file_row)).alias("x")).select("source_id", "path", "source_type", "sha256", "error", "x.c.*", "x.p.*")
+    x = x.withColumn("body", F.coalesce("body", "text")).drop("text")
     is_chunk, is_file = F.col("ordinal").isNotNull(), F.col("ordinal").isNull() & F.col("page").isNull()
     only = lambda when, c: F.when(when, c)
     x = x.select(

@@ -1,5 +1,6 @@
 """What a store takes of disk, and that nothing of it is lost for that."""
 
+import glob
 import os
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from test_store import A, B, files, store  # noqa: F401
 
 from folioscan.operators import postings
+from folioscan.operators.store import Store
 from folioscan.sources import units
 
 
@@ -57,3 +59,34 @@ def test_runs_of_an_index(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(tokens, type=pa.list_(pa.string()))], names=["k", "t"])
     got = [tuple(r.values()) for b in postings._inverted(iter([batch])) for r in b.to_pylist()]
     assert got == [(0, "a", 1, [1], 3), (0, "b", 2, [0, 2], 3), (3, "c", 7, list(range(7)), 7), (4, "a", 1, [0], 2), (4, "é", 1, [1], 2)]
+
+
+def test_a_page_costs_little_beside_its_chunks_and_a_posting_names_its_chunk_once(spark, store, texts, tmp_path):  # noqa: F811
+    store.sync(files(spark, **texts))
+    zstd = lambda df, name: df.write.option("compression", "zstd").parquet(f"file://{tmp_path}/{name}")
+    zstd(store.chunks().select("chunk_id", "source_id", "body", "lexical_hash", "semantic_hash"), "bodies")
+    assert _bytes(f"{store.root}/{store.state['pages'][0]}") < 1.3 * _bytes(f"{tmp_path}/bodies")
+    zstd(store.postings().select("chunk_id", "source_id", "length"), "ids")
+    zstd(store.postings().select("term", "tf", "positions"), "rest")
+    assert _bytes(f"{store.root}/{store.state['postings'][0]}") < _bytes(f"{tmp_path}/rest") + 0.8 * _bytes(f"{tmp_path}/ids")
+
+
+def test_a_store_of_version_1_is_read_and_goes_on_as_version_2(spark, store):  # noqa: F811
+    store.sync(files(spark, a=A, b=B))
+    rows = lambda s: {k: sorted(str(r.asDict()) for r in getattr(s, k)().collect()) for k in ("chunks", "pages", "postings")}
+    want, named = rows(store), dict(store.state)
+    for k in ("chunks", "pages", "postings"):  # with the columns that version 1 had
+        store._segment(k, named[k]).filter("page is not null" if k == "pages" else "chunk_id is not null").write.parquet(f"{store.root}/v=old/{k}")
+        named[k] = [f"v=old/{k}"]
+    store._publish(named)
+    path = f"{store.root.removeprefix('file://')}/versions/{store.state['number']:012d}.json"
+    with open(path) as f:
+        text = f.read()
+    with open(path, "w") as f:
+        f.write(text.replace('"store": 2', '"store": 1'))
+    for crc in glob.glob(f"{os.path.dirname(path)}/.*.crc"):
+        os.remove(crc)
+    old = Store(spark, store.root)
+    assert old.state["store"] == 1 and rows(old) == want
+    old.sync(files(spark, a=A, b=B + " More.", c="new"))
+    assert old.state["store"] == 2 and {r["path"]: r["text"] for r in old.pages().collect()} == {"a.md": A, "b.md": B + " More.", "c.md": "new"} and old.doctor().count() == 0
