@@ -106,3 +106,31 @@ def test_memory_is_bounded_and_long_pieces_are_not_kept(codec, monkeypatch):
         c.encode([" ".join(f"w{i}x{j}" for j in range(100)) + " " + "q" * 500])
         assert c.held <= 25_000 + 100 * 2 * 250 and not any(len(p) > bpe.KEPT for p in [*c.known, *c.older])
     assert len(c.older) < 600
+
+
+def test_merging_in_step_is_merging_one_by_one(codec, monkeypatch):
+    r = random.Random(6)
+    raw = ["".join(r.choices("abcdeorst äß日🙂", k=r.randint(1, 40))).encode() for _ in range(1500)] + [b"a" * n for n in (1, 2, 3, 63, 64, 65, 300)]
+    want = [bpe.merge(b, codec.ranks) for b in raw]
+    assert [np.frombuffer(x, np.int32).tolist() for x in codec.merged(raw)] == want
+    small = bpe.Codec({bytes([i]): i for i in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"cd": 259, b"aa": 260, b"aaaa": 261})
+    odd = ["".join(r.choices("abcd", k=r.randint(1, 12))).encode() for _ in range(500)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in small.merged(odd)] == [bpe.merge(b, small.ranks) for b in odd]
+    assert small.merged([]) == []
+    alone = []
+    monkeypatch.setattr(bpe, "merge", lambda b, ranks: alone.append(b) or [])
+    bpe.Codec(codec.ranks).learn([b.decode() for b in raw])
+    assert all(len(b) > bpe.KEPT for b in alone)  # short ones are never merged one by one
+
+
+def test_ascii_texts_are_cut_alike_and_a_wrong_id_is_seen(codec):
+    r = random.Random(7)
+    for _ in range(3000):
+        t = "".join(r.choices([*map(chr, range(128)), " ", "  ", "'s", "'ll", "ab", "12"], k=r.randint(0, 30)))
+        assert bpe._ASCII.findall(t) == codec.pattern.findall(t), repr(t)
+    texts = ["some text", None, "", "Größe", "more"]
+    ids = codec.encode([t or "" for t in texts])
+    assert codec.intact(texts, ids) == [True, None, True, True, True] and codec.intact([], []) == []
+    ids[3] = ids[3][::-1]
+    assert codec.intact(texts, ids) == [True, None, True, False, True]
+    assert codec.intact(["ab", "c"], codec.encode(["a", "bc"])) == [False, False]
